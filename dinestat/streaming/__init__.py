@@ -1,0 +1 @@
+"""Empty on purpose: every source is read, and every metric written, in batch."""
