@@ -30,8 +30,9 @@ def histogram(
         low, high = ends["col1"], ends["col2"]
     else:
         low, high = (F.lit(float(end)) for end in bounds)
-    # A range of one single value has no width to divide: all rows are in bin 1.
-    bin_of = F.coalesce(F.least(F.width_bucket("x", low, high, F.lit(bins)), F.lit(bins)), F.lit(1))
+    # A range of one single value has no width to divide: all its rows are in bin 1.
+    bucket = F.coalesce(F.width_bucket("x", low, high, F.lit(bins)), F.lit(1))
+    bin_of = F.least(bucket, F.lit(bins))
     counts = rows.groupBy(by, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counts.withColumn("bin_start", low + (high - low) * (F.col("bin") - 1) / bins)
 

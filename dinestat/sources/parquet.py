@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import types as T
 
 from dinestat.operators.shape import rearrange_columns
@@ -20,17 +20,20 @@ def read_order_items(
     spark: SparkSession, path: str, schema: T.StructType = ORDER_ITEMS
 ) -> DataFrame:
     """Order items in canonical form. Only the columns a query uses are scanned."""
-    return rearrange_columns(_existing(spark, path, "order items"), schema)
+    return rearrange_columns(_existing(spark.read, path, "order items"), schema)
 
 
-def _existing(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _existing(reader: DataFrameReader, path: str, name: str) -> DataFrame:
     """Parquet data at ``path``; FileNotFoundError when there is none."""
     try:
-        return spark.read.parquet(path)
+        df = reader.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise FileNotFoundError(f"no Parquet files for {name} at {path}") from error
-        raise
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        raise FileNotFoundError(f"no Parquet files for {name} at {path}") from error
+    if not df.inputFiles():
+        raise FileNotFoundError(f"no Parquet files for {name} at {path}")
+    return df
 
 
 def output_path(path: str | None, schemes: tuple[str, ...] | None = DEFAULT_SCHEMES) -> str | None:
@@ -80,9 +83,8 @@ def read_dataset(
     The declared schema keeps folder values such as ``007`` as text; left to
     inference they would turn into numbers and no longer join.
     """
-    _existing(spark, path, f"dataset {key!r}")
     wanted = schema or DATASETS[key].schema
-    return spark.read.schema(wanted).parquet(path).select(*wanted.names)
+    return _existing(spark.read.schema(wanted), path, f"dataset {key!r}").select(*wanted.names)
 
 
 def load_metrics(spark: SparkSession, base: str, views: bool = False) -> dict[str, DataFrame]:

@@ -1,0 +1,114 @@
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from dinestat.operators import sales
+
+
+def rows(df, *columns):
+    return sorted(tuple(row) for row in df.select(*columns).collect())
+
+
+def test_guests_count_and_missing_quantity_is_zero(make_items):
+    items = make_items(
+        {"customer_id": "_guest", "item_price": 3},
+        {"customer_id": None, "item_price": 4},
+        {"item_price": 10, "item_quantity": None},
+    )
+    for trend in sales.sales_trends(items):
+        assert sum(row.revenue for row in trend.collect()) == 7
+    assert sales.top_locations(items).first().total_revenue == 17
+    assert sales.discount_effectiveness(items).first().total_revenue == 17
+
+
+def test_weeks_around_new_year(make_items):
+    items = make_items({"date": dt.date(2021, 1, 1)}, {"date": dt.date(2024, 12, 30)})
+    weekly = sales.sales_trends(items).weekly
+    assert rows(weekly, "year", "week", "date") == [
+        (2021, 53, dt.date(2021, 12, 31)),
+        (2024, 1, dt.date(2024, 1, 1)),
+    ]
+    iso = sales.sales_trends(items, iso_weeks=True).weekly
+    assert rows(iso, "year", "week", "date") == [
+        (2020, 53, dt.date(2020, 12, 28)),
+        (2025, 1, dt.date(2024, 12, 30)),
+    ]
+
+
+def test_monthly_name_number_and_first_day(make_items):
+    monthly = sales.sales_trends(make_items({"date": dt.date(2024, 2, 29)}, {"date": None})).monthly
+    assert set(map(tuple, monthly.select("year", "month", "month_num", "date").collect())) == {
+        (2024, "February", 2, dt.date(2024, 2, 1)),
+        (None, None, None, None),
+    }
+
+
+@pytest.mark.parametrize("time, hour", [("07:05:59", 7), ("23:00:00", 23), ("7h", None), (None, None)])
+def test_hour_of_time(make_items, time, hour):
+    row = sales.sales_trends(make_items({"time": time})).hourly.first()
+    assert (row.hour, row.revenue) == (hour, 10)
+
+
+def test_granularity_labels_and_columns(make_items):
+    trends = sales.sales_trends(make_items({}))
+    assert [t.first().granularity for t in trends] == ["daily", "weekly", "monthly", "hourly"]
+    assert set(trends.daily.columns) == {
+        "year", "day", "date", "restaurant_id", "item_category", "revenue", "granularity",
+    }
+
+
+def test_every_granularity_has_the_same_total(sample):
+    totals = {
+        trend.agg(F.sum("revenue").cast("decimal(28,2)")).first()[0]
+        for trend in sales.sales_trends(sample)
+    }
+    assert len(totals) == 1
+    assert totals == {Decimal("400698370.81")}
+
+
+def test_sums_of_hours_equal_direct_sums(sample):
+    lines, hourly = sales.sales_lines(sample), sales.hourly_sales(sales.sales_lines(sample))
+    for level in (sales.daily_sales, sales.weekly_sales, sales.monthly_sales, sales.hourly_sales):
+        assert sorted(map(str, level(lines).collect())) == sorted(map(str, level(hourly).collect()))
+
+
+def test_rank_ties_go_to_the_lower_location(make_items):
+    items = make_items(*({"restaurant_id": r} for r in "cabd"), {"restaurant_id": "d"})
+    ranked = sales.top_locations(items)
+    assert rows(ranked, "rank", "restaurant_id") == [(1, "d"), (2, "a"), (3, "b"), (4, "c")]
+
+
+def test_orders_per_day(make_items):
+    first, second = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    items = make_items(
+        {"order_id": "x", "date": first},
+        {"order_id": "x", "date": first},
+        {"order_id": "y", "date": first},
+        {"order_id": "z", "date": second},
+        {"restaurant_id": "undated", "date": None},
+    )
+    ranked = sales.top_locations(items)
+    assert rows(ranked.filter("rank = 1"), "orders_per_day", "average_order_value") == [(1.5, 10.0)]
+    assert ranked.filter("rank = 2").first().orders_per_day is None
+    assert sales.top_locations(items, approx=True).first().orders_per_day == 1.5
+
+
+def test_other_location_column(sample):
+    ranked = sales.top_locations(sample, location_col="location_id").collect()
+    assert sorted(r.rank for r in ranked) == list(range(1, len(ranked) + 1))
+    by_rank = sorted(ranked, key=lambda r: r.rank)
+    assert by_rank == sorted(ranked, key=lambda r: (-r.total_revenue, r.location_id))
+
+
+def test_discount_needs_a_negative_option_price(make_items):
+    items = make_items(
+        {"option_price": -1, "option_quantity": 2, "order_id": "o"},
+        {"option_price": 2, "option_quantity": 1, "order_id": "o"},
+        {"option_price": None},
+        {"option_price": 0},
+    )
+    found = sales.discount_effectiveness(items)
+    columns = ("is_discounted", "total_orders", "total_revenue", "avg_order_value")
+    assert rows(found, *columns) == [(False, 3, 32, 32 / 3), (True, 1, 8, 8.0)]

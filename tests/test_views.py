@@ -1,0 +1,159 @@
+import datetime as dt
+
+import pytest
+
+from dinestat.operators import customers, sales
+from dinestat.plans import views
+
+
+@pytest.fixture(scope="module")
+def metrics(make_items):
+    items = make_items(
+        {"is_loyalty": True, "item_price": 300},
+        {"is_loyalty": True, "item_price": 100, "date": dt.date(2024, 1, 9)},
+        {"customer_id": "c2", "is_loyalty": False, "item_price": 50, "date": dt.date(2024, 2, 7)},
+        {"customer_id": "c3", "is_loyalty": None, "item_price": 20, "date": dt.date(2023, 5, 31)},
+        {"restaurant_id": "r2", "customer_id": "c1", "is_loyalty": True, "item_price": 1},
+    )
+    return {
+        "rfm": customers.segment_customers(customers.rfm(items)),
+        "clv": customers.tag_clv(customers.revenue_per_order(items), exact=True),
+        "profile": customers.customer_activity_profile(items),
+        "trends": sales.sales_trends(items),
+        "items": items,
+    }
+
+
+def values(df, *columns):
+    return [tuple(row) for row in df.select(*columns).collect()]
+
+
+def test_join_repeats_rfm_rows_within_their_restaurant(metrics):
+    view = views.segmentation_view(metrics["rfm"], metrics["clv"], restaurant="r1")
+    found = values(view["rfm_by_clv"], "restaurant_id", "customer_id", "monetary")
+    assert sorted(found) == [("r1", "c1", 400), ("r1", "c1", 400), ("r1", "c2", 50), ("r1", "c3", 20)]
+    everywhere = views.segmentation_view(metrics["rfm"], metrics["clv"])
+    assert everywhere["rfm_by_clv"].count() == 5
+
+
+def test_segmentation_tables(metrics):
+    view = views.segmentation_view(metrics["rfm"], metrics["clv"], restaurant="r1", top=2)
+    assert [r[0] for r in values(view["top_clv"], "total_revenue")] == [300, 100]
+    recency = [r[0] for r in values(view["rfm_table"], "recency")]
+    assert recency == sorted(recency)
+    tags = [r[0] for r in values(view["clv_tags"], "clv_tag")]
+    assert tags == sorted(tags)
+    means = {(r.is_loyalty, r.metric): r.average for r in view["rfm_means"].collect()}
+    assert set(means) == {(f, m) for f in (True, False) for m in ("recency", "frequency", "monetary")}
+    assert means[True, "monetary"] == 400.0
+    assert sum(r["count"] for r in view["monetary_histogram"].collect()) == 3
+
+
+def test_clv_tag_selection(metrics):
+    high = views.segmentation_view(metrics["rfm"], metrics["clv"], clv_tag="High CLV")
+    assert {r.clv_tag for r in high["rfm_by_clv"].collect()} == {"High CLV"}
+
+
+def test_alert_is_strictly_before_the_limit(metrics):
+    def alerts(as_of):
+        found = views.churn_customers(metrics["rfm"], metrics["profile"], 45, as_of)
+        return {r.customer_id: r.alert for r in found.filter("restaurant_id = 'r1'").collect()}
+
+    assert alerts(dt.date(2024, 3, 23)) == {"c1": True, "c2": False, "c3": True}
+    assert alerts(dt.datetime(2024, 3, 23, 1))["c2"] is True
+    assert alerts(dt.date(2024, 2, 23))["c1"] is False
+    assert all(alerts(None).values())
+
+
+def test_churn_selections(metrics):
+    def names(**selection):
+        view = views.churn_view(metrics["rfm"], metrics["profile"], "r1", **selection)
+        return {r.customer_id for r in view["profile_table"].collect()}
+
+    assert names() == {"c1", "c2", "c3"}
+    assert names(loyalty_only=True) == {"c1"}
+    assert names(segments=["Churn Risk"]) == {"c3"}
+    assert names(segments=[]) == set()
+    assert names(activity_tags=["active"]) == {"c1", "c2"}
+
+
+def test_churn_tables(metrics):
+    view = views.churn_view(metrics["rfm"], metrics["profile"], "r1")
+    idle = [r[0] for r in values(view["profile_table"], "days_since_last_order")]
+    assert idle == sorted(idle, reverse=True)
+    dates = [r[0] for r in values(view["revenue_by_last_order"], "last_order_date")]
+    assert dates == sorted(dates)
+    assert sum(r["count"] for r in view["segment_distribution"].collect()) == 3
+    assert view["gap_scatter"].columns[:2] == ["avg_gap_days", "days_since_last_order"]
+
+
+def test_churn_accepts_untidy_names_and_key_types(metrics, spark):
+    rfm = spark.createDataFrame(
+        [(7, "c", 1, 1, 1.0, True, "VIP")],
+        "` Restaurant_ID` INT, customer_id STRING, recency INT, frequency INT, monetary DOUBLE,"
+        " is_loyalty BOOLEAN, segment STRING",
+    )
+    profile = spark.createDataFrame(
+        [("7", "c", "2024-01-01", 1.0, 1.0, 1, "active"), ("8", "c", "soon", 1.0, 1.0, 1, "active")],
+        "restaurant_id STRING, customer_id STRING, last_order_date STRING, avg_gap_days DOUBLE,"
+        " avg_pct_change DOUBLE, days_since_last_order INT, activity_tag STRING",
+    )
+    assert views.churn_view(rfm, profile)["profile_table"].count() == 1
+    with pytest.raises(ValueError, match="customer_id"):
+        views.churn_view(rfm.drop("customer_id"), profile)
+
+
+def test_unreadable_last_order_raises_no_alert(spark):
+    rfm = spark.createDataFrame([("8", "c", 1)], "restaurant_id STRING, customer_id STRING, recency INT")
+    profile = spark.createDataFrame(
+        [("8", "c", "soon")], "restaurant_id STRING, customer_id STRING, last_order_date STRING"
+    )
+    row = views.churn_customers(rfm, profile).first()
+    assert (row.last_order_date, row.alert) == (None, False)
+
+
+def test_drilldown(metrics):
+    def feed(*args, **selection):
+        return views.sales_trend_view(metrics["trends"], *args, **selection)
+
+    january = feed("Daily", "r1", year=2024, month="January")
+    assert values(january, "date", "week_of_month") == [
+        (dt.date(2024, 1, 1), 1),
+        (dt.date(2024, 1, 9), 2),
+    ]
+    assert feed("Daily", "r1", year=2024, month=1, week=2).count() == 1
+    assert feed("Hourly", "r1").count() == 4
+    weekly = values(feed("Weekly", "r1", year=2024), "week", "month_name")
+    assert weekly == [(1, "January"), (2, "January"), (6, "February")]
+    assert values(feed("monthly", "r1"), "month", "month_name", "year") == [
+        (1, "January", 2024),
+        (2, "February", 2024),
+        (5, "May", 2023),
+    ]
+    with pytest.raises(ValueError, match="granularity"):
+        feed("Yearly")
+
+
+def test_trend_choices(metrics):
+    offered = views.trend_choices(views.sales_trend_view(metrics["trends"], restaurant="r1"))
+    assert [r.year for r in offered["years"].collect()] == [2024, 2023]
+    assert [r.month for r in offered["months"].collect()] == [1, 2, 5]
+    assert [r.week_of_month for r in offered["weeks"].collect()] == [1, 2, 5]
+
+
+def test_loyalty_view_leaves_unknown_out(metrics):
+    impact = customers.loyalty_impact(metrics["items"])
+    view = views.loyalty_view(impact, customers.loyalty_summary(impact))
+    assert {r.is_loyalty for r in view["lifetime_value_box"].collect()} == {True, False}
+    bars = {r.is_loyalty: r.total_repeat_orders for r in view["repeat_orders"].collect()}
+    assert bars == {True: 3, False: 1}
+    assert view["summary"].count() == 4
+
+
+def test_location_and_discount_views(metrics):
+    located = views.location_view(sales.top_locations(metrics["items"]), top=1)
+    assert values(located["top"], "restaurant_id") == [("r1",)]
+    assert values(located["revenue_bars"], "restaurant_id") == [("r1",), ("r2",)]
+    discounted = views.discount_view(sales.discount_effectiveness(metrics["items"]), top=1)
+    assert discounted["table"].count() == 1
+    assert "discount_flag" in discounted["revenue_bars"].columns
