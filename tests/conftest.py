@@ -64,3 +64,18 @@ def sample(spark):
     from dinestat.sources.star import order_items
 
     return settle(order_items(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.fixture
+def settings(spark):
+    """Sets session options for one test and puts the former ones back."""
+    changed = {}
+
+    def change(options: dict):
+        for key, value in options.items():
+            changed.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in changed.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)

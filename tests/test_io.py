@@ -81,19 +81,12 @@ def test_rewriting_replaces_a_dataset(spark, tmp_path):
     assert [r.k for r in spark.read.parquet(path).collect()] == ["b"]
 
 
-def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
-    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)
-    before = [spark.conf.get(k) for k in keys]
-    spark.conf.set(keys[0], "50KB")
-    try:
-        df = spark.range(60_000, numPartitions=6).select(
-            F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id") % 5).alias("k"),
-            F.sha2(F.col("id").cast("string"), 256).alias("text"),
-        )
-        write_metric(df, str(tmp_path / "hot"), "k")
-    finally:
-        for k, value in zip(keys, before):
-            spark.conf.set(k, value)
+def test_a_large_folder_is_written_by_several_tasks(spark, settings, tmp_path):
+    settings({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB"})
+    key = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 5))
+    text = F.sha2(F.col("id").cast("string"), 256)
+    df = spark.range(60_000, numPartitions=6).select(key.alias("k"), text.alias("text"))
+    write_metric(df, str(tmp_path / "hot"), "k")
     assert len(list((tmp_path / "hot" / "k=hot").glob("*.parquet"))) > 1
     assert spark.read.parquet(str(tmp_path / "hot")).count() == 60_000
 
