@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from dinestat.functions.dates import latest  # noqa: E402
 from dinestat.functions.money import is_discounted, line_revenue  # noqa: E402
 from dinestat.functions.tags import SegmentThresholds  # noqa: E402
 from dinestat.operators import charts, customers, sales, shape  # noqa: E402
@@ -130,8 +131,7 @@ def rfm(spark, folder):
 
 @query
 def rfm_from_days(spark, folder):
-    days = settle(customers.customer_days(order_items(spark, folder)))
-    return plain(customers.rfm_from_days(days))
+    return plain(customers.rfm_from_days(_days(spark, folder)))
 
 
 @query
@@ -141,11 +141,7 @@ def rfm_segmented(spark, folder):
 
 @query
 def rfm_segmented_tuned(spark, folder):
-    return plain(_segmented(spark, folder))
-
-
-def _segmented(spark, folder) -> DataFrame:
-    return customers.segment_customers(customers.rfm(order_items(spark, folder)), TUNED)
+    return plain(customers.segment_customers(customers.rfm(order_items(spark, folder)), TUNED))
 
 
 @query
@@ -166,8 +162,7 @@ def loyalty_impact(spark, folder):
 
 @query
 def loyalty_from_days(spark, folder):
-    days = settle(customers.customer_days(order_items(spark, folder)))
-    return plain(customers.loyalty_from_days(days))
+    return plain(customers.loyalty_from_days(_days(spark, folder)))
 
 
 @query
@@ -241,10 +236,19 @@ def restaurant_choices(spark, folder):
     return plain(shape.choices(order_items(spark, folder), "restaurant_id"))
 
 
+def _days(spark, folder) -> DataFrame:
+    """Customer days, written once for all that a view builds on them."""
+    return settle(customers.customer_days(order_items(spark, folder)))
+
+
+def _segmented(days: DataFrame) -> DataFrame:
+    return customers.segment_customers(customers.rfm_from_days(days), TUNED)
+
+
 def _segmentation(spark, folder, **options) -> dict[str, DataFrame]:
-    return views.segmentation_view(
-        _segmented(spark, folder), settle(_tagged(spark, folder)), **options
-    )
+    days = _days(spark, folder)
+    clv = customers.tag_clv(customers.day_revenue(days), exact=True)
+    return views.segmentation_view(_segmented(days), clv, **options)
 
 
 @query
@@ -283,8 +287,11 @@ def monetary_histogram(spark, folder):
 
 
 def _churn(spark, folder, **options) -> dict[str, DataFrame]:
-    profile = customers.customer_activity_profile(order_items(spark, folder))
-    return views.churn_view(_segmented(spark, folder), profile, as_of=AS_OF, **options)
+    days = _days(spark, folder)
+    profile = customers.customer_activity_profile(
+        order_items(spark, folder), as_of=latest(days, "max_date")
+    )
+    return views.churn_view(_segmented(days), profile, as_of=AS_OF, **options)
 
 
 @query

@@ -235,18 +235,18 @@ def _within_days(lines: DataFrame, keys: list[str], date_col: str, revenue_col:
     """Per customer and day: summed changes, first and last revenue, dated rows."""
     # Equal revenue as the last tie-break: rows still tied are interchangeable.
     in_order = Window.partitionBy(*keys, date_col).orderBy("order_id", "lineitem_id", revenue_col)
-    revenue, previous = F.col(revenue_col), F.lag(revenue_col).over(in_order)
     placed = lines.select(
         *keys,
         date_col,
-        revenue.alias("revenue"),
-        relative_change(revenue, previous).alias("change"),
+        F.col(revenue_col).alias("revenue"),
+        F.lag(revenue_col).over(in_order).alias("previous"),
         (F.row_number().over(in_order) == 1).alias("is_first"),
         F.lead(F.lit(1)).over(in_order).isNull().alias("is_last"),
     )
+    change = relative_change(F.col("revenue"), F.col("previous"))
     return placed.groupBy(*keys, date_col).agg(
-        F.sum("change").alias("change"),
-        F.count("change").alias("changes"),
+        F.sum(change).alias("change"),
+        F.count(change).alias("changes"),
         F.max(F.when(F.col("is_first"), F.col("revenue"))).alias("opening"),
         F.max(F.when(F.col("is_last"), F.col("revenue"))).alias("closing"),
         F.count(date_col).alias("dated_rows"),
@@ -256,11 +256,11 @@ def _within_days(lines: DataFrame, keys: list[str], date_col: str, revenue_col:
 def _day_to_day(days: DataFrame, keys: list[str], date_col: str) -> DataFrame:
     """Add each day's change from the last row of the customer's previous day."""
     by_day = Window.partitionBy(*keys).orderBy(date_col)
-    step = relative_change(F.col("opening"), F.lag("closing").over(by_day))
-    stepped = days.withColumn("step", step)
-    return stepped.withColumn(
-        "change", F.coalesce(F.col("change") + F.col("step"), F.col("change"), F.col("step"))
-    ).withColumn("changes", F.col("changes") + F.col("step").isNotNull().cast("int"))
+    follows = days.withColumn("previous", F.lag("closing").over(by_day))
+    stepped = follows.withColumn("step", relative_change(F.col("opening"), F.col("previous")))
+    change = F.coalesce(F.col("change") + F.col("step"), F.col("change"), F.col("step"))
+    changes = F.col("changes") + F.col("step").isNotNull().cast("int")
+    return stepped.withColumns({"change": change, "changes": changes})
 
 
 def _tag_activity(profile: DataFrame, risk_days: int) -> DataFrame:

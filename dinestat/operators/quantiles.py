@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dinestat.sources.parquet import settle
+
 #: Rank error of the sketch that places the brackets is at most one in this many.
 SKETCH_ACCURACY = 10_000
 #: Half width of a bracket, five times that error.
@@ -29,16 +31,22 @@ def exact_quantiles(
     A sketch brackets each quantile, then rows below the bracket are only counted and
     the few values inside it are put in order. Where a count shows that the bracket
     missed, its missed side is opened, so the result never depends on the sketch.
+
+    ``df`` is read three times without shuffling it, so pass a written table. The
+    brackets are written, twice, in jobs this starts: their size is then known, and
+    Spark broadcasts them unless there are very many groups.
     """
     known = df.select(*keys, F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    weighted = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
-    targets = _checked(weighted, _bracketed(known, keys, probabilities, interpolate), keys)
+    brackets = settle(_bracketed(known, keys, probabilities, interpolate))
+    targets = settle(_checked(known, brackets, keys))
 
     above_floor = F.col("floor").isNull() | (F.col("v") >= F.col("floor"))
     below_roof = F.col("roof").isNull() | (F.col("v") <= F.col("roof"))
-    inside = weighted.join(targets, keys).filter(above_floor & below_roof)
+    inside = known.join(targets, keys).filter(above_floor & below_roof)
+    wanted = ["first_rank", "last_rank", "share", "skipped"]
+    weighted = inside.groupBy(*keys, "name", *wanted, "v").agg(F.count(F.lit(1)).alias("rows"))
     in_order = Window.partitionBy(*keys, "name").orderBy("v")
-    reached = inside.withColumn("reached", F.col("skipped") + F.sum("w").over(in_order))
+    reached = weighted.withColumn("reached", F.col("skipped") + F.sum("rows").over(in_order))
 
     def at(name: str, rank: str) -> Column:
         hit = (F.col("name") == name) & (F.col("reached") >= F.col(rank))
@@ -90,15 +98,15 @@ def _bracketed(
     return sketched.select(*keys, F.inline(targets))
 
 
-def _checked(weighted: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+def _checked(known: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Brackets with the rows below them counted, opened where a wanted rank is outside."""
-    v, w = F.col("v"), F.col("w")
+    v = F.col("v")
     counted = (
-        weighted.join(brackets, keys)
-        .groupBy(*keys, *(c for c in brackets.columns if c not in keys))
+        known.join(brackets, keys)
+        .groupBy(*brackets.columns)
         .agg(
-            F.coalesce(F.sum(F.when(v < F.col("low"), w)), F.lit(0)).alias("below"),
-            F.coalesce(F.sum(F.when(v <= F.col("high"), w)), F.lit(0)).alias("up_to"),
+            F.count_if(v < F.col("low")).alias("below"),
+            F.count_if(v <= F.col("high")).alias("up_to"),
         )
     )
     starts_inside = F.col("first_rank") > F.col("below")

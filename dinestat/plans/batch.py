@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from dinestat.functions.dates import as_of_date
 from dinestat.operators import customers, sales
@@ -25,6 +26,7 @@ def build_metrics(
     as_of: dt.date | str | None = None,
     schemes: tuple[str, ...] | None = DEFAULT_SCHEMES,
     exact_clv: bool = False,
+    at_once: int = 4,
 ) -> dict[str, DataFrame]:
     """Write every metric of canonical ``items`` below ``base`` and return them as read.
 
@@ -32,30 +34,52 @@ def build_metrics(
     revenue, CLV, RFM and loyalty), the activity profile, the hourly sales (then daily,
     weekly and monthly), the locations and the discounts. What several datasets build
     on is written first and read back with only the columns each of them needs.
+
+    Up to ``at_once`` datasets are written at the same time, so that executors left
+    idle by the last tasks of one job take up the next.
     """
     base = output_path(base, schemes)
     if base is None:
         raise ValueError("an output path is needed")
     spark = items.sparkSession
 
-    def write(df: DataFrame, key: str) -> DataFrame:
+    def write(key: str, df: DataFrame) -> DataFrame:
         write_dataset(df, dataset_path(base, key), key)
         return read_dataset(spark, dataset_path(base, key), key)
 
-    days = settle(customers.customer_days(items))
-    snapshot = as_of_date(as_of, days, "max_date")
+    def trends() -> None:
+        folder = dataset_path(base, sales.HOURLY).removesuffix(sales.HOURLY)
+        sales.sales_trends(items, folder, schemes=schemes)
+
+    def lifetime_value(days: DataFrame) -> None:
+        revenue = write("revenue", customers.day_revenue(days))
+        limits = settle(customers.clv_thresholds(revenue, exact=exact_clv))
+        write("clv", customers.tag_clv(revenue, thresholds=limits))
 
-    revenue = write(customers.day_revenue(days), "revenue")
-    thresholds = settle(customers.clv_thresholds(revenue, exact=exact_clv))
-    write(customers.tag_clv(revenue, thresholds=thresholds), "clv")
+    def loyalty(days: DataFrame) -> None:
+        impact = write("loyalty", customers.loyalty_from_days(days))
+        write("loyalty_summary", customers.loyalty_summary(impact))
 
-    write(customers.segment_customers(customers.rfm_from_days(days, snapshot)), "rfm")
-    write(customers.customer_activity_profile(items, as_of=snapshot), "profile")
+    def scores(days: DataFrame, snapshot: Column) -> None:
+        write("rfm", customers.segment_customers(customers.rfm_from_days(days, snapshot)))
 
-    impact = write(customers.loyalty_from_days(days), "loyalty")
-    write(customers.loyalty_summary(impact), "loyalty_summary")
+    def profile(snapshot: Column) -> None:
+        write("profile", customers.customer_activity_profile(items, as_of=snapshot))
 
-    sales.sales_trends(items, dataset_path(base, "hourly").removesuffix(sales.HOURLY), schemes=schemes)
-    write(sales.top_locations(items), "locations")
-    write(sales.discount_effectiveness(items), "discounts")
+    with ThreadPoolExecutor(at_once) as pool:
+        started = [
+            pool.submit(trends),
+            pool.submit(lambda: write("locations", sales.top_locations(items))),
+            pool.submit(lambda: write("discounts", sales.discount_effectiveness(items))),
+        ]
+        days = settle(customers.customer_days(items))
+        snapshot = as_of_date(as_of, days, "max_date")
+        started += [
+            pool.submit(profile, snapshot),
+            pool.submit(scores, days, snapshot),
+            pool.submit(lifetime_value, days),
+            pool.submit(loyalty, days),
+        ]
+        for step in started:
+            step.result()
     return load_metrics(spark, base)

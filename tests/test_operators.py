@@ -96,15 +96,18 @@ def cont(values, p):
 PROBABILITIES = {"lowest": 0.0, "q20": 0.2, "half": 0.5, "q80": 0.8, "top": 1.0}
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.integers(-5, 40), min_size=1, max_size=60))
-def test_exact_quantiles_of_small_groups(spark, numbers):
-    df = spark.createDataFrame([("g", n) for n in numbers], "k STRING, v INT")
-    found = exact_quantiles(df, ["k"], "v", PROBABILITIES).first().asDict()
-    assert found == {"k": "g", **{n: disc(numbers, p) for n, p in PROBABILITIES.items()}}
-    between = exact_quantiles(df, ["k"], "v", PROBABILITIES, interpolate=True).first().asDict()
-    for name, p in PROBABILITIES.items():
-        assert between[name] == pytest.approx(cont(numbers, p))
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.integers(-5, 40), min_size=1, max_size=40), min_size=30, max_size=60))
+def test_exact_quantiles_of_small_groups(spark, groups):
+    data = [(str(g), n) for g, numbers in enumerate(groups) for n in numbers]
+    df = spark.createDataFrame(data, "k STRING, v INT")
+    found = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBABILITIES).collect()}
+    between = exact_quantiles(df, ["k"], "v", PROBABILITIES, interpolate=True)
+    between = {r.k: r for r in between.collect()}
+    for g, numbers in enumerate(groups):
+        for name, p in PROBABILITIES.items():
+            assert found[str(g)][name] == disc(numbers, p)
+            assert between[str(g)][name] == pytest.approx(cont(numbers, p))
 
 
 def skewed(spark):
