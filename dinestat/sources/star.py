@@ -26,8 +26,8 @@ COLUMNS = {
     "date_key": "CAST(o_orderdate AS DATE)",
     "time": """concat(lpad(CAST(l_orderkey % 24 AS STRING), 2, '0'), ':',
         lpad(CAST(l_orderkey % 60 AS STRING), 2, '0'), ':00')""",
-    "day_of_weeks": "date_format(o_orderdate, 'EEEE')",
-    "month_name": "date_format(o_orderdate, 'MMMM')",
+    "day_of_weeks": "date_format(CAST(o_orderdate AS DATE), 'EEEE')",
+    "month_name": "date_format(CAST(o_orderdate AS DATE), 'MMMM')",
 }
 
 
