@@ -23,10 +23,14 @@ def _refuse_repeats(names: Iterable[str]) -> None:
 
 def rearrange_columns(
     df: DataFrame,
-    schema: T.StructType = ORDER_ITEMS,
+    columns: T.StructType | list[str] = ORDER_ITEMS,
     renames: dict[str, str] = RENAMES,
 ) -> DataFrame:
-    """The schema's columns, in its order and types: absent ones null, others dropped."""
+    """The wanted columns in their order: absent ones null, others dropped.
+
+    A schema also sets the types. With a list of names, columns keep the type they
+    have, and absent ones get that of the order-items table, or text.
+    """
     _refuse_repeats(df.columns)
     present = {name.lower(): name for name in df.columns}
     for source, target in renames.items():
@@ -38,7 +42,17 @@ def rearrange_columns(
         value = F.lit(None) if name is None else F.col(f"`{name}`")
         return value.cast(field.dataType).alias(field.name)
 
-    return df.select(*map(column, schema))
+    return df.select(*map(column, _typed(columns, df, present)))
+
+
+def _typed(
+    columns: T.StructType | list[str], df: DataFrame, present: dict[str, str]
+) -> T.StructType:
+    if isinstance(columns, T.StructType):
+        return columns
+    known = {field.name: field.dataType for field in [*ORDER_ITEMS, *df.schema]}
+    kinds = (known.get(present.get(name.lower(), name), T.StringType()) for name in columns)
+    return T.StructType([T.StructField(*pair) for pair in zip(columns, kinds)])
 
 
 def normalise_names(df: DataFrame) -> DataFrame:

@@ -25,14 +25,17 @@ def read_order_items(
 
 def _existing(reader: DataFrameReader, path: str, name: str) -> DataFrame:
     """Parquet data at ``path``; FileNotFoundError when there is none."""
+    missing = FileNotFoundError(f"no Parquet files for {name} at {path}")
     try:
         df = reader.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        raise FileNotFoundError(f"no Parquet files for {name} at {path}") from error
-    if not df.inputFiles():
-        raise FileNotFoundError(f"no Parquet files for {name} at {path}")
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise missing from error
+        raise
+    # With a stated schema a folder without files reads as no rows. File names are
+    # asked for only then, as there may be very many.
+    if df.isEmpty() and not df.inputFiles():
+        raise missing
     return df
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -226,6 +227,25 @@ def test_profile_matches_a_walk_over_each_customer(sample):
         assert row.avg_pct_change == (None if change is None else pytest.approx(change))
 
 
+def test_profile_of_a_customer_with_most_rows(make_items):
+    rng = random.Random(5)
+    hot = [
+        {
+            "date": day(rng.randrange(300)),
+            "order_id": f"o{rng.randrange(40)}",
+            "item_price": rng.randrange(4),
+        }
+        for _ in range(1500)
+    ]
+    cold = [{"customer_id": f"x{i % 90}", "date": day(i % 7), "item_price": i} for i in range(300)]
+    items = make_items(*hot, *cold)
+    expected = brute_profile(items)
+    for row in customers.customer_activity_profile(items).collect():
+        _, gap, change = expected[row.restaurant_id, row.customer_id]
+        assert row.avg_gap_days == pytest.approx(gap)
+        assert row.avg_pct_change == (None if change is None else pytest.approx(change))
+
+
 def test_closed_form_gap_equals_profile_gap(sample):
     columns = ("restaurant_id", "customer_id", "avg_gap_days")
     closed = {tuple(r) for r in customers.average_gap(sample).select(*columns).collect()}

@@ -30,6 +30,13 @@ def test_rearrange_prefers_the_canonical_name(spark):
     assert shape.rearrange_columns(df).first().customer_id == "c"
 
 
+def test_rearrange_by_names_keeps_types(spark):
+    df = spark.createDataFrame([(1.5, "u", "x")], "Item_Price DOUBLE, user_id STRING, foo STRING")
+    out = shape.rearrange_columns(df, ["date", "user_id", "customer_id", "item_price", "bar"])
+    assert [kind for _, kind in out.dtypes] == ["date", "string", "string", "double", "string"]
+    assert tuple(out.first()) == (None, "u", "u", 1.5, None)
+
+
 def test_repeated_names_are_refused(spark):
     df = spark.range(1).select(F.lit(1).alias("size"), F.lit(2).alias("Size"))
     with pytest.raises(ValueError, match="size"):
