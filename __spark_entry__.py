@@ -31,6 +31,15 @@ from dinestat.sources.parquet import checkpoint_folder, settle  # noqa: E402
 from dinestat.sources.star import order_items  # noqa: E402
 from oracle import ORACLE  # noqa: E402
 
+# Queries of the optional subpackage for training text, where it is present.
+try:
+    import corpus_pipeline
+    from dinestat.llm import queries as llm
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "dinestat.llm", "dinestat.llm.queries"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Segment limits at which the given tables have customers in every segment.
@@ -432,8 +441,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | ({} if llm is None else llm.QUERIES | {"pipeline": corpus_pipeline.run})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | ({} if llm is None else llm.ORACLE)
