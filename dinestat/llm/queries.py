@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dinestat.llm import decontaminate
+from dinestat.llm import decontaminate, neardup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_quality_rules(spark, folder):
+    return quality_rules.quality_rules(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 @query
 def op8_decontamination(spark, folder):
     spans = decontaminate.contaminated_spans(
