@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dinestat.llm import decontaminate, neardup, quality_rules
+from dinestat.llm import decontaminate, neardup, packing, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,11 +23,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_pii(spark, folder):
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op4_near_duplicates(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op5_packing(spark, folder):
+    return packing.packed(table(spark, folder, "documents"))
+
+
 @query
 def op10_quality_rules(spark, folder):
     return quality_rules.quality_rules(
