@@ -102,6 +102,25 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(33))
 
 
+def counted(df: DataFrame, count: Callable[[], Callable], schema: str) -> DataFrame:
+    """Counts ``n`` by the key columns of ``schema``, over all rows of ``df``.
+
+    ``count()`` runs once per task and returns a function that counts the keys of one
+    batch; batches are summed in tasks before anything moves.
+    """
+    keys = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches):
+        counter = count()
+        for batch in batches:
+            found = counter(batch)
+            if found:
+                rows = [(*(k if isinstance(k, tuple) else (k,)), n) for k, n in found.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[*keys, "n"])
+
+    return df.mapInArrow(run, schema + ", n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def bounded_sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """The ``n`` rows least by hash of ``key``, the same ones on every run.
 
@@ -133,6 +152,7 @@ __all__ = [
     "WORD_BYTES",
     "bounded_sample",
     "column",
+    "counted",
     "held_out",
     "labelled_texts",
     "learnable",

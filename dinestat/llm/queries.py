@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from dinestat.llm import decontaminate, neardup, packing, pii, quality_rules
+from pyspark.sql import functions as F
+
+from dinestat.llm import (
+    decontaminate,
+    language,
+    licenses,
+    neardup,
+    packing,
+    pii,
+    quality_rules,
+    toxicity,
+    urls,
+)
+from dinestat.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +40,11 @@ def op2_pii(spark, folder):
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+@query
+def op3_licenses(spark, folder):
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
 @query
 def op4_near_duplicates(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
@@ -38,6 +55,27 @@ def op5_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"))
 
 
+@query
+def op6_toxicity(spark, folder):
+    scored = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "passages"
+    )
+
+
+@query
+def op7_language(spark, folder):
+    found = language.identify_language(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+@query
+def op9_url_filters(spark, folder):
+    return urls.url_filter(table(spark, folder, "pages"))
+
+
 @query
 def op10_quality_rules(spark, folder):
     return quality_rules.quality_rules(
