@@ -15,6 +15,7 @@ from dinestat.llm import (
     packing,
     pii,
     quality_rules,
+    sitequality,
     toxicity,
     urls,
 )
@@ -35,6 +36,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_quality(spark, folder):
+    """Documents by the host and path of their page, else of their source."""
+    docs = table(spark, folder, "documents")
+    of_page = sitequality.page_sites(table(spark, folder, "pages"))
+    return sitequality.site_quality(docs, table(spark, folder, "labels"), of_page, source_col="source")
+
+
 @query
 def op2_pii(spark, folder):
     return pii.personal_data(table(spark, folder, "documents"))
