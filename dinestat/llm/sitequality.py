@@ -87,6 +87,7 @@ def fit_classifier(
             [T.StructField("x", T.ArrayType(T.DoubleType()))],
         )
         .orderBy("id", "good", "x")
+        .limit(2 * sample)  # ids may repeat in documents
         .collect()
     )
     good = np.array([r["good"] for r in rows], float)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinestat.llm.common import WORD_BYTES, column, counted, labelled_texts, learnable, per_text
+from dinestat.llm.common import WORD_BYTES, column, counted, labelled_texts, learnable, per_text, settle
 
 #: Letters (bytes) of a word's beginnings that count as tokens of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -168,9 +168,11 @@ def fit_toxicity(
 
     counts = counted(rows.select("text", "toxic"), count, "token binary, toxic boolean")
     is_toxic = F.col("toxic")
-    sides = counts.groupBy("token").agg(
-        F.sum(F.when(is_toxic, F.col("n")).otherwise(0)).alias("y1"),
-        F.sum(F.when(is_toxic, 0).otherwise(F.col("n"))).alias("y0"),
+    sides = settle(
+        counts.groupBy("token").agg(
+            F.sum(F.when(is_toxic, F.col("n")).otherwise(0)).alias("y1"),
+            F.sum(F.when(is_toxic, 0).otherwise(F.col("n"))).alias("y0"),
+        )
     )
     whole = F.substring("token", 1, 1) == F.lit(b"=")
     n1, n0 = sides.where(whole).agg(F.sum("y1"), F.sum("y0")).first()
@@ -201,7 +203,8 @@ def fit_toxicity(
         return kernel
 
     fields = [T.StructField("words", T.LongType()), T.StructField("best", T.DoubleType())]
-    seen = per_text(rows, ["id", "toxic"], "text", start, fields).orderBy("id", "toxic", "best").collect()
+    scores = per_text(rows, ["id", "toxic"], "text", start, fields)
+    seen = scores.orderBy("id", "toxic", "best").limit(2 * sample).collect()  # ids may repeat
     words, best = (np.array([r[c] for r in seen], float) for c in ("words", "best"))
     return fitted, fit_extremes(words, best, np.array([r["toxic"] for r in seen], bool))
 

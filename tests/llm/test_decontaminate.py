@@ -1,0 +1,99 @@
+import random
+
+import messy
+import pytest
+
+from dinestat.llm import decontaminate as dc
+
+
+def words_of(text):
+    low = (text or "").encode().translate(dc.WORD_BYTES)
+    return low.split()
+
+
+def brute(text, items):
+    """Words, words hit and items that occur, by comparing every window."""
+    words, hit, found = words_of(text), set(), set()
+    for item, body in items:
+        own = words_of(body)
+        n = min(dc.WINDOW, len(own))
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
+        for i in range(len(words) - n + 1) if n else ():
+            if tuple(words[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+                found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_found_as_by_comparing_all(seed):
+    rng = random.Random(seed)
+    vocabulary = ["a", "b", "c", "dé", "x9"] if seed % 2 else [f"w{i}" for i in range(40)]
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    items = [(str(i), text(rng.choice([0, 1, 2, 4, 5, 7, 9, 10, 11, 14, 30]))) for i in range(25)]
+    texts = []
+    for _ in range(60):
+        body = text(rng.randrange(0, 80)).split()
+        if rng.random() < 0.6:
+            own = rng.choice(items)[1].split()
+            cut = rng.randrange(len(own) + 1)
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = own[cut:] if rng.random() < 0.5 else own
+        texts.append(rng.choice([" ", ", ", "\n"]).join(body))
+    found = dc.find_windows(texts, dc.index_of(items))
+    for text_, (n, places, own) in zip(texts, found, strict=True):
+        covered = sum(b - a for a, b in dc.merged((s, s + k) for s, k in places.items()))
+        assert (n, covered, sorted(own)) == brute(text_, items)
+
+
+@pytest.mark.parametrize("n", [10, 11, 17])
+def test_every_shared_window_keeps_a_fingerprint(n):
+    rng = random.Random(n)
+    shared = [rng.choice("abcdefgh") for _ in range(n)]
+    index = dc.index_of([("1", " ".join(["p"] * 3 + shared + ["q"] * 20))])
+    for before in range(12):
+        text = " ".join([f"x{i}" for i in range(before)] + shared + ["y", "z"])
+        assert dc.find_windows([text], index)[0][2] == {"1"}
+
+
+def test_one_repeated_word_stays_linear():
+    index = dc.index_of([("1", "a " * 3000)])
+    (n, places, _), = dc.find_windows(["a " * 50_000], index)
+    assert n == 50_000 and dc.merged((s, s + k) for s, k in places.items()) == [[0, 50_000]]
+
+
+@pytest.mark.parametrize("block_words", [250_000, 12])
+def test_messy_rows(spark, block_words):
+    docs = messy.documents(spark)
+    items = [("" if i is None else str(i), t) for i, t in [(r[0], r[1]) for r in messy.benchmark(spark).collect()]]
+    found = dc.digest(dc.contaminated_spans(docs, messy.benchmark(spark), block_words=block_words)).collect()
+    import hashlib
+
+    expected = []
+    for doc, text, *_ in messy.TEXTS:
+        n, hit, own = brute(text, items)
+        sha = hashlib.sha256(",".join(own).encode()).hexdigest()
+        expected.append((doc, n, hit, len(own), sha, hit > 0))
+    assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
+    clean = dc.decontaminated(docs, messy.benchmark(spark), block_words=block_words)
+    assert clean.dtypes == docs.dtypes
+    kept = [(r["doc_id"], r["text"], r["kept"]) for r in clean.collect()]
+    wanted = [(t[0], t[1], "x") for t, e in zip(messy.TEXTS, expected, strict=True) if not e[5]]
+    assert sorted(kept, key=str) == sorted(wanted, key=str)
+
+
+def test_empty_tables(spark):
+    docs, items = messy.documents(spark), messy.benchmark(spark)
+    assert dc.contaminated_spans(docs.limit(0), items).count() == 0
+    assert dc.decontaminated(docs, items.limit(0)).count() == len(messy.TEXTS)
+
+
+def test_a_long_item_is_cut_without_losing_windows(spark):
+    body = " ".join(f"t{i}" for i in range(200))
+    items = messy.benchmark(spark, [(7, body)])
+    rows = [(i, " ".join(body.split()[i : i + 10]), "en", "a") for i in range(0, 191, 5)]
+    found = dc.contaminated_spans(messy.documents(spark, rows), items, block_words=40)
+    assert [r["items"] for r in found.collect()] == [["7"]] * len(rows)
