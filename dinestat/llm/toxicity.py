@@ -38,10 +38,12 @@ def segments(scores: list[tuple[int, float]], default: float) -> list[tuple[floa
     """Every maximal scoring segment: (score, first, last), by place.
 
     ``scores`` holds the places whose score differs from ``default``, ascending; the words
-    between count as one step. Each step joins earlier candidates at most once, so the
-    scan is linear.
+    between count as one step. Every candidate is left or joined once, so the scan is
+    linear.
     """
-    stack: list[list[float]] = []  # [sum before, sum after, first, last]
+    # Candidates: [sum before, sum after, first, last, next lower candidate whose sum
+    # before is less]. Those in between can never join what comes, so links skip them.
+    stack: list[list] = []
     total, at = 0.0, 0
     for place, score in scores:
         total += default * (place - at)
@@ -49,17 +51,17 @@ def segments(scores: list[tuple[int, float]], default: float) -> list[tuple[floa
         before, total = total, total + score
         if score <= 0:
             continue
-        new = [before, total, place, place]
+        after, first, j = total, place, len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or stack[j][1] >= new[1]:
+            while j >= 0 and stack[j][0] >= before:
+                j = stack[j][4]
+            if j < 0 or stack[j][1] >= after:
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            before, first, lower = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append(new)
-    return [(after - before, int(first), int(last)) for before, after, first, last in stack]
+            j = lower
+        stack.append([before, after, first, place, j])
+    return [(after - before, first, last) for before, after, first, last, _ in stack]
 
 
 @dataclass
