@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,15 +123,50 @@ def counted(df: DataFrame, count: Callable[[], Callable], schema: str) -> DataFr
     return df.mapInArrow(run, schema + ", n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def shared(spark: SparkSession, value) -> Callable:
+    """Sends a fitted model of bounded size to tasks; calling the result there gives it.
+
+    Classes of this package go along by value, which a plain broadcast does not do.
+    """
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(box.value)
+
+
 def bounded_sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """The ``n`` rows least by hash of ``key``, the same ones on every run.
 
-    Only for fitting models: ``n`` bounds what is fitted on, not what is scored.
+    Only for fitting models: ``n`` bounds what is fitted on, not what is scored. Of many
+    rows only those that hash low enough are ordered, about twice as many as are wanted,
+    so what tasks send does not grow with their number. Where few keys fill the table,
+    so that fewer rows hash low, the sample is smaller.
     """
     order = F.xxhash64(*(column(rows, k).cast("string") for k in key))
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.where(order < F.lit(int(-(2**63) + 2**64 * (2 * n / total))).cast("bigint"))
     return rows.orderBy(order, *(column(rows, k) for k in key)).limit(n)
 
 
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """About the ``n`` rows of ``key`` and ``n`` that have the largest counts, never more.
+
+    Counts fall into sixteen classes an octave. Whole classes are taken from the top, and
+    of the class that does not fit as many rows by hash as there is room for.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r["level"], r["size"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
+    room, least, share = n, None, 0.0
+    for place, size in sizes:
+        if size > room:
+            least, share = place, 0.9 * room / size
+            break
+        room -= size
+    if least is None:
+        return counts
+    low = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)
+    return counts.where((level > least) | (level == least) & low).limit(n)
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows a model may learn from; the others, a quarter, are held out."""
     return ~held_out(doc_id)
@@ -157,7 +194,9 @@ __all__ = [
     "labelled_texts",
     "learnable",
     "mixed",
+    "most_frequent",
     "per_text",
     "settle",
+    "shared",
     "spans_of_words",
 ]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinestat.llm.common import column, counted, per_text
+from dinestat.llm.common import column, counted, most_frequent, per_text, settle, shared
 
 #: Rules (host and path) with their verdicts.
 RULES = {
@@ -87,7 +87,8 @@ class Segmenter:
 def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
     """Words of the host's names and the path, its ending, and a mark for numbers."""
     names = host.split(".")
-    out = [f"end:{names[-1]}"] if host else []
+    known = names[-1] in segmenter.cost or re.fullmatch("[a-z]{2,3}", names[-1])
+    out = [f"end:{names[-1] if known else '?'}"] if host else []
     for side, text in (("host", ".".join(names[:-1])), ("path", path.lower())):
         for run in re.findall(r"[a-z]+|[0-9]+", text):
             if run.isdigit():
@@ -98,7 +99,7 @@ def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
 
 
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``word`` and ``n`` over the visible text of all pages."""
+    """Words, ``key``, and ``n`` over the visible text of all pages."""
     hidden = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
 
     def count():
@@ -113,7 +114,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         return counter
 
     text = pages.select(F.coalesce(column(pages, html_col).cast("string"), F.lit("")).alias("html"))
-    return counted(text, count, "word string")
+    return counted(text, count, "key string")
 
 
 def host_verdict(host: str, segmenter: Segmenter) -> str | None:
@@ -131,7 +132,7 @@ def token_counts(pages: DataFrame, url_col: str, segmenter, rules: dict[str, str
     """
 
     def count():
-        own = segmenter.value
+        own = Segmenter(segmenter())
 
         def counter(batch):
             found = Counter()
@@ -187,14 +188,15 @@ def url_filter(
     and fits no rule. Repeated rows each get the same result. Without pages to learn from,
     names are not split and what no rule judges is allowed or blocked by the prior alone.
     """
-    context = pages.sparkSession.sparkContext
-    top = word_counts(pages, html_col).orderBy(F.desc("n"), "word").limit(lexicon).collect()
-    segmenter = context.broadcast(_Lexicon({row["word"]: row["n"] for row in top}))
-    counted = token_counts(pages, url_col, segmenter, rules).orderBy("token", "verdict").collect()
-    bayes = context.broadcast(Bayes((row["token"], row["verdict"], row["n"]) for row in counted))
+    spark = pages.sparkSession
+    top = most_frequent(settle(word_counts(pages, html_col)), lexicon).collect()
+    counts = {row["key"]: row["n"] for row in top}
+    segmenter = shared(spark, counts)
+    tokens = token_counts(pages, url_col, segmenter, rules).orderBy("token", "verdict").collect()
+    bayes = shared(spark, Bayes((row["token"], row["verdict"], row["n"]) for row in tokens))
 
     def start():
-        own, model = segmenter.value, bayes.value
+        own, model = Segmenter(segmenter()), bayes()
 
         def judged(url: str) -> tuple:
             host, path = parts_of(url)
@@ -212,14 +214,3 @@ def url_filter(
         T.StructField("block_probability", T.DoubleType()),
     ]
     return per_text(pages, [id_col], url_col, start, fields)
-
-
-class _Lexicon(Segmenter):
-    """A segmenter that is sent as its counts and set up again where it arrives."""
-
-    def __init__(self, counts: dict[str, int]):
-        super().__init__(counts)
-        self.counts = counts
-
-    def __reduce__(self):
-        return _Lexicon, (self.counts,)
