@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinestat.llm.common import WORD_BYTES, column, mixed, per_text, settle, spans_of_words
+from dinestat.llm.common import WORD_BYTES, column, mixed, per_text, settle, shared, spans_of_words
 
 #: Words of a window, of a fingerprint, and fingerprints of which the least is kept.
 WINDOW, K = 10, 5
@@ -234,10 +234,10 @@ def contaminated_spans(
 
     def search(rows: DataFrame, kept: tuple[str, ...], block: DataFrame | None) -> DataFrame:
         found = [] if block is None else [(r["item"], r["part"]) for r in block.collect()]
-        sent = spark.sparkContext.broadcast(index_of(found))
+        sent = shared(spark, index_of(found))
 
         def start():
-            index = sent.value
+            index = sent()
 
             def kernel(texts):
                 out = find_windows(texts, index)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinestat.llm.common import bounded_sample, column, learnable, per_text, settle
+from dinestat.llm.common import bounded_sample, column, learnable, per_text, settle, shared
 
 #: Length of the vectors, and centroids of a language.
 SIZE, CENTROIDS = 2048, 3
@@ -163,12 +163,10 @@ def identify_language(
     a letter, is UNDETERMINED with score 0 and rejected; so is every text when no language
     was there to learn. Repeated rows each get the same result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(
-        fit_centroids(docs, id_col, text_col, lang_col, **fit)
-    )
+    sent = shared(docs.sparkSession, fit_centroids(docs, id_col, text_col, lang_col, **fit))
 
     def start():
-        letters, model = letter_table(), sent.value
+        letters, model = letter_table(), sent()
 
         def kernel(texts):
             names = [UNDETERMINED] * len(texts)

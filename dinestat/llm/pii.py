@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dinestat.llm.bilstm_crf import Tagger, symbols, train
-from dinestat.llm.common import column, labelled_texts, per_text
+from dinestat.llm.common import column, labelled_texts, per_text, shared
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and between the starts of two; spans up to STEP are seen whole.
@@ -295,11 +295,13 @@ def personal_data(
     ``spans`` (base and added ones) and ``n_added``. A null or empty text has none.
     Repeated rows each get the same result. Without a model one is trained here.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit_tagger(docs, id_col, text_col))
+    sent = shared(docs.sparkSession, model or fit_tagger(docs, id_col, text_col))
 
     def start():
+        tagger = sent()
+
         def kernel(texts):
-            found = find_pii(texts, sent.value)
+            found = find_pii(texts, tagger)
             counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in range(len(KINDS))]
             digests = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
             return [*counts, digests, [joined(b + a) for b, a in found], [len(a) for _, a in found]]
@@ -322,11 +324,13 @@ def redacted(
 
     Other columns are unchanged; a null text stays null.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit_tagger(docs, id_col, text_col))
+    sent = shared(docs.sparkSession, model or fit_tagger(docs, id_col, text_col))
 
     def start():
+        tagger = sent()
+
         def kernel(texts):
-            found = find_pii(texts, sent.value)
+            found = find_pii(texts, tagger)
             return [[masked(t, base + added) for t, (base, added) in zip(texts, found, strict=True)]]
 
         return kernel

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinestat.llm.common import column, labelled_texts, per_text, settle
+from dinestat.llm.common import column, labelled_texts, per_text, settle, shared
 from dinestat.llm.textstats import RATES, counts_of
 
 #: Least documents of a site whose rate tells of the spread between sites.
@@ -139,10 +139,10 @@ def site_quality(
     labels the classifier gives one half to all.
     """
     model = fit_classifier(docs, labels, id_col, text_col, quality_col, sample)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     def start():
-        fitted = sent.value
+        fitted = sent()
         if fitted is None:
             return lambda texts: [np.full(len(texts), 0.5)]
         return lambda texts: [fitted.probability(features(texts))]

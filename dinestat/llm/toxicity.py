@@ -17,7 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinestat.llm.common import WORD_BYTES, column, counted, labelled_texts, learnable, per_text, settle
+from dinestat.llm.common import (
+    WORD_BYTES,
+    column,
+    counted,
+    labelled_texts,
+    learnable,
+    per_text,
+    settle,
+    shared,
+)
 
 #: Letters (bytes) of a word's beginnings that count as tokens of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -231,10 +240,10 @@ def toxicity(
     no words and the score of a text in which nothing tells. Repeated rows each get the
     same result. Without labels of both kinds every score is 0.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col, text_col, **fit))
+    sent = shared(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col, **fit))
 
     def start():
-        model = sent.value
+        model = sent()
         if model is None:
             return lambda texts: [np.zeros(len(texts)), np.zeros(len(texts), np.int32), [[] for _ in texts]]
         lexicon, law = model

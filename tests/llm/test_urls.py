@@ -1,0 +1,91 @@
+import math
+from itertools import combinations
+
+import pytest
+
+from dinestat.llm import urls
+
+
+@pytest.mark.parametrize(
+    ("url", "parts"),
+    [
+        ("http://A.Example.COM/En/x?y#z", ("a.example.com", "/En/x")),
+        ("https://a.com", ("a.com", "")),
+        ("https://a.com?x=/y", ("a.com", "")),
+        ("https://a.com#/y", ("a.com", "")),
+        ("x://y://z/w", ("y:", "//z/w")),
+        ("no scheme/here", ("", "")),
+        ("", ("", "")),
+        ("://É.COM/", ("É.com", "/")),
+    ],
+)
+def test_parts(url, parts):
+    assert urls.parts_of(url) == parts
+
+
+@pytest.mark.parametrize(
+    ("host", "path", "rule"),
+    [
+        ("example.com", "/en/1", "example.com/en/"),
+        ("m.example.com", "/en/", "example.com/en/"),
+        ("www.example.com", "/en/1", "www.example.com/en/"),
+        ("a.www.example.com", "/en/1", "www.example.com/en/"),
+        ("example.com", "/en", "com/"),
+        ("notexample.com", "/en/", "com/"),
+        ("example.com", "", None),
+        ("x.net", "/es/1", "net/es/"),
+        ("x.net", "/de/1", None),
+        ("xcom", "/", None),
+        ("com", "/", "com/"),
+    ],
+)
+def test_longest_rule(host, path, rule):
+    assert urls.fitting_rule(host, path, urls.RULES) == rule
+
+
+def test_splits_are_the_likeliest_of_all():
+    own = urls.Segmenter({"free": 50, "bets": 20, "freeb": 1, "spam": 9, "farm": 9, "a": 3, "be": 30, "ts": 2})
+    for letters in ("freebets", "spamfarm", "abets", "xfreey", "zzz", "a"):
+        def cost(words):
+            return sum(own._cost(w) for w in words)
+
+        cuts = [
+            [letters[a:b] for a, b in zip((0, *c), (*c, len(letters)), strict=True)]
+            for n in range(len(letters))
+            for c in combinations(range(1, len(letters)), n)
+        ]
+        assert cost(own.split(letters)) == pytest.approx(min(map(cost, cuts)))
+    assert own.split("freebets") == ("free", "bets") and own.split("") == ()
+
+
+def test_bayes():
+    model = urls.Bayes([("", "block", 3), ("", "allow", 5), ("x", "block", 4), ("y", "allow", 6), ("x", "allow", 1)])
+    words, block, allow = 2, 4 + 3, 7 + 3
+    assert words == len(model.odds)
+    expected = math.log(4 / 6) + math.log((5 / block) / (2 / allow)) + math.log((1 / block) / (7 / allow))
+    chance = model.block_probability(["x", "y", "never seen"])
+    assert math.log(chance / (1 - chance)) == pytest.approx(expected)
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, verdict string")
+
+
+def test_run_together_names_are_judged_by_their_words(spark):
+    text = "<p>free bets casino win cheap pills garden flowers books read tea music <script>zzqq</script>" * 3
+    rows = [(i, f"http://casino-win{i % 3}.example.org/en/{i}", text, "x", "x") for i in range(30)]
+    rows += [(100 + i, f"http://garden-books.example.org/de/{i}", text, "x", "x") for i in range(30)]
+    rows += [(200, "http://casinowin.example.org/en/9", None, "x", "x"), (201, "http://gardenbooks.example.org/de/9", "", "x", "x")]
+    found = {r["page_id"]: r for r in urls.url_filter(pages(spark, rows)).collect()}
+    assert found[200]["words"].startswith("casino win") and found[200]["verdict"] == "block"
+    assert found[201]["words"].startswith("garden books") and found[201]["verdict"] == "allow"
+    assert {r["rule"] for r in found.values()} == {None}
+
+
+def test_messy_rows(spark):
+    rows = [(1, None, None, "x", "x"), (None, "http://a.com/x", "<p", "x", "x"), (1, None, None, "x", "x"), (2, "http://" + "ab" * 5000 + ".com/", "w " * 100_000, "x", "x"), (3, "", "", "x", "x")]
+    found = urls.url_filter(pages(spark, rows)).collect()
+    assert sorted([(r["page_id"], r["host"][:4], r["path"], r["rule"], r["verdict"]) for r in found], key=str) == sorted(
+        [(1, "", "", None, "allow"), (1, "", "", None, "allow"), (None, "a.co", "/x", "com/", "allow"), (2, "abab", "/", "com/", "allow"), (3, "", "", None, "allow")], key=str
+    )
+    assert urls.url_filter(pages(spark, rows).limit(0)).count() == 0
