@@ -185,6 +185,9 @@ def linked(prints: np.ndarray, home: np.ndarray, group: np.ndarray) -> tuple[np.
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` whose components are those of all links between fingerprints."""
+    # Each row becomes some thirty, so that more tasks make them than the small table fills.
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // 1_000_000))
+    nodes = nodes.repartition(tasks, "fp")
     # Anchors with many at home become a grid of cells: those at home by row, all by column.
     crowded = settle(
         at_anchors(nodes, home_only=True)
