@@ -19,6 +19,8 @@ from dinestat.llm.common import bounded_sample, column, learnable, per_text, set
 
 #: Length of the vectors, and centroids of a language.
 SIZE, CENTROIDS = 2048, 3
+#: Characters counted at once.
+AT_ONCE = 500_000
 #: What is predicted for a text without letters.
 UNDETERMINED = "und"
 #: Spread of cosines in the score; share of learned texts that rejection leaves out.
@@ -39,16 +41,18 @@ def gram_counts(text: str, letters: np.ndarray) -> np.ndarray | None:
         is_letter[i] = chr(points[i]).isalpha()
     if not is_letter.any():
         return None
-    own = np.where(is_letter, points, 32).astype(np.uint64)
-    own = np.concatenate(([np.uint64(32)], own, [np.uint64(32)]))
+    blank = np.array([32], np.uint32)
+    own = np.concatenate((blank, np.where(is_letter, points, 32).astype(np.uint32), blank))
     out = np.zeros(SIZE)
-    rolled = np.zeros(len(own), np.uint64)
-    for n in (1, 2, 3):
-        rolled = rolled[: len(own) - n + 1] * np.uint64(0x100000001B3) + own[n - 1 :]
-        mixed = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
-        used = is_letter[: len(own) - n - 1] if n == 1 else (own[: len(own) - n + 1] != 32) | (own[n - 1 :] != 32)
-        chosen = mixed[1:-1][is_letter] if n == 1 else mixed[used]
-        out += np.bincount(chosen.astype(np.int64), minlength=SIZE)
+    for at in range(0, len(own), AT_ONCE):
+        part = own[at : at + AT_ONCE + 2].astype(np.uint64)
+        rolled = np.zeros(len(part), np.uint64)
+        for n in (1, 2, 3):
+            rolled = rolled[: len(part) - n + 1] * np.uint64(0x100000001B3) + part[n - 1 :]
+            first, last = part[: len(rolled)], part[n - 1 :]
+            used = ((first != 32) | (last != 32))[:AT_ONCE]
+            place = (rolled[:AT_ONCE][used] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
+            out += np.bincount(place.astype(np.int64), minlength=SIZE)
     return out
 
 

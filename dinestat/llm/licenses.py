@@ -192,19 +192,21 @@ def evaluated(polish: list[str]) -> tuple[float, set[str]] | None:
     ``or`` takes the freer side, ``and`` the stricter; ``with`` adds a little for the
     exception, which is no licence and gives no label.
     """
-    stack: list[tuple[float, set[str], str]] = []
+    stack: list[tuple[float, set[str]]] = []
     for token in polish:
         if token in RANK and len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((min(1.0, left[0] + EXCEPTION), left[1], ""))
+                stack.append((min(1.0, left[0] + EXCEPTION), left[1]))
             else:
                 pick = max if token == "or" else min
-                stack.append((pick(left[0], right[0]), left[1] | right[1], ""))
+                small, large = sorted((left[1], right[1]), key=len)
+                large |= small
+                stack.append((pick(left[0], right[0]), large))
         elif token not in RANK:
             label = label_of(token)
-            stack.append((FREEDOM.get(label, UNKNOWN), {label}, token))
-    return (stack[-1][0], stack[-1][1]) if stack else None
+            stack.append((FREEDOM.get(label, UNKNOWN), {label}))
+    return stack[-1] if stack else None
 
 
 # --- scan --------------------------------------------------------------------------

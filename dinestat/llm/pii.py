@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -219,16 +220,36 @@ def admitted(kind: int, text: str, start: int, end: int) -> bool:
 
 def reconciled(votes: dict[Span, int], taken: list[Span]) -> list[Span]:
     """Disjoint spans of most votes by length in total, clear of those taken already."""
-    spans = sorted(
-        (s for s in votes if not any(t[1] < s[2] and s[1] < t[2] for t in taken)),
-        key=lambda s: (s[2], s[1], s[0]),
-    )
-    best: list[tuple[int, list[Span]]] = [(0, [])]
+    # Ends of all that is taken, and where what reaches such an end starts, both ascending.
+    starts, ends = [], []
+    for _, start, end in sorted(taken, key=lambda s: s[1:]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def is_free(span: Span) -> bool:
+        at = bisect_right(ends, span[1])
+        return at == len(ends) or starts[at] >= span[2]
+
+    spans = sorted(filter(is_free, votes), key=lambda s: (s[2], s[1], s[0]))
+    last = [s[2] for s in spans]
+    best = [0]  # by number of spans looked at
+    before = []  # spans looked at before the one is taken; None where it is not
     for i, span in enumerate(spans):
-        fits = max((j + 1 for j in range(i) if spans[j][2] <= span[1]), default=0)
-        value = best[fits][0] + votes[span] * (span[2] - span[1])
-        best.append((value, [*best[fits][1], span]) if value > best[i][0] else best[i])
-    return best[-1][1]
+        fits = bisect_right(last, span[1], 0, i)
+        value = best[fits] + votes[span] * (span[2] - span[1])
+        before.append(fits if value > best[i] else None)
+        best.append(max(value, best[i]))
+    out, i = [], len(spans)
+    while i:
+        if before[i - 1] is None:
+            i -= 1
+        else:
+            out.append(spans[i - 1])
+            i = before[i - 1]
+    return out[::-1]
 
 
 def tagged_spans(texts: list[str], model: Tagger, at_once: int = 512) -> list[dict[Span, int]]:

@@ -62,7 +62,11 @@ class Segmenter:
     def __init__(self, counts: dict[str, int]):
         self.total = max(1, sum(counts.values()))
         self.cost = {word: -math.log(n / self.total) for word, n in counts.items()}
-        self.split = lru_cache(maxsize=50_000)(self._split)
+        self._known = lru_cache(maxsize=50_000)(self._split)
+
+    def split(self, letters: str) -> tuple[str, ...]:
+        """The words of a run of letters; short runs are remembered."""
+        return self._known(letters) if len(letters) <= 3 * LONGEST else self._split(letters)
 
     def _cost(self, word: str) -> float:
         known = self.cost.get(word)

@@ -29,7 +29,9 @@ def brute_grams(text):
 
 
 @pytest.mark.parametrize("text", ["a", "Ab c", "été", "x1y22z", "漢字 \U0001f600 \U00020000", "12 --", "", "a" * 500, messy.LONG[:3000]])
-def test_gram_counts(text):
+@pytest.mark.parametrize("at_once", [500_000, 7])
+def test_gram_counts(text, at_once, monkeypatch):
+    monkeypatch.setattr(lg, "AT_ONCE", at_once)
     found, expected = lg.gram_counts(text, lg.letter_table()), brute_grams(text)
     assert (found is None) == (expected is None)
     assert found is None or (found == expected).all()

@@ -123,6 +123,34 @@ def test_overlaps_are_settled_by_votes_over_the_whole_text():
     assert pii.reconciled(votes, [(1, 35, 50)]) == [(3, 0, 6), (2, 6, 12)]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_no_other_choice_has_more_votes(seed):
+    rng = random.Random(seed)
+    votes = {}
+    for _ in range(10):
+        start = rng.randrange(30)
+        votes[rng.randrange(4), start, start + rng.randrange(1, 9)] = rng.randrange(1, 4)
+    taken = [(0, 12, 15), (1, 14, 17)]
+
+    def disjoint(spans):
+        return all(a[2] <= b[1] or b[2] <= a[1] for i, a in enumerate(spans) for b in spans[:i])
+
+    def value(spans):
+        return sum(votes[s] * (s[2] - s[1]) for s in spans)
+
+    free = [s for s in votes if disjoint([s, taken[0]]) and disjoint([s, taken[1]])]
+    choices = ([s for i, s in enumerate(free) if bits >> i & 1] for bits in range(1 << len(free)))
+    found = pii.reconciled(votes, taken)
+    assert disjoint(found) and set(found) <= set(free)
+    assert value(found) == max(value(c) for c in choices if disjoint(c))
+
+
+def test_many_spans_take_little_time():
+    votes = {(3, 20 * i, 20 * i + 12): 1 for i in range(100_000)}
+    taken = [(2, 40 * i, 40 * i + 5) for i in range(50_000)]
+    assert len(pii.reconciled(votes, taken)) == 50_000
+
+
 def test_where_an_item_stands_in_a_text_does_not_matter(tagger):
     item = "(030) 555-1234"
     for before in range(0, 200, 7):
