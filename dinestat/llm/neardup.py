@@ -3,11 +3,12 @@
 Fingerprints of 64 bits link at few differing bits. The bits are cut into blocks; links
 that differ in at most four bits differ in at most the block's threshold in one block at
 least (thresholds plus one sum to more than four). In each block the anchors are the
-words of a covering code: of every 15 bits a perfect Hamming code, whose radius is one,
-and any value of the bits that remain. A fingerprint is at home at its nearest anchor and
-is copied to every anchor that can be the home of a value within the threshold, which are
-those within covering radius plus threshold that matter. Per anchor, those at home are
-compared with all that came. Every link is found, whatever the data.
+words of a covering code: of every full 15 bits a perfect Hamming code, whose radius is
+one, and any value of the bits that remain; all values where the threshold is zero. A
+fingerprint is at home at its nearest anchor and is copied to every anchor that can be
+the home of a value within the threshold, which are those within covering radius plus
+threshold that matter. Per anchor, those at home are compared with all that came. Every
+link is found, whatever the data.
 
 Copies share a fingerprint, so only distinct fingerprints travel. Anchors where many are
 at home are cut into a grid of cells. What a task finds leaves it as a forest of links,
@@ -76,13 +77,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def to_anchor(values: np.ndarray, length: int) -> np.ndarray:
     """The nearest anchor of values of ``length`` bits."""
     out = values.copy()
-    if length >= 15:
-        low = (values & np.uint64(0x7FFF)).astype(np.int64)
+    for first in range(0, length - 14, 15):
+        low = (values >> np.uint64(first) & np.uint64(0x7FFF)).astype(np.int64)
         syndrome = np.zeros(len(values), np.int64)
         for place in range(1, 16):  # bit at place p adds p; the sum names the wrong bit
             syndrome ^= np.where(low >> (place - 1) & 1, place, 0)
-        wrong = np.where(syndrome > 0, np.uint64(1) << np.maximum(syndrome - 1, 0).astype(np.uint64), np.uint64(0))
-        out ^= wrong
+        wrong = np.uint64(1) << (np.maximum(syndrome - 1, 0) + first).astype(np.uint64)
+        out ^= np.where(syndrome > 0, wrong, np.uint64(0))
     return out
 
 
@@ -100,7 +101,9 @@ def anchor_rows(prints: np.ndarray) -> tuple[np.ndarray, ...]:
     parts = []
     for block, (first, length, most) in enumerate(BLOCKS):
         value = prints >> np.uint64(first) & np.uint64((1 << length) - 1)
-        visits = [to_anchor(value ^ np.uint64(mask), length) for mask in flips(length, most)]
+        # Without flips to cover, every value is an anchor: a code of radius zero.
+        nearest = to_anchor if most else (lambda value, _: value)
+        visits = [nearest(value ^ np.uint64(mask), length) for mask in flips(length, most)]
         grid = np.stack(visits, axis=1)
         home = grid[:, 0].copy()
         grid.sort(axis=1)

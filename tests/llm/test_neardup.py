@@ -59,8 +59,10 @@ def test_fingerprints():
         assert neardup.simhash(text) & (1 << 64) - 1 == brute_print(text)
 
 
+@pytest.mark.parametrize("blocks", [neardup.BLOCKS, ((0, 36, 2), (36, 28, 1)), ((0, 14, 0), (14, 14, 0), (28, 14, 0), (42, 22, 1))])
 @pytest.mark.parametrize("bits", range(5))
-def test_linked_values_meet_at_an_anchor(bits):
+def test_linked_values_meet_at_an_anchor(bits, blocks, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCKS", blocks)
     rng = np.random.default_rng(bits)
     ours = rng.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2)
     theirs = ours.copy()
