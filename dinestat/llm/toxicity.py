@@ -3,9 +3,10 @@
 Tokens are words and their first letters, each counted once a text. Log-odds between
 toxic and other labelled texts score them, with a Dirichlet prior that gives either side
 its share of PRIOR texts; all that tell nothing share a small negative score. A linear scan finds every
-maximal segment of a text. How high the best segment of a harmless text of some length
-gets by chance follows an extreme-value law, which is fitted to labelled harmless texts;
-the chance a text has under it is calibrated to a probability of the label.
+maximal segment of a text. How high segments of a harmless text of some length get by
+chance follows an extreme-value law, which is fitted to labelled harmless texts. The
+chance that such a text has all of a text's segments is its evidence, and labels turn
+that into a probability.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from dinestat.llm.common import (
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Texts that the prior counts for, and standard errors by which telling log-odds exceed 0.
 PRIOR, TELLING = 10.0, 4.5
-#: Probability from which a text counts as toxic, and chance from which a passage does.
+#: Probability from which a text counts as toxic, and expected number below which a passage does.
 TOXIC_FROM, PASSAGE = 0.3, 0.01
+#: Bound of the evidence.
+MOST_EVIDENCE = 30.0
 #: Words remembered by a task before it forgets them all.
 REMEMBERED = 500_000
 
@@ -103,47 +106,66 @@ class Lexicon:
 
 @dataclass
 class ExtremeValues:
-    """P(best segment of a harmless text of m words exceeds s) = 1 - exp(-k m e^(-rate s))."""
+    """Segments of a harmless text of m words that exceed s: Poisson, of mean k m e^(-rate s)."""
 
     k: float
     rate: float
-    slope: float = 0.0  # of the label's log-odds by -log of that chance
+    slope: float = 0.0  # of the label's log-odds by evidence
     base: float = -2.0
 
-    def chance(self, words: np.ndarray, best: np.ndarray) -> np.ndarray:
-        expected = self.k * np.maximum(words, 1) * np.exp(-self.rate * best)
-        return np.where(best > 0, -np.expm1(-expected), 1.0)
+    def expected(self, words, scores):
+        """How many segments as high as each score a harmless text of so many words has."""
+        return self.k * np.maximum(words, 1) * np.exp(-self.rate * np.asarray(scores, float))
 
-    def probability(self, words: np.ndarray, best: np.ndarray) -> np.ndarray:
-        z = -np.log(np.maximum(self.chance(words, best), 1e-12))
-        return 1 / (1 + np.exp(-(self.base + self.slope * z)))
+    def evidence(self, words: int, scores: list[float]) -> float:
+        """-log of the chance that a harmless text has segments like all of these.
 
+        For every r, the chance of r segments as high as the r-th best: exact for the best
+        alone, else Chernoff's bound of the Poisson tail. The least of them counts, after
+        each is multiplied by r (r + 1) / 2 for the choice among them.
+        """
+        if not scores:
+            return 0.0
+        expected = self.expected(words, sorted(scores, reverse=True))
+        r = np.arange(1, len(scores) + 1)
+        ratio = np.log(np.maximum(expected, 1e-300) / r)
+        tail = np.where(ratio < 0, r * (1 + ratio) - expected, 0.0)
+        tail[0] = np.log(max(-np.expm1(-expected[0]), 1e-300))
+        return float(np.clip(-(tail + np.log(r * (r + 1) / 2)).min(), 0.0, MOST_EVIDENCE))
 
-def fit_extremes(words: np.ndarray, best: np.ndarray, toxic: np.ndarray) -> ExtremeValues:
-    """The law of the harmless texts' best segments, and its calibration by the labels."""
-    m, s = np.maximum(words[~toxic], 1).astype(float), best[~toxic]
-    # A text without a telling word says only that its best is at most the least of scores.
-    floor = float(best[best > 0].min()) if (best > 0).any() else 1.0
-    s = np.maximum(s, 0.0)
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.base + self.slope * evidence)))
+
+
+def fit_law(words: np.ndarray, best: np.ndarray) -> ExtremeValues:
+    """The law by likelihood of the best segments of harmless texts, 0 where there is none.
+
+    A text without a segment says only that its best is at most the least that was seen.
+    """
+    m, s = np.maximum(words, 1).astype(float), np.maximum(best, 0.0)
+    seen = s > 0
+    floor = float(s[seen].min()) if seen.any() else 1.0
     law, top = ExtremeValues(1e-6, 1.0), -np.inf
     for rate in np.linspace(0.05, 3.0, 60):
-        seen = s > 0
         decay = np.where(seen, np.exp(-rate * s), np.exp(-rate * floor))
         k = max(1.0, seen.sum()) / (m * decay).sum()
         value = (np.log(k * m[seen]) + np.log(rate) - rate * s[seen]).sum() - (k * m * decay).sum()
         if value > top:
             law, top = ExtremeValues(float(k), float(rate)), value
-    z = -np.log(np.maximum(law.chance(words, best), 1e-12))
+    return law
+
+
+def calibrated(law: ExtremeValues, evidence: np.ndarray, toxic: np.ndarray) -> ExtremeValues:
+    """The law with the label's log-odds as a line in the evidence."""
     y = toxic.astype(float)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     beta = np.array([np.log(share / (1 - share)), 0.0])
-    x = np.stack([np.ones_like(z), z], axis=1)
+    x = np.stack([np.ones_like(evidence), evidence], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 1e-2])
         beta = beta + np.clip(np.linalg.solve(hessian, x.T @ (y - p) - [0, 1e-2 * beta[1]]), -2, 2)
-    law.base, law.slope = float(beta[0]), float(max(0.0, beta[1]))
-    return law
+    return ExtremeValues(law.k, law.rate, float(max(0.0, beta[1])), float(beta[0]))
 
 
 def fit_toxicity(
@@ -204,24 +226,24 @@ def fit_toxicity(
     default = min(-1e-4, float(np.log((1 - min(0.5, hits[1] / n1)) / (1 - min(0.5, hits[0] / n0)))))
     fitted = Lexicon(table, default)
 
-    def start():
-        scored = fitted.scorer()
-
-        def kernel(texts):
-            found = [scored(text) for text in texts]
-            return [[n for n, _ in found], [best_of(segments(p, default)) for _, p in found]]
-
-        return kernel
+    def measured(name: str, value) -> np.ndarray:
+        """``value`` of words and segments' scores for each sampled text, and its label."""
 
-    fields = [T.StructField("words", T.LongType()), T.StructField("best", T.DoubleType())]
-    scores = per_text(rows, ["id", "toxic"], "text", start, fields)
-    seen = scores.orderBy("id", "toxic", "best").limit(2 * sample).collect()  # ids may repeat
-    words, best = (np.array([r[c] for r in seen], float) for c in ("words", "best"))
-    return fitted, fit_extremes(words, best, np.array([r["toxic"] for r in seen], bool))
+        def start():
+            scored = fitted.scorer()
+            return lambda texts: [
+                [value(n, [s for s, _, _ in segments(p, default)]) for n, p in map(scored, texts)]
+            ]
 
+        field = T.StructField(name, T.ArrayType(T.DoubleType()))
+        found = per_text(rows, ["id", "toxic"], "text", start, [field])
+        ordered = found.orderBy("id", "toxic", name).limit(2 * sample)  # ids may repeat
+        return np.array([[*r[name], r["toxic"]] for r in ordered.collect()], float)
 
-def best_of(found: list[tuple[float, int, int]]) -> float:
-    return max((s for s, _, _ in found), default=0.0)
+    words, best, toxic = measured("best", lambda n, scores: [n, max(scores, default=0.0)]).T
+    law = fit_law(words[toxic == 0], best[toxic == 0])
+    evidence, toxic = measured("evidence", lambda n, scores: [law.evidence(n, scores)]).T
+    return fitted, calibrated(law, evidence, toxic > 0)
 
 
 def toxicity(
@@ -235,8 +257,8 @@ def toxicity(
     """Toxicity of every whole text: one row per row of ``docs``.
 
     Columns: the kept ones (the id unless named), ``score`` (0 to 1), ``predicted`` (1 from
-    TOXIC_FROM on) and ``passages``, the word ranges (end exclusive) of segments that would
-    be as high by chance in less than PASSAGE of harmless texts. A null or empty text has
+    TOXIC_FROM on) and ``passages``, the word ranges (end exclusive) of segments of which a
+    harmless text has fewer than PASSAGE as high. A null or empty text has
     no words and the score of a text in which nothing tells. Repeated rows each get the
     same result. Without labels of both kinds every score is 0.
     """
@@ -251,12 +273,11 @@ def toxicity(
 
         def kernel(texts):
             found = [(n, segments(places, lexicon.default)) for n, places in map(scored, texts)]
-            words = np.array([n for n, _ in found], float)
-            score = law.probability(words, np.array([best_of(s) for _, s in found]))
-            passages = []
-            for n, own in found:
-                chances = law.chance(np.full(len(own), n), np.array([s for s, _, _ in own])) if own else []
-                passages.append([[a, b + 1] for (_, a, b), c in zip(own, chances, strict=True) if c < PASSAGE])
+            evidence = [law.evidence(n, [s for s, _, _ in own]) for n, own in found]
+            score = law.probability(np.array(evidence))
+            passages = [
+                [[a, b + 1] for s, a, b in own if law.expected(n, s) < PASSAGE] for n, own in found
+            ]
             return [score, (score >= TOXIC_FROM).astype(np.int32), passages]
 
         return kernel

@@ -50,10 +50,28 @@ def test_extreme_value_law_fits_what_it_is_drawn_from():
     k, rate = 0.002, 0.8
     best = np.log(k * words / -np.log(rng.random(20_000))) / rate
     best = np.where(best > 0.5, best, 0.0)
-    law = tx.fit_extremes(words, best, np.zeros(20_000, bool))
+    law = tx.fit_law(words, best)
     assert law.rate == pytest.approx(rate, rel=0.15) and law.k == pytest.approx(k, rel=0.3)
 
 
+def test_evidence_grows_with_height_and_number_of_segments():
+    law = tx.ExtremeValues(0.001, 1.0)
+    assert law.evidence(100, []) == 0
+    alone = law.evidence(100, [3.0])
+    assert alone == pytest.approx(-np.log(-np.expm1(-0.1 * np.exp(-3))))
+    assert law.evidence(100, [2.0]) < alone < law.evidence(100, [4.0])
+    assert law.evidence(1000, [3.0]) < alone < law.evidence(100, [3.0, 3.0, 3.0])
+    assert law.evidence(100, [3.0, 0.001]) == pytest.approx(alone)
+
+
+def test_evidence_of_harmless_texts_is_seldom_high():
+    rng = np.random.default_rng(4)
+    law = tx.ExtremeValues(0.01, 1.0)
+    found = np.array([law.evidence(300, rng.exponential(1.0, rng.poisson(3.0)).tolist()) for _ in range(5000)])
+    for z in (2.0, 4.0):
+        assert (found > z).mean() < 2 * np.exp(-z)
+
+
 def test_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{GIVEN}/{t}.parquet") for t in ("documents", "labels"))
     rows = tx.toxicity(docs, labels).join(labels, "doc_id").collect()
