@@ -118,7 +118,8 @@ def counted(df: DataFrame, count: Callable[[], Callable], schema: str) -> DataFr
             found = counter(batch)
             if found:
                 rows = [(*(k if isinstance(k, tuple) else (k,)), n) for k, n in found.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[*keys, "n"])
+                columns = [pa.array(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n"])
 
     return df.mapInArrow(run, schema + ", n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
 
@@ -154,9 +155,9 @@ def most_frequent(counts: DataFrame, n: int) -> DataFrame:
     of the class that does not fit as many rows by hash as there is room for.
     """
     level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r["level"], r["size"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
+    classes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size"))
     room, least, share = n, None, 0.0
-    for place, size in sizes:
+    for place, size in sorted(map(tuple, classes.collect()), reverse=True):
         if size > room:
             least, share = place, 0.9 * room / size
             break

@@ -58,7 +58,8 @@ def gram_hashes(words: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
         total = np.zeros(size, np.uint64)
         for j in range(n):
             total = total * MULTIPLIER + words[j : j + size]
-        out[:size] = np.where(texts[:size] == texts[n - 1 :], np.minimum(mixed(total), NONE - np.uint64(1)), NONE)
+        hashes = np.minimum(mixed(total), NONE - np.uint64(1))
+        out[:size] = np.where(texts[:size] == texts[n - 1 :], hashes, NONE)
     return out
 
 

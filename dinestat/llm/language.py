@@ -66,8 +66,8 @@ def clustered(rows: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.n
     centres = rows[rng.choice(len(rows), min(k, len(rows)), replace=False)]
     for _ in range(rounds):
         own = (rows @ centres.T).argmax(axis=1)
-        sums = np.stack([rows[own == i].sum(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))])
-        centres = unit_rows(sums)
+        sums = [rows[own == i].sum(axis=0) if (own == i).any() else c for i, c in enumerate(centres)]
+        centres = unit_rows(np.stack(sums))
     return centres
 
 

@@ -124,9 +124,9 @@ def at_anchors(nodes: DataFrame, home_only: bool = False) -> DataFrame:
             for at in range(0, len(prints), 20_000):
                 block, anchor, fp, home = anchor_rows(prints[at : at + 20_000])
                 own = home if home_only else np.ones(len(home), bool)
+                columns = (block, anchor.view(np.int64), fp.view(np.int64), home)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[own]), pa.array(anchor[own].view(np.int64)), pa.array(fp[own].view(np.int64)), pa.array(home[own])],
-                    names=["block", "anchor", "fp", "home"],
+                    [pa.array(c[own]) for c in columns], names=["block", "anchor", "fp", "home"]
                 )
 
     return nodes.select("fp").mapInArrow(run, "block int, anchor bigint, fp bigint, home boolean")
@@ -157,7 +157,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[root[moved]]
 
 
-def linked(prints: np.ndarray, home: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked(prints, home, group) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links between rows at home and all rows of their group.
 
     ``group`` ascends, and those at home come first in theirs.
@@ -202,9 +202,13 @@ def links(nodes: DataFrame) -> DataFrame:
     rows = at_anchors(nodes).join(crowded, ["block", "anchor"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
     every = F.sequence(F.lit(0), F.col("cells") - 1)
-    as_home = F.transform(every, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("home")))
-    as_visitor = F.transform(every, lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("home")))
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("home")))
+
+    def cell(i, j, home):
+        return F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
+
+    as_home = F.transform(every, lambda j: cell(own, j, F.lit(True)))
+    as_visitor = F.transform(every, lambda i: cell(i, own, F.lit(False)))
+    alone = F.array(cell(F.lit(0), F.lit(0), F.col("home")))
     cells = F.when(F.col("cells").isNull(), alone).otherwise(
         F.when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
     )
@@ -251,15 +255,11 @@ def roots(edges: DataFrame) -> DataFrame:
         ).where("a <> b").distinct()
         large = settle(large)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(down, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.*")
-            .where("a <> b")
-            .distinct()
-        )
+        hung = F.array(*(F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in "ab"))
+        small = large.join(down, "a").select(F.inline(hung)).where("a <> b").distinct()
         edges = settle(small)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        mark = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+        state = edges.agg(F.count(F.lit(1)), mark).first()
         if state == seen:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         seen = state

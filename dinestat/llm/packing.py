@@ -24,6 +24,8 @@ from dinestat.llm.common import column, per_text, settle
 
 #: Pieces of a block; rows alike in every part may make a block longer, which is cut then.
 BLOCK = 2048
+#: Columns of a piece besides its document's id.
+PLACES = ("piece", "start_word", "n_words", "bin_id", "bin_start")
 
 
 def best_fit(pieces: list[tuple[int, object, object]], capacity: int) -> list[tuple[int, int]]:
@@ -118,7 +120,7 @@ def packed(
         "id", "source", "cluster",
         F.col("piece").cast("bigint").alias("piece"),
         (F.col("piece").cast("bigint") * capacity).alias("start_word"),
-        F.least(F.lit(capacity), F.col("words") - F.col("piece").cast("bigint") * capacity).cast("bigint").alias("size"),
+        F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("bigint").alias("size"),
     )
     pieces = settle(cut)
     blocks = max(1, -(-pieces.count() // BLOCK))
@@ -132,7 +134,7 @@ def packed(
     schema = T.StructType(
         [
             T.StructField("id", id_type),
-            *(T.StructField(n, T.LongType()) for n in ("piece", "start_word", "n_words", "bin_id", "bin_start")),
+            *(T.StructField(n, T.LongType()) for n in PLACES),
         ]
     )
     arrow = to_arrow_schema(schema)

@@ -106,7 +106,10 @@ def _spelt(rng: np.random.Generator, kind: int) -> str:
         name = either(letters(2, 9), letters(2, 7) + "." + letters(2, 7), letters(2, 6) + digits(2))
         host = either(letters(3, 9), letters(3, 6) + digits(1)) + either("", "." + letters(3, 8))
         end = either("com", "org", "net", "de", "info")
-        at, dot = either(("@", "."), ("@", "."), (" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "))
+        at, dot = either(
+            ("@", "."), ("@", "."), (" (at) ", "."),
+            ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "),
+        )
         return name + at + host.replace(".", dot) + dot + end
     if kind == 1:
         parts = [str(x) for x in rng.integers(0, 256, 4)]
@@ -148,16 +151,19 @@ def labelled_windows(slices: list[str], n: int, width: int = 64, seed: int = 5):
         text = slices[rng.integers(len(slices))]
         spans: list[Span] = []
         for _ in range(rng.integers(0, 3)):
-            blanks = [i for i, c in enumerate(text) if c == " " and not any(s <= i < e for _, s, e in spans)] or [0]
+            inside = {i for _, s, e in spans for i in range(s, e)}
+            blanks = [i for i, c in enumerate(text) if c == " " and i not in inside] or [0]
             place = blanks[rng.integers(len(blanks))]
             kind = rng.integers(len(KINDS)) if rng.random() < 0.65 else -1
             item = _spelt(rng, kind) if kind >= 0 else _other(rng)
             tail = ("", "", ".", ",", "!!", "%%%", "***")[rng.integers(7)]
-            spans = [(k, s, e) if e <= place else (k, s + len(item) + len(tail) + 1, e + len(item) + len(tail) + 1) for k, s, e in spans]
+            more = len(item) + len(tail) + 1
+            spans = [(k, s, e) if e <= place else (k, s + more, e + more) for k, s, e in spans]
             if kind >= 0:
                 spans.append((kind, place + 1, place + 1 + len(item)))
             text = text[: place + 1] + item + tail + text[place:]
-        spans = [s for s in spans if not any(b[1] < s[2] and s[1] < b[2] for b in base_spans(text))] + base_spans(text)
+        base = base_spans(text)
+        spans = [s for s in spans if not any(b[1] < s[2] and s[1] < b[2] for b in base)] + base
         middle = (spans[0][1] + spans[0][2]) // 2 if spans else len(text) // 2
         low = max(0, min(len(text) - width, middle - int(rng.integers(10, width - 10))))
         own = symbols(text[low : low + width])
@@ -195,7 +201,10 @@ def fit_tagger(
 # --- search ------------------------------------------------------------------------
 
 ANCHOR = re.compile(r"[0-9]+|@|[(\[] ?at ?[)\]]", re.IGNORECASE)
-DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ](?:19|20)[0-9]{2})(?![0-9])")
+DATE = re.compile(
+    r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}"
+    r"|[0-9]{1,2}[-. ][0-9]{1,2}[-. ](?:19|20)[0-9]{2})(?![0-9])"
+)
 MARK = re.compile(r"@|[(\[] ?at ?[)\]]", re.IGNORECASE)
 
 
@@ -207,10 +216,11 @@ def admitted(kind: int, text: str, start: int, end: int) -> bool:
     digits = digits_of(item)
     if kind == 0:
         parts = MARK.split(item)
-        return len(parts) == 2 and bool(parts[0].strip()) and bool(re.search(r"\w ?(\.|[(\[]dot[)\]]) ?\w", parts[1]))
+        dotted = re.search(r"\w ?(\.|[(\[]dot[)\]]) ?\w", parts[-1])
+        return len(parts) == 2 and bool(parts[0].strip()) and bool(dotted)
     if kind == 1:
         parts = re.split(r" ?\[?\.\]? ?", item)
-        return len(parts) == 4 and all(p.isdecimal() and p.isascii() and int(p[-4:]) <= 255 and len(p) < 4 for p in parts)
+        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
     if not re.fullmatch(r"[-+0-9 ().]+", item):
         return False
     if kind == 2:

@@ -175,9 +175,8 @@ def site_quality(
     hosts = settle(hosts.select("host", drawn(host_weight, overall).alias("host_score")))
     under = settle(paths.join(hosts, "host"))
     path_weight = F.lit(prior_weight(under, F.col("host_score")).first()["weight"])
-    posts = settle(
-        under.select("host", "path", "host_score", drawn(path_weight, F.col("host_score")).alias("path_score"))
-    )
+    path_score = drawn(path_weight, F.col("host_score")).alias("path_score")
+    posts = settle(under.select("host", "path", "host_score", path_score))
     site = bounded_log_odds(F.col("path_score")) - bounded_log_odds(overall)
     odds = bounded_log_odds(F.col("doc_score")) + SITE_SHARE * site
     final = 1 / (1 + F.exp(-odds))
