@@ -14,11 +14,13 @@ numbers that are no personal data. It runs within tasks; no row moves.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import string
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,9 +195,18 @@ def fit_tagger(
 
     named = labelled_texts(texts, texts.select("id").where("id is not null"), sample, "id")
     field = T.StructField("slices", T.ArrayType(T.StringType()))
-    rows = per_text(named, ["id"], "text", start, [field]).orderBy("id", "slices").limit(sample).collect()
-    ids, tags = labelled_windows([s for row in rows for s in row["slices"]], windows)
-    return train(ids, tags, len(KINDS)).light()
+    rows = per_text(named, ["id"], "text", start, [field]).orderBy("id", "slices").limit(sample)
+
+    def trained(slices: list[str]) -> bytes:
+        return pickle.dumps(vars(train(*labelled_windows(slices, windows), len(KINDS)).light()))
+
+    def run(batches):
+        slices = [s for batch in batches for own in batch.column(0).to_pylist() for s in own]
+        yield pa.RecordBatch.from_pydict({"model": pa.array([trained(slices)], pa.binary())})
+
+    # One task trains, and is run again if its executor is lost; no rows, no task.
+    found = rows.select("slices").mapInArrow(run, "model binary").collect()
+    return Tagger(**pickle.loads(found[0]["model"] if found else trained([])))
 
 
 # --- search ------------------------------------------------------------------------
