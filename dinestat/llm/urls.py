@@ -102,23 +102,91 @@ def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
     return out
 
 
-def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Words, ``key``, and ``n`` over the visible text of all pages."""
+def bare(host: str) -> str:
+    """The host without a user before it and a port behind it."""
+    return host.rpartition("@")[2].partition(":")[0]
+
+
+def host_names(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """``name``: all hosts and their parents of two parts or more, each once."""
+
+    def count():
+        def counter(batch):
+            found = Counter()
+            for url in batch.column(0).to_pylist():
+                parts = bare(parts_of(url)[0]).split(".")
+                found.update(".".join(parts[at:]) for at in range(len(parts) - 1))
+            return found
+
+        return counter
+
+    urls = pages.select(F.coalesce(column(pages, url_col).cast("string"), F.lit("")).alias("url"))
+    return counted(urls, count, "name string").select("name")
+
+
+def word_counts(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """Words, ``key``, ``n`` and ``proper`` over the visible text of all pages.
+
+    A word is proper unless it is only seen as a name: printed as part of a host of the
+    table, or on pages whose own host has it as a run of letters, all under one name.
+    """
     hidden = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
 
     def count():
         words = re.compile(rf"(?<![a-z])[a-z]{{2,{LONGEST}}}(?![a-z])")
+        dotted = re.compile(r"(?<![a-z0-9-])[a-z0-9-]++(?:\.[a-z0-9-]++)+")
 
         def counter(batch):
             found = Counter()
-            for html in batch.column(0).to_pylist():
-                found.update(words.findall(hidden.sub(" ", html).lower()))
+            for html, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = bare(parts_of(url)[0]).split(".")
+                own = {  # runs of letters with the name from their part on
+                    run: ".".join(parts[at:])
+                    for at in range(len(parts)) for run in words.findall(parts[at])
+                }
+                text = hidden.sub(" ", html).lower()
+                for name in dotted.findall(text):
+                    found.update((w, name, own.get(w, "")) for w in words.findall(name))
+                for word, n in Counter(words.findall(dotted.sub(" ", text))).items():
+                    found[word, "", own.get(word, "")] += n
             return found
 
         return counter
 
-    text = pages.select(F.coalesce(column(pages, html_col).cast("string"), F.lit("")).alias("html"))
-    return counted(text, count, "key string")
+    def filled(name: str):
+        return F.coalesce(column(pages, name).cast("string"), F.lit(""))
+
+    text = pages.select(filled(html_col).alias("html"), filled(url_col).alias("url"))
+    found = settle(counted(text, count, "key string, name string, own string"))
+    hosts = host_names(pages, url_col).withColumn("is_host", F.lit(True))
+    # Printed on other pages, a host of the table tells nothing of its words.
+    told = F.when((F.col("own") != "") | F.col("is_host").isNull(), F.col("own"))
+    printed = found.where("name <> ''").join(hosts, "name", "left").select("key", "n", told.alias("own"))
+    plain = found.where("name = ''").select("key", "n", "own")
+    proper = (F.min("own") == "") | (F.min("own") < F.max("own"))
+    return plain.unionByName(printed).groupBy("key").agg(
+        F.sum("n").alias("n"), F.coalesce(proper, F.lit(False)).alias("proper")
+    )
+
+
+def words_of(rows: Iterable[tuple[str, int, bool]]) -> dict[str, int]:
+    """Counts of words without the names that proper or shorter words make up.
+
+    A name run together that pages print would else be likelier as one word than as its
+    words. Names that do not fall into known words stay, as do warning words.
+    """
+    rows = list(rows)
+    counts = {word: n for word, n, _ in rows}
+    names = sorted((w for w, _, proper in rows if not proper and w not in WARNINGS), key=lambda w: (len(w), w))
+    own = Segmenter(counts)
+    for name in names:
+        del own.cost[name]
+        parts = own._split(name)
+        if len(parts) > 1 and all(p in own.cost for p in parts):
+            del counts[name]
+        else:
+            own.cost[name] = -math.log(counts[name] / own.total)
+    return counts
 
 
 def host_verdict(host: str, segmenter: Segmenter) -> str | None:
@@ -193,8 +261,8 @@ def url_filter(
     names are not split and what no rule judges is allowed or blocked by the prior alone.
     """
     spark = pages.sparkSession
-    top = most_frequent(settle(word_counts(pages, html_col)), lexicon).collect()
-    counts = {row["key"]: row["n"] for row in top}
+    top = most_frequent(settle(word_counts(pages, html_col, url_col)), lexicon).collect()
+    counts = words_of((row["key"], row["n"], row["proper"]) for row in top)
     segmenter = shared(spark, counts)
     tokens = token_counts(pages, url_col, segmenter, rules).orderBy("token", "verdict").collect()
     bayes = shared(spark, Bayes((row["token"], row["verdict"], row["n"]) for row in tokens))

@@ -82,6 +82,20 @@ def test_run_together_names_are_judged_by_their_words(spark):
     assert {r["rule"] for r in found.values()} == {None}
 
 
+def test_a_host_that_its_pages_name_is_still_split(spark):
+    text = "<p>cheap pills garden flowers.Books " * 3 + "<p>&copy; {}"
+    name = "www.cheappills.example.org"
+    rows = [(i, f"http://{name}/de/{i}", text.format(name) + " Cheappills", "x", "x") for i in range(3)]
+    rows += [(i, f"http://n{i}.example.net/de/{i}", text.format(name), "x", "x") for i in range(10, 13)]
+    rows += [(i, f"http://farm-free.a{i}.net/", f"farm-free.a{i}.net", "x", "x") for i in range(20, 22)]
+    rows += [(30, "http://farmfree.b.net/", "farmfree.b.net", "x", "x")]
+    counts = {r["key"]: (r["n"], r["proper"]) for r in urls.word_counts(pages(spark, rows)).collect()}
+    assert counts["cheappills"] == (9, False) and counts["books"] == (18, True) and counts["example"] == (6, True)
+    found = {r["page_id"]: r for r in urls.url_filter(pages(spark, rows)).collect()}
+    assert found[0]["words"] == "www cheap pills example org" and found[0]["verdict"] == "block"
+    assert found[30]["words"].startswith("farm free ")
+
+
 def test_messy_rows(spark):
     rows = [(1, None, None, "x", "x"), (None, "http://a.com/x", "<p", "x", "x"), (1, None, None, "x", "x"), (2, "http://" + "ab" * 5000 + ".com/", "w " * 100_000, "x", "x"), (3, "", "", "x", "x")]
     found = urls.url_filter(pages(spark, rows)).collect()
