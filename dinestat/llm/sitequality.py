@@ -131,10 +131,10 @@ def site_quality(
 
     ``sites`` has ``doc_id``, ``host`` and ``path``. Documents that it does not name, or
     names without a host, take ``source_col`` as their host and an empty path; where that
-    is null or not given they share one host without name. Several rows of a document
-    count as the least of them by host and path. Columns: the id, ``host``, ``path``,
-    ``doc_score`` (the classifier's), ``host_score``, ``path_score`` (posteriors),
-    ``score`` and ``good`` (score from ``good_from`` on). A null or empty text is judged by
+    is null or not given they share one host without name. A document of several sites
+    counts at each of them in equal shares. Columns: the id, ``host``, ``path`` (the least
+    site of several), ``doc_score`` (the classifier's), ``host_score``, ``path_score``
+    (posteriors, means over all sites), ``score`` (from the mean log-odds of all) and ``good`` (score from ``good_from`` on). A null or empty text is judged by
     its statistics, which are zero. Repeated rows each get the same result. Without both
     labels the classifier gives one half to all.
     """
@@ -153,20 +153,30 @@ def site_quality(
         column(docs, text_col).alias("text"),
     )
     scored = per_text(ids, ["id", "source"], "text", start, [T.StructField("doc_score", T.DoubleType())])
-    places = sites.where("doc_id is not null and host is not null").groupBy("doc_id").agg(
-        F.min(F.struct("host", F.coalesce("path", F.lit("")).alias("path"))).alias("site")
-    )
+    places = settle(
+        sites.where("doc_id is not null and host is not null")
+        .select("doc_id", "host", F.coalesce("path", F.lit("")).alias("path")).distinct()
+    )
+    least = F.min(F.struct("host", "path")).alias("site")
+    per_doc = places.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sites"), least)
     rows = settle(
-        scored.join(places, F.col("id") == F.col("doc_id"), "left").select(
-            "id", "doc_score",
+        scored.join(per_doc, F.col("id") == F.col("doc_id"), "left").select(
+            "id", "doc_score", "sites",
             F.coalesce("site.host", "source", F.lit("")).alias("host"),
             F.coalesce("site.path", F.lit("")).alias("path"),
         )
     )
-    n, good = F.count(F.lit(1)).alias("n"), F.sum("doc_score").alias("good")
-    paths = settle(rows.groupBy("host", "path").agg(n, good))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    hosts = settle(hosts)
+    # A document counts at all its sites, in equal shares that add up to one.
+    shares = rows.where("sites > 1").groupBy("id").agg(
+        (F.count(F.lit(1)) / F.first("sites")).alias("n"), (F.sum("doc_score") / F.first("sites")).alias("good")
+    )
+    several = places.join(shares, F.col("id") == F.col("doc_id")).select("host", "path", "n", "good")
+    one = rows.where("sites is null or sites = 1").select(
+        "host", "path", F.lit(1.0).alias("n"), F.col("doc_score").alias("good")
+    )
+    n, good = F.sum("n").alias("n"), F.sum("good").alias("good")
+    paths = settle(one.unionByName(several).groupBy("host", "path").agg(n, good))
+    hosts = settle(paths.groupBy("host").agg(n, good))
     rate = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first()["rate"]
     rate = 0.5 if rate is None else rate
     overall = F.lit(rate)
@@ -177,10 +187,18 @@ def site_quality(
     path_weight = F.lit(prior_weight(under, F.col("host_score")).first()["weight"])
     path_score = drawn(path_weight, F.col("host_score")).alias("path_score")
     posts = settle(under.select("host", "path", "host_score", path_score))
-    site = bounded_log_odds(F.col("path_score")) - bounded_log_odds(overall)
-    odds = bounded_log_odds(F.col("doc_score")) + SITE_SHARE * site
+    odds_here = bounded_log_odds(F.col("path_score")) - bounded_log_odds(overall)
+    posts = posts.withColumn("site_odds", odds_here)
+    means = [F.avg(c).alias(c) for c in ("host_score", "path_score", "site_odds")]
+    many = per_doc.where("sites > 1").select(F.col("doc_id").alias("id"))
+    pooled = places.withColumnRenamed("doc_id", "id").join(many, "id", "left_semi")
+    pooled = pooled.join(posts, ["host", "path"]).groupBy("id").agg(*means)
+    judged = rows.where("sites is null or sites = 1").join(posts, ["host", "path"]).unionByName(
+        rows.where("sites > 1").join(pooled, "id")
+    )
+    odds = bounded_log_odds(F.col("doc_score")) + SITE_SHARE * F.col("site_odds")
     final = 1 / (1 + F.exp(-odds))
-    return rows.join(posts, ["host", "path"]).select(
+    return judged.select(
         F.col("id").alias(id_col), "host", "path", "doc_score", "host_score", "path_score",
         final.alias("score"), (final >= good_from).alias("good"),
     )

@@ -59,6 +59,26 @@ def test_held_out_rows(spark):
     assert np.mean([r["good"] for r in rows if not r["quality"]]) < 0.1
 
 
+def test_a_document_of_two_sites_counts_at_both(spark):
+    texts = [(i, "good plain words " * 30 if i % 2 else "### $$$ %%% " * 40, "en", "s") for i in range(60)]
+    texts += [(100, "good plain words " * 30, "en", "s"), (100, "good plain words " * 30, "en", "s"), (101, "good plain words " * 30, "en", "s")]
+    known = [(i, i % 2, 0) for i in range(60)]
+    sites = [(i, "a" if i % 2 else "spam", "/p/") for i in range(60)]
+    sites += [(100, "a", "/p/"), (100, "spam", "/p/"), (100, "spam", "/p/"), (101, "a", "/p/")]
+    out = sq.site_quality(messy.documents(spark, texts), messy.labels(spark, known), site_rows(spark, sites)).collect()
+    assert len(out) == 63
+    by = {r["doc_id"]: r for r in out}
+    assert (by[100]["host"], by[100]["path"]) == ("a", "/p/")
+    assert by[100]["path_score"] == pytest.approx((by[0]["path_score"] + by[1]["path_score"]) / 2)
+
+    def odds(p):
+        return np.log(p / (1 - p))
+
+    middle = (odds(by[0]["path_score"]) - odds(by[1]["path_score"])) / 2
+    assert odds(by[100]["score"]) - odds(by[101]["score"]) == pytest.approx(middle, rel=1e-4)
+    assert by[100]["score"] < by[101]["score"]
+
+
 def test_sites_of_pages(spark):
     rows = [("https://A.example.com/en/12?x=3",), ("http://b.org/7.html",), ("http://b.org/x/",), (None,), ("none",), ("http://b.org/en/99999999999999999999",)]
     found = [tuple(r) for r in sq.page_sites(spark.createDataFrame(rows, "url string")).collect()]
