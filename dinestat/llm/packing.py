@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from dinestat.llm import neardup
 from dinestat.llm.common import column, per_text, settle
 
 #: Pieces of a block; rows alike in every part may make a block longer, which is cut then.
@@ -61,15 +62,21 @@ def best_fit(pieces: list[tuple[int, object, object]], capacity: int) -> list[tu
     return out
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str | None) -> DataFrame:
-    """``id``, ``source``, ``words`` and ``cluster``, a hash that copies of a text share."""
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str | None, near: bool) -> DataFrame:
+    """``id``, ``source``, ``words`` and ``cluster``, a number that copies of a text share.
+
+    With ``near`` near copies share it too: it is then the root of their linked fingerprints.
+    """
 
     def start():
         import xxhash
 
         def kernel(texts):
             words = [text.encode().lower().split() for text in texts]
-            hashes = [xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63) for w in words]
+            if near:
+                hashes = [neardup.simhash(text) for text in texts]
+            else:
+                hashes = [xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63) for w in words]
             return [[len(w) for w in words], hashes]
 
         return kernel
@@ -80,7 +87,16 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str | None
         column(docs, text_col).alias("text"),
     )
     fields = [T.StructField("words", T.LongType()), T.StructField("cluster", T.LongType())]
-    return per_text(rows, ["id", "source"], "text", start, fields)
+    found = per_text(rows, ["id", "source"], "text", start, fields)
+    if not near:
+        return found
+    found = settle(found.withColumnRenamed("cluster", "fp"))
+    # Rows without words are not placed and link nothing.
+    prints = settle(found.where("words > 0").select("fp").distinct())
+    roots = settle(neardup.roots(neardup.links(prints)))
+    return found.join(roots, "fp", "left").select(
+        "id", "source", "words", F.coalesce("root", "fp").alias("cluster")
+    )
 
 
 def packed(
@@ -90,6 +106,7 @@ def packed(
     source_col: str | None = "source",
     cluster_col: str | None = None,
     capacity: int = 2048,
+    near: bool = False,
 ) -> DataFrame:
     """Where each piece of a document goes: one row per piece.
 
@@ -97,10 +114,11 @@ def packed(
     document, ``bin_id`` and ``bin_start``, the piece's first place in the bin. A document
     of more words than a bin is cut into full pieces and a rest. One without words (null
     or empty) has one row whose bin is null. A null source, or no source column, conflicts
-    with nothing. Clusters are those of ``cluster_col``, else of equal words. Repeated
-    rows are placed each for itself, as copies of one another.
+    with nothing. Clusters are those of ``cluster_col``, else with ``near`` the components
+    of near-duplicates, exact copies among them, else of equal words. Repeated rows
+    are placed each for itself, as copies of one another.
     """
-    rows = measured(docs, id_col, text_col, source_col)
+    rows = measured(docs, id_col, text_col, source_col, near and cluster_col is None)
     if cluster_col is not None:
         # The same pass, with the given cluster in place of the hash.
         chosen = docs.select(

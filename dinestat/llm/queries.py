@@ -61,7 +61,7 @@ def op4_near_duplicates(spark, folder):
 
 @query
 def op5_packing(spark, folder):
-    return packing.packed(table(spark, folder, "documents"))
+    return packing.packed(table(spark, folder, "documents"), near=True)
 
 
 @query

@@ -3,7 +3,7 @@ import random
 import messy
 import pytest
 
-from dinestat.llm import packing
+from dinestat.llm import neardup, packing
 
 
 def brute(pieces, capacity):
@@ -97,3 +97,21 @@ def test_given_clusters_and_no_sources(spark):
     assert len({r["bin_id"] for r in one}) == 1
     apart = packing.packed(docs, source_col=None, cluster_col="verdict").collect()
     assert len({r["bin_id"] for r in apart}) == 6
+
+
+def test_near_copies_are_kept_apart(spark):
+    rows = [
+        (i, r["text"], "en", f"s{i}")
+        for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    ]
+    docs = messy.documents(spark, [*rows, (None, rows[0][1], "en", "x"), (0, rows[0][1], "en", "y")])
+    group = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(messy.documents(spark, rows)).collect()}
+    group[None] = group[0]
+    assert any(i != c and rows[i][1] != rows[c][1] for i, c in group.items() if i)
+    found = packing.packed(docs, near=True).collect()
+    bins = {}
+    for r in found:
+        if r["bin_id"] is not None:
+            bins.setdefault(r["bin_id"], []).append(group[r["doc_id"]])
+    assert all(len(set(own)) == len(own) for own in bins.values())
+    assert sum(r["n_words"] for r in found) == sum(len(t.encode().split()) for _, t, *_ in [*rows, rows[0], rows[0]])
