@@ -29,7 +29,8 @@ from dinestat.llm.bilstm_crf import Tagger, symbols, train
 from dinestat.llm.common import column, labelled_texts, per_text, shared
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window and between the starts of two; spans up to STEP are seen whole.
+#: Characters of a window and between the starts of two; spans up to STEP are seen whole,
+#: longer ones by a wider window around what is cut.
 WIDTH, STEP = 96, 48
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -273,6 +274,51 @@ def reconciled(votes: dict[Span, int], taken: list[Span]) -> list[Span]:
     return out[::-1]
 
 
+def whole_spans(text: str, parts: list[Span], model: Tagger) -> dict[Span, int]:
+    """Admitted spans of more than STEP characters by the number of cut parts they hold.
+
+    A window that is wide enough is read around all parts of a kind that overlap or meet,
+    and a wider one for as long as its edge cuts the span in turn. Parts with more marks
+    or digits than any span may have are left out.
+    """
+
+    def possible(kind: int, start: int, end: int) -> bool:
+        item = text[start:end]
+        return len(MARK.findall(item)) < 2 if kind == 0 else kind > 1 and len(digits_of(item)) < 20
+
+    regions: list[list] = []  # kind, start, end, parts
+    for kind, start, end in sorted(parts):
+        if not possible(kind, start, end):
+            continue
+        if regions and regions[-1][0] == kind and start <= regions[-1][2]:
+            regions[-1][2] = max(end, regions[-1][2])
+            regions[-1][3].append((start, end))
+        else:
+            regions.append([kind, start, end, [(start, end)]])
+    out: dict[Span, int] = {}
+    for kind, start, end, own in regions:
+        margin = WIDTH
+        while possible(kind, start, end):
+            low, high = max(0, start - margin), min(len(text), end + margin)
+            tags = model.decode(symbols(text[low:high])[None, :])[0]
+            grown = (start, end)
+            for begin in np.flatnonzero(tags == 2 * kind + 1).tolist():
+                stop = begin + 1
+                while stop < len(tags) and tags[stop] == 2 * kind + 2:
+                    stop += 1
+                first, last = low + begin, low + stop
+                if last <= start or end <= first:
+                    continue
+                if begin == 0 and low > 0 or stop == len(tags) and high < len(text):
+                    grown = (min(first, grown[0]), max(last, grown[1]))
+                elif last - first > STEP and admitted(kind, text, first, last):
+                    out[kind, first, last] = sum(first <= a and b <= last for a, b in own) or 1
+            if grown == (start, end):
+                break
+            (start, end), margin = grown, 2 * margin
+    return out
+
+
 def tagged_spans(texts: list[str], model: Tagger, at_once: int = 512) -> list[dict[Span, int]]:
     """Admitted spans of each text by the number of windows that decode to them."""
     places: list[tuple[int, int]] = []
@@ -283,16 +329,17 @@ def tagged_spans(texts: list[str], model: Tagger, at_once: int = 512) -> list[di
             starts.update(range(low, (found.end() - 1) // STEP + 1))
         places += [(i, s * STEP) for s in sorted(starts)]
     out: list[dict[Span, int]] = [{} for _ in texts]
+    parts: list[list[Span]] = [[] for _ in texts]  # spans that a window's edge cuts
     for at in range(0, len(places), at_once):
-        part = places[at : at + at_once]
-        ids = np.full((len(part), WIDTH), 95, np.uint8)
-        for row, (i, start) in enumerate(part):
+        chunk = places[at : at + at_once]
+        ids = np.full((len(chunk), WIDTH), 95, np.uint8)
+        for row, (i, start) in enumerate(chunk):
             own = symbols(texts[i][start : start + WIDTH])
             ids[row, : len(own)] = own
         tags = model.decode(ids)
         rows, begins = np.nonzero(tags % 2)
         for row, begin in zip(rows.tolist(), begins.tolist(), strict=True):
-            i, start = part[row]
+            i, start = chunk[row]
             kind = int(tags[row, begin]) // 2
             end = begin + 1
             while end < WIDTH and tags[row, end] == 2 * kind + 2:
@@ -300,9 +347,14 @@ def tagged_spans(texts: list[str], model: Tagger, at_once: int = 512) -> list[di
             text = texts[i]
             cut = begin == 0 and start > 0 or end == WIDTH and start + WIDTH < len(text)
             first, last = start + begin, min(start + end, len(text))
-            if not cut and last > first and admitted(kind, text, first, last):
+            if cut:
+                parts[i].append((kind, first, last))
+            elif last > first and admitted(kind, text, first, last):
                 span = (kind, first, last)
                 out[i][span] = out[i].get(span, 0) + 1
+    for text, own, votes in zip(texts, parts, out, strict=True):
+        for span, n in whole_spans(text, own, model).items():
+            votes[span] = votes.get(span, 0) + n
     return out
 
 

@@ -159,6 +159,14 @@ def test_where_an_item_stands_in_a_text_does_not_matter(tagger):
         assert [text[a:b] for _, a, b in added] == [item]
 
 
+def test_a_long_address_is_found_wherever_it_stands(tagger):
+    item = "christopher.montgomery (at) engineering (dot) example (dot) com"[3:]
+    assert len(item) == 60
+    texts = [("word " * 60)[-(150 + before) :] + item + " and more words" * 12 for before in range(pii.STEP)]
+    found = [[t[a:b] for _, a, b in added] for t, (_, added) in zip(texts, pii.find_pii(texts, tagger), strict=True)]
+    assert found == [[item]] * pii.STEP
+
+
 def test_masks():
     text = "mail a@b.cd or +1 (555) 555-1234."
     assert pii.masked(text, pii.base_spans(text)) == "mail [EMAIL] or [PHONE]."
