@@ -10,7 +10,7 @@ import __spark_entry__ as registry
 
 FOLDER = "/root/testdata/sf0.001"
 TYPES = {
-    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
 }
 
 
