@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dinestat.llm import (
     decontaminate,
+    filter_audit,
     language,
     licenses,
     neardup,
@@ -131,3 +132,62 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   n_hit IS NOT NULL AS contaminated
 FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+
+@query
+def op13_filter_audit(spark, folder):
+    return filter_audit.filter_audit(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
+ORACLE["op13_filter_audit"] = """
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+worded AS (
+  SELECT doc_id, part, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, length(t) AS chars,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper,
+    regexp_matches(t, '[#$%&*|]') AS symbols, coalesce(doc_id > first, FALSE) AS copied
+  FROM texts JOIN firsts USING (t)
+),
+marks AS (
+  SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * upper > 5 * chars)::INT + 8 * symbols::INT + 16 * copied::INT AS mask
+  FROM worded
+),
+sides AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic
+  FROM labels GROUP BY doc_id
+),
+cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM marks LEFT JOIN sides USING (doc_id) GROUP BY part, mask
+),
+letters(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT concat(p.f, q.f, r.f, s.f, t.f) AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE (p.b | q.b | r.b | s.b | t.b) = 31
+),
+steps AS (
+  SELECT filter_order, CAST(i AS INT) AS step, bits[i] AS bit,
+    CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS INT) AS before
+  FROM orders, unnest(range(1, 6)) AS u(i)
+),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (mask & (before | bit) = 0) AS kept,
+    sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant,
+    sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost,
+    sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+FROM counted
+"""
