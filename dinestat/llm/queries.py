@@ -19,6 +19,7 @@ from dinestat.llm import (
     sitequality,
     toxicity,
     urls,
+    whitening,
 )
 from dinestat.llm.common import held_out
 
@@ -191,3 +192,8 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
   CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
 FROM counted
 """
+
+
+@query
+def op11_embedding_whitening(spark, folder):
+    return whitening.whitened(table(spark, folder, "embeddings"))

@@ -1,0 +1,149 @@
+import math
+
+import numpy as np
+import pytest
+
+from dinestat.llm import spectrum, whitening
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, component int, n string, v string, id string"
+
+
+def table(spark, vectors, ids=None):
+    ids = range(len(vectors)) if ids is None else ids
+    rows = [(i, v if v is None else [None if c is None else float(c) for c in v], 0, 7, "x", "y", "z") for i, v in zip(ids, vectors, strict=True)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def single(vectors):
+    return [[float(np.float32(c)) for c in v] for v in vectors]
+
+
+def brute(vectors, most=32):
+    """Deviations, whitened rows up to sign and shares, by plain exact sums and eigh."""
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for v in single(vectors)]
+    n, sums = len(x), [sum(column) for column in zip(*x, strict=True)]
+    d = [[n * c - s for c, s in zip(row, sums, strict=True)] for row in x]
+    z = np.array([[c / n for c in row] for row in d])
+    v = z.T @ z / n
+    values, vectors = np.linalg.eigh(v)
+    keep = [i for i in np.argsort(-values)[:most] if values[i] > 1e-9 * np.trace(v)]
+    return [sum(c * c for c in row) for row in d], z @ vectors[:, keep] / np.sqrt(values[keep]), values[keep] / np.trace(v)
+
+
+def held(spark, vectors, **options):
+    rows = whitening.whitened(table(spark, vectors), **options).collect()
+    deviation, white, share = brute(vectors, **options and {"most": options["components"]})
+    assert len(rows) == white.size
+    found = np.zeros(white.shape)
+    for r in rows:
+        assert (r["n"], r["deviation"]) == (len(vectors), deviation[r["vec_id"]])
+        assert r["explained"] == pytest.approx(share[r["component"] - 1], rel=1e-9)
+        assert r["identity_error"] < 1e-8
+        found[r["vec_id"], r["component"] - 1] = r["whitened"]
+    signs = np.sign((found * white).sum(axis=0))
+    assert np.abs(found - white * signs).max() < 1e-7
+    cov = np.cov(found.T, bias=True).reshape(white.shape[1], -1)
+    assert np.abs(cov - np.eye(len(cov))).max() < 1e-8
+
+
+def test_whole_given_table(spark):
+    import __spark_entry__ as registry
+
+    rows = registry.queries()["op11_embedding_whitening"](spark, "/root/testdata/sf0.001").collect()
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    vectors = [r["embedding"] for r in given]
+    deviation, white, share = brute(vectors)
+    place = {r["vec_id"]: i for i, r in enumerate(given)}
+    assert len(rows) == 32 * len(given)
+    found = np.zeros(white.shape)
+    for r in rows:
+        assert r["n"] == len(given) and r["deviation"] == deviation[place[r["vec_id"]]]
+        assert r["explained"] == pytest.approx(share[r["component"] - 1], rel=1e-9)
+        assert r["identity_error"] < 1e-9
+        found[place[r["vec_id"]], r["component"] - 1] = r["whitened"]
+    signs = np.sign((found * white).sum(axis=0))
+    assert np.abs(found - white * signs).max() < 1e-6
+
+
+def test_random_vectors(spark):
+    rng = np.random.default_rng(3)
+    held(spark, (rng.standard_normal((300, 9)) * np.linspace(0.2, 3, 9)).tolist())
+
+
+def test_fewer_components_than_dimensions(spark):
+    held(spark, np.random.default_rng(4).uniform(-2, 2, (200, 40)).tolist(), components=3)
+
+
+def test_dependent_dimensions_have_no_component(spark):
+    base = np.random.default_rng(5).integers(-5, 5, (60, 3)).astype(float)
+    held(spark, np.concatenate((base, base, np.ones((60, 2))), axis=1).tolist())
+
+
+def test_unusable_rows_go(spark):
+    good = np.random.default_rng(6).uniform(-1, 1, (50, 4)).tolist()
+    bad = [None, [1, None, 2, 3], [1, math.nan, 2, 3], [1, math.inf, 2, 3], [1, 2, 3], [], [1, 2, 3, 4, 5]]
+    rows = whitening.whitened(table(spark, good + bad)).collect()
+    assert {r["vec_id"] for r in rows} == set(range(50)) and len(rows) == 200
+    assert {r["n"] for r in rows} == {50}
+
+
+def test_repeated_rows_and_ids_count_each(spark):
+    vectors = np.random.default_rng(7).uniform(-1, 1, (20, 2)).tolist() * 2
+    rows = whitening.whitened(table(spark, vectors, [None, 1] * 20)).collect()
+    assert len(rows) == 80 and {r["n"] for r in rows} == {40}
+    assert sum(r["vec_id"] is None for r in rows) == 40
+
+
+@pytest.mark.parametrize("vectors", [[], [None], [[]], [[1, 2]], [[1, 2]] * 9, [[], [], [1]]])
+def test_without_variance_no_rows(spark, vectors):
+    df = whitening.whitened(table(spark, vectors))
+    assert df.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert df.collect() == []
+
+
+def test_huge_entries(spark):
+    vectors = [[3e38, 0], [-3e38, 1], [1e20, 2], [0, 3]]
+    rows = whitening.whitened(table(spark, vectors)).collect()
+    assert {r["deviation"] for r in rows} == {None}
+    assert all(math.isfinite(r["whitened"]) for r in rows)
+
+
+def with_values(values, seed=0):
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(values), len(values))))[0]
+    v = q * np.array(values, float) @ q.T
+    return (v + v.T) / 2
+
+
+CASES = {
+    "spread": np.geomspace(1e-3, 1e4, 24),
+    "ties": [5.0] * 6 + [2.0] * 5 + [1.0] * 9,
+    "near": [3 + 1e-11 * i for i in range(5)] + [1.0, 0.5, 0.25],
+    "close": [3 + 1e-6 * i for i in range(8)] + [1.0] * 4,
+    "rank two": [7.0, 4.0] + [0.0] * 20,
+    "one": [2.5],
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_leading_pairs(name):
+    values = np.sort(np.array(CASES[name], float))[::-1]
+    v = with_values(values)
+    found, vectors = spectrum.leading(v, 10)
+    wanted = values[values > 1e-12][:10]
+    assert found == pytest.approx(wanted, rel=1e-10)
+    assert np.abs(vectors @ vectors.T - np.eye(len(wanted))).max() < 1e-12
+    assert np.abs(vectors @ v - found[:, None] * vectors).max() < 1e-10 * values[0]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_counts_by_inertia(seed):
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((12, 12))
+    v = a + a.T
+    for shift in [0.0, *rng.uniform(-6, 6, 5)]:
+        assert spectrum.above(v, shift) == (np.linalg.eigvalsh(v) > shift).sum()
+
+
+def test_counts_of_matrices_with_zero_diagonal():
+    v = np.array([[0, 1, 0], [1, 0, 0], [0, 0, 0]], float)
+    assert spectrum.above(v, 0.0) == 1 and spectrum.above(v, -0.5) == 2 and spectrum.above(v, -2.0) == 3
