@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dinestat.llm import (
     decontaminate,
     filter_audit,
+    katz,
     language,
     licenses,
     neardup,
@@ -197,3 +198,13 @@ FROM counted
 @query
 def op11_embedding_whitening(spark, folder):
     return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_lm_scoring(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = katz.language_model_scores(docs)
+    return scored.select(
+        "doc_id", (~katz.learnable(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score",
+    )
