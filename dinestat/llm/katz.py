@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from dinestat.llm.common import column, mixed, pieces, settle
 
 #: Tokens of a block, and tokens of the whole input that one partition of the tables is for.
-BLOCK, BUCKET = 2_000_000, 4_000_000
+BLOCK, BUCKET = 1_000_000, 4_000_000
 #: Counts up to this are discounted where the counts of counts allow it.
 MOST = 5
 SEED = 42
@@ -39,6 +39,7 @@ SEED = 42
 BOUNDARY = 1
 WORDS, PAIRS = 1, 2
 STATS = 2 + MOST + 1
+TEXTS = ("ids", "n_tokens", "n_known", "base_score", "score")
 
 # --- packed arrays -------------------------------------------------------------------
 
@@ -330,7 +331,7 @@ def sum_by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def evaluated(model: Model, bits: int, id_type: T.DataType):
-    """A function of a block and its counts: rows of its texts, and what its contexts need.
+    """A function of a block and its counts: a row of its texts, and what its contexts need.
 
     A text's score lacks only what depends on the whole of a context: the backoff weight
     behind which a token was not seen, and the divisor of contexts that may have lost
@@ -366,14 +367,17 @@ def evaluated(model: Model, bits: int, id_type: T.DataType):
                 seen > 0, np.log10(by_pair)[b.pairs] - np.log10(behind.astype(float)), np.log10(share)[b.tokens]
             )
         texts = len(b.sizes)
-        yield texts, {
-            "block": pa.array(np.full(texts, block)),
-            "place": pa.array(np.arange(texts, dtype=np.int32)),
-            "id": ids,
-            "n_tokens": pa.array(b.sizes),
-            "n_known": pa.array(sum_by_text((words[b.tokens] > 0).astype(np.int64), b.starts)),
-            "base_score": pa.array(sum_by_text(model.base(words)[b.tokens], b.starts)),
-            "score": pa.array(sum_by_text(term, b.starts)),
+
+        def listed(values):
+            return pa.ListArray.from_arrays(pa.array([0, texts], pa.int32()), pa.array(values))
+
+        yield 1, {
+            "block": pa.array([block]),
+            "ids": listed(ids),
+            "n_tokens": listed(b.sizes),
+            "n_known": listed(sum_by_text((words[b.tokens] > 0).astype(np.int64), b.starts)),
+            "base_score": listed(sum_by_text(model.base(words)[b.tokens], b.starts)),
+            "score": listed(sum_by_text(term, b.starts)),
         }
         n, most = len(b.words), len(model.of_pairs) - 2
         # What this block owns of each context: counts, what discounting leaves, shares.
@@ -415,9 +419,9 @@ def evaluated(model: Model, bits: int, id_type: T.DataType):
 
 def partial_schema(id_type: T.DataType) -> T.StructType:
     kinds = {
-        "block": T.LongType(), "place": T.IntegerType(), "id": id_type, "n_tokens": T.LongType(),
-        "n_known": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType(),
-        "bucket": T.IntegerType(),
+        "block": T.LongType(), "ids": T.ArrayType(id_type), "n_tokens": T.ArrayType(T.LongType()),
+        "n_known": T.ArrayType(T.LongType()), "base_score": T.ArrayType(T.DoubleType()),
+        "score": T.ArrayType(T.DoubleType()), "bucket": T.IntegerType(),
     }
     binary = ("keys", "sums", "leftover", "lower", "context", "use", "times")
     return T.StructType(
@@ -464,6 +468,15 @@ def backed_off(unknown: float):
     return run
 
 
+def finished(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    """The texts of a block with all that their contexts add."""
+    ids, tokens, known, base, score = (left.column(c).combine_chunks().flatten() for c in TEXTS)
+    total = score.to_numpy(zero_copy_only=False).copy()
+    for places, added in zip(right.column("places"), right.column("added"), strict=True):
+        total[places.values.to_numpy(zero_copy_only=False)] += added.values.to_numpy(zero_copy_only=False)
+    return pa.table([ids, tokens, known, base, pa.array(total)], names=["id", *TEXTS[1:]])
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows that the query learns from: four fifths, by id; rows without id among them."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 1, F.lit(True))
@@ -498,19 +511,19 @@ def language_model_scores(
     schema = partial_schema(id_type)
     own = counted.where("block IS NOT NULL").drop("stats").groupBy("block")
     parts = settle(state.groupBy("block").cogroup(own).applyInArrow(evaluated(model, bits, id_type), schema))
-    contexts = parts.where("bucket IS NOT NULL").drop("place", "id", "n_tokens", "n_known", "base_score", "score")
+    contexts = parts.where("bucket IS NOT NULL").drop(*TEXTS)
     added = contexts.groupBy("bucket").applyInArrow(
         backed_off(model.unknown), "block bigint, places array<int>, added array<double>"
     )
-    uses = added.select("block", F.inline(F.arrays_zip("places", "added"))).select(
-        "block", F.col("places").alias("place"), F.col("added").alias("score")
-    )
-    texts = parts.where("bucket IS NULL").select("block", "place", "id", "n_tokens", "n_known", "base_score", "score")
-    scored = texts.unionByName(uses, allowMissingColumns=True).groupBy("block", "place").agg(
-        F.first("id", ignorenulls=True).alias("id"),
-        *(F.max(name).alias(name) for name in ("n_tokens", "n_known", "base_score")),
-        F.sum("score").alias("score"),
+    texts = parts.where("bucket IS NULL").select("block", *TEXTS)
+    made = T.StructType(
+        [
+            T.StructField("id", id_type),
+            *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")),
+            *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score")),
+        ]
     )
+    scored = texts.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(finished, made)
     return scored.select(
         F.col("id").alias(id_col), "n_tokens", "n_known",
         F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score",
