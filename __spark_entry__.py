@@ -24,10 +24,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from dinestat.functions.dates import latest  # noqa: E402
 from dinestat.functions.money import is_discounted, line_revenue  # noqa: E402
 from dinestat.functions.tags import SegmentThresholds  # noqa: E402
-from dinestat.operators import charts, customers, sales, shape  # noqa: E402
+from dinestat.operators import charts, customers, locations, sales, shape  # noqa: E402
 from dinestat.plans import views  # noqa: E402
 from dinestat.plans.batch import build_metrics  # noqa: E402
-from dinestat.sources.parquet import checkpoint_folder, settle  # noqa: E402
+from dinestat.sources.parquet import (  # noqa: E402
+    checkpoint_folder,
+    read_order_items,
+    settle,
+)
 from dinestat.sources.star import order_items  # noqa: E402
 from oracle import ORACLE  # noqa: E402
 
@@ -82,6 +86,25 @@ def rearranged_items(spark, folder):
     return plain(shape.rearrange_columns(order_items(spark, folder)))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder for what a query writes."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark, folder) -> DataFrame:
+    """Order items as a written table, for queries that read them more than once."""
+    return settle(order_items(spark, folder))
+
+
+@query
+def items_read_back(spark, folder):
+    """Order items from files with other names, another order and columns to spare."""
+    path = _folder(spark, "items")
+    given = order_items(spark, folder).withColumnRenamed("customer_id", "USER_ID")
+    given.withColumn("card_number", F.lit("0")).write.parquet(path)
+    return plain(read_order_items(spark, path))
+
+
 @query
 def line_revenues(spark, folder):
     return plain(
@@ -222,14 +245,35 @@ def sales_monthly_from_hourly(spark, folder):
     return plain(sales.monthly_sales(_trends(spark, folder).hourly))
 
 
+@query
+def sales_levels(spark, folder):
+    return plain(sales.sales_levels(order_items(spark, folder)))
+
+
+@query
+def sales_levels_iso(spark, folder):
+    return plain(sales.sales_levels(order_items(spark, folder), iso_weeks=True))
+
+
 @query
 def top_locations(spark, folder):
-    return plain(sales.top_locations(order_items(spark, folder)))
+    return plain(locations.top_locations(_written(spark, folder)))
 
 
 @query
 def top_locations_by_nation(spark, folder):
-    return plain(sales.top_locations(order_items(spark, folder), location_col="location_id"))
+    return plain(locations.top_locations(_written(spark, folder), location_col="location_id"))
+
+
+@query
+def location_activity_merged(spark, folder):
+    """Money and active days of each nation, from states of spans of days that overlap."""
+    items = _written(spark, folder)
+    day, line = F.col("date"), F.col("order_id") % 2
+    spans = (day < "1994-07-01", (day >= "1994-07-01") & (line == 0), (day >= "1994-07-01") & (line == 1))
+    states = [settle(locations.location_states(items.where(s), "location_id")) for s in spans]
+    merged = locations.merge_location_states(*states, location_col="location_id")
+    return plain(locations.location_activity(merged, "location_id"))
 
 
 @query
@@ -285,6 +329,11 @@ def high_clv_rfm_means(spark, folder):
     return plain(_segmentation(spark, folder, clv_tag="High CLV")["rfm_means"])
 
 
+@query
+def rfm_table(spark, folder):
+    return plain(_segmentation(spark, folder)["rfm_table"])
+
+
 @query
 def recency_histogram(spark, folder):
     return plain(_segmentation(spark, folder)["recency_histogram"])
@@ -296,10 +345,9 @@ def monetary_histogram(spark, folder):
 
 
 def _churn(spark, folder, **options) -> dict[str, DataFrame]:
-    days = _days(spark, folder)
-    profile = customers.customer_activity_profile(
-        order_items(spark, folder), as_of=latest(days, "max_date")
-    )
+    items = _written(spark, folder)
+    days = settle(customers.customer_days(items))
+    profile = customers.customer_activity_profile(items, as_of=latest(days, "max_date"))
     return views.churn_view(_segmented(days), profile, as_of=AS_OF, **options)
 
 
@@ -326,6 +374,12 @@ def churn_selected(spark, folder):
     return plain(chosen["customers"], avg_pct_change=6)
 
 
+@query
+def churn_restaurant(spark, folder):
+    """The page as it opens: one restaurant chosen."""
+    return plain(_churn(spark, folder, restaurant="1")["profile_table"], avg_pct_change=6)
+
+
 @query
 def segment_distribution(spark, folder):
     return plain(_churn(spark, folder)["segment_distribution"])
@@ -361,6 +415,34 @@ def sales_drilldown(spark, folder):
     return plain(_feed(spark, folder, "Daily", year=1995, month="March", week=2))
 
 
+@query
+def hourly_trend_feed(spark, folder):
+    return plain(_feed(spark, folder, "Hourly"))
+
+
+@query
+def weekly_drilldown(spark, folder):
+    return plain(_feed(spark, folder, "Weekly", year=1995, month="March"))
+
+
+def _stored_feed(spark, folder, *selection, **options) -> DataFrame:
+    """A feed from written datasets, of which only the chosen folder and days are read."""
+    base = _folder(spark, "trends")
+    trends = sales.sales_trends(order_items(spark, folder), base, schemes=None)
+    return views.sales_trend_view(trends, *selection, **options)
+
+
+@query
+def daily_drilldown_restaurant(spark, folder):
+    chosen = {"restaurant": "1", "year": 1995, "month": "March", "week": 2}
+    return plain(_stored_feed(spark, folder, "Daily", **chosen))
+
+
+@query
+def hourly_drilldown_restaurant(spark, folder):
+    return plain(_stored_feed(spark, folder, "Hourly", restaurant="3", year=1996))
+
+
 @query
 def trend_years(spark, folder):
     return plain(views.trend_choices(_feed(spark, folder))["years"])
@@ -378,6 +460,26 @@ def loyalty_box(spark, folder):
     return plain(box, q1=4, median=4, q3=4)
 
 
+def _loyalty(spark, folder) -> dict[str, DataFrame]:
+    impact = settle(customers.loyalty_impact(order_items(spark, folder)))
+    return views.loyalty_view(impact, customers.loyalty_summary(impact), exact=True)
+
+
+@query
+def loyalty_page_summary(spark, folder):
+    return plain(_loyalty(spark, folder)["summary"], avg_spend_per_customer=4)
+
+
+@query
+def loyalty_page_box(spark, folder):
+    return plain(_loyalty(spark, folder)["lifetime_value_box"], q1=4, median=4, q3=4)
+
+
+@query
+def loyalty_page_bars(spark, folder):
+    return plain(_loyalty(spark, folder)["repeat_orders"])
+
+
 @query
 def repeat_orders_bar(spark, folder):
     impact = customers.loyalty_impact(order_items(spark, folder))
@@ -386,13 +488,13 @@ def repeat_orders_bar(spark, folder):
 
 @query
 def location_top10(spark, folder):
-    ranked = sales.top_locations(order_items(spark, folder), location_col="location_id")
+    ranked = locations.top_locations(_written(spark, folder), location_col="location_id")
     return plain(views.location_view(ranked, location_col="location_id")["top"])
 
 
 @query
 def location_bars(spark, folder):
-    ranked = sales.top_locations(order_items(spark, folder))
+    ranked = locations.top_locations(_written(spark, folder))
     return plain(views.location_view(ranked)["revenue_bars"])
 
 
@@ -414,8 +516,8 @@ def discount_bars(spark, folder):
 @query
 def metric_roundtrip(spark, folder):
     """Rows and money of each dataset after the job wrote it and it was read back."""
-    items = shape.rearrange_columns(order_items(spark, folder))
-    base = f"{checkpoint_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    items = shape.rearrange_columns(_written(spark, folder))
+    base = _folder(spark, "metrics")
     metrics = build_metrics(items, base, schemes=None)
     money = {
         "rfm": "monetary", "loyalty": "lifetime_value", "profile": None, "loyalty_summary": None,

@@ -49,3 +49,21 @@ def month_name(month: Column) -> Column:
 def month_number(month: int | str) -> int:
     """Month given as a number or as its English name."""
     return month if isinstance(month, int) else dt.datetime.strptime(month, "%B").month
+
+
+def date_range(
+    year: int, month: int | None = None, week: int | None = None
+) -> tuple[dt.date, dt.date]:
+    """First day and the day after the last of a year, a month, or a week of a month.
+
+    Weeks of the month are those of :func:`week_of_month`. A week that the month does not
+    have gives a range that begins and ends on the same day.
+    """
+    if month is None:
+        return dt.date(year, 1, 1), dt.date(year + 1, 1, 1)
+    start = dt.date(year, month, 1)
+    end = dt.date(year + month // 12, month % 12 + 1, 1)
+    if week is None:
+        return start, end
+    first = start + dt.timedelta(days=max(0, 7 * (week - 1) - 1))
+    return min(max(first, start), end), max(start, min(start + dt.timedelta(days=7 * week - 1), end))

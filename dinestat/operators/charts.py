@@ -17,13 +17,16 @@ def histogram(
     by: str,
     bins: int = BINS,
     bounds: tuple[float, float] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Row counts of each ``by`` value in equal-width bins over the column's range.
 
     The largest value falls into the last bin. ``bounds`` saves the pass that finds
-    the range. Null groups and values are left out.
+    the range. A ``weight`` column says how many rows one row stands for. Null groups
+    and values are left out.
     """
-    rows = df.select(by, F.col(column).cast("double").alias("x"))
+    stands_for = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(by, F.col(column).cast("double").alias("x"), stands_for.alias("rows"))
     rows = rows.filter(F.col(by).isNotNull() & F.col("x").isNotNull())
     if bounds is None:
         ends = rows.agg(F.struct(F.min("x"), F.max("x"))).scalar()
@@ -33,7 +36,7 @@ def histogram(
     # A range of one single value has no width to divide: all its rows are in bin 1.
     bucket = F.coalesce(F.width_bucket("x", low, high, F.lit(bins)), F.lit(1))
     bin_of = F.least(bucket, F.lit(bins))
-    counts = rows.groupBy(by, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = rows.groupBy(by, bin_of.alias("bin")).agg(F.sum("rows").cast("bigint").alias("count"))
     return counts.withColumn("bin_start", low + (high - low) * (F.col("bin") - 1) / bins)
 
 

@@ -1,4 +1,4 @@
-"""Sales metrics over all orders, guests included: trends, locations, discounts."""
+"""Sales metrics over all orders, guests included: trends and discounts."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dinestat.functions import dates
-from dinestat.functions.money import is_discounted, line_revenue, mean, ratio
+from dinestat.functions.money import is_discounted, line_revenue, mean
 from dinestat.operators.customers import REVENUE_COL, with_line_revenue
-from dinestat.operators.ranking import number_rows
+from dinestat.operators.locations import location_totals, top_locations
 from dinestat.sources.parquet import (
     DEFAULT_SCHEMES,
     output_path,
@@ -90,19 +90,87 @@ def hourly_sales(lines: DataFrame) -> DataFrame:
     return _summed(lines, HOURLY, "year", "hour", "day", "date")
 
 
+def sales_levels(items: DataFrame, iso_weeks: bool = False) -> DataFrame:
+    """All four granularities as one table, from one scan of the items.
+
+    Lines are added up by hour first; grouping sets over those sums then give every level,
+    told apart by ``granularity``. Columns that a level does not have are null in its rows.
+    """
+    date = F.col("date")
+    hours = hourly_sales(sales_lines(items)).drop("granularity")
+    monday = F.date_trunc("week", date).cast("date") if iso_weeks else F.lit(None).cast("date")
+    keyed = hours.select(
+        "restaurant_id", "item_category", "year", "day", "date", "hour", "revenue",
+        F.trunc(date, "MM").alias("month_start"),
+        F.weekofyear(date).alias("week"),
+        (dates.iso_year(date) if iso_weeks else F.col("year")).alias("week_year"),
+        monday.alias("monday"),
+    )
+    levels = {
+        DAILY: ["year", "day", "date"],
+        HOURLY: ["year", "day", "date", "hour"],
+        WEEKLY: ["week_year", "week", "monday"],
+        MONTHLY: ["year", "month_start"],
+    }
+    every = ["restaurant_id", "item_category"]
+    names = list(dict.fromkeys(name for level in levels.values() for name in level))
+    grouped = keyed.groupingSets(
+        [[F.col(name) for name in [*every, *level]] for level in levels.values()],
+        *every, *names,
+    ).agg(
+        F.sum("revenue").cast(REVENUE).alias("revenue"),
+        *(F.grouping(name).alias(f"without_{name}") for name in ("hour", "week", "month_start")),
+    )
+    level = (
+        F.when(F.col("without_hour") == 0, HOURLY)
+        .when(F.col("without_week") == 0, WEEKLY)
+        .when(F.col("without_month_start") == 0, MONTHLY)
+        .otherwise(DAILY)
+    )
+    weekly = F.coalesce("monday", dates.week_date(F.col("week_year"), F.col("week")))
+    return grouped.select(
+        level.alias("granularity"),
+        F.coalesce("year", "week_year").alias("year"),
+        "week",
+        F.date_format("month_start", "MMMM").alias("month"),
+        F.month("month_start").alias("month_num"),
+        F.coalesce("date", "month_start", weekly).alias("date"),
+        "day", "hour", *every, "revenue",
+    )
+
+
+def split_levels(levels: DataFrame) -> SalesTrends:
+    """The four tables of :func:`sales_levels`, each with the columns of its level."""
+    tail = ["restaurant_id", "item_category", "revenue", "granularity"]
+    own = {
+        DAILY: ["year", "day", "date", *tail],
+        WEEKLY: ["year", "week", "date", *tail],
+        MONTHLY: ["year", "date", "month", "month_num", *tail],
+        HOURLY: ["year", "hour", "day", "date", *tail],
+    }
+    return SalesTrends(
+        **{name: levels.where(F.col("granularity") == name).select(columns) for name, columns in own.items()}
+    )
+
+
 def sales_trends(
     items: DataFrame,
     path: str | None = None,
     iso_weeks: bool = False,
     schemes: tuple[str, ...] | None = DEFAULT_SCHEMES,
+    together: bool = False,
 ) -> SalesTrends:
     """Revenue at four granularities; also written below ``path`` when that is given.
 
-    Without a path each table is its own lazy aggregate of the items. With one, the
-    items are scanned once: hourly sums are written, and the other three are added up
-    from what was written. Decimal revenue makes both ways give the same numbers.
+    Without a path each table is its own lazy aggregate of the items, the least work for
+    one of them. ``together`` starts a job that scans the items once for all four and
+    keeps them in a folder each. With a path the items are scanned once, too: hourly sums
+    are written, and the other three are added up from what was written. Decimal revenue
+    makes all ways give the same numbers.
     """
     base = output_path(path, schemes)
+    if base is None and together:
+        return split_levels(settle(sales_levels(items, iso_weeks), "granularity"))
     lines = sales_lines(items)
     hourly = hourly_sales(lines)
     if base is not None:
@@ -117,47 +185,6 @@ def sales_trends(
     return trends
 
 
-# --- locations -------------------------------------------------------------------
-
-
-def location_totals(
-    items: DataFrame,
-    location_col: str = "restaurant_id",
-    date_col: str = "date",
-    revenue_col: str = REVENUE_COL,
-    approx: bool = False,
-) -> DataFrame:
-    """Revenue, average line value and orders per active day of each location.
-
-    ``approx`` counts distinct orders by sketch instead of shuffling them.
-    """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    return (
-        with_line_revenue(items, revenue_col)
-        .groupBy(location_col)
-        .agg(
-            F.sum(revenue_col).alias("total_revenue"),
-            mean(revenue_col).alias("average_order_value"),
-            ratio(distinct("order_id"), F.count_distinct(date_col)).alias("orders_per_day"),
-        )
-    )
-
-
-def top_locations(
-    items: DataFrame,
-    location_col: str = "restaurant_id",
-    date_col: str = "date",
-    revenue_col: str = REVENUE_COL,
-    approx: bool = False,
-) -> DataFrame:
-    """Location totals ranked by revenue, lower location first among equals.
-
-    Starts a job: the totals, one row per location, are written before ranking.
-    """
-    totals = settle(location_totals(items, location_col, date_col, revenue_col, approx))
-    return number_rows(totals, "total_revenue", location_col)
-
-
 # --- discounts -------------------------------------------------------------------
 
 

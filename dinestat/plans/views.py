@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dinestat.functions import dates
-from dinestat.functions.money import mean
+from dinestat.functions.money import ratio
 from dinestat.functions.tags import RISK_DAYS
 from dinestat.operators import charts, sales, shape
 
@@ -32,12 +32,26 @@ def rfm_with_clv(rfm: DataFrame, clv: DataFrame) -> DataFrame:
     return rfm.join(clv.select(*KEYS, "clv_tag"), KEYS, "inner")
 
 
-def rfm_means(rfm: DataFrame) -> DataFrame:
-    """Average recency, frequency and spend by loyalty, one row per metric."""
+def tag_days(clv: DataFrame) -> DataFrame:
+    """Days of each tag per restaurant and customer: at most three rows a customer."""
+    return clv.groupBy(*KEYS, "clv_tag").agg(F.count(F.lit(1)).cast("decimal(10,0)").alias("days"))
+
+
+def rfm_means(rfm: DataFrame, weight: str | None = None) -> DataFrame:
+    """Average recency, frequency and spend by loyalty, one row per metric.
+
+    A ``weight`` column says how many rows one row stands for.
+    """
     measures = ["recency", "frequency", "monetary"]
     known = rfm.filter(F.col("is_loyalty").isNotNull()).groupBy("is_loyalty")
+    rows = F.lit(1) if weight is None else F.col(weight)
+
+    def average(measure: str) -> Column:
+        value = F.col(measure)
+        return ratio(F.sum(value * rows), F.sum(F.when(value.isNotNull(), rows)))
+
     return shape.to_metric_rows(
-        known.agg(*(mean(m).alias(m) for m in measures)), "is_loyalty", measures
+        known.agg(*(average(m).alias(m) for m in measures)), "is_loyalty", measures
     )
 
 
@@ -48,20 +62,25 @@ def segmentation_view(
     clv_tag: str = shape.ALL,
     top: int = TOP_ROWS,
 ) -> dict[str, DataFrame]:
-    """Lifetime-value leaders, RFM table, and RFM by CLV tag and loyalty."""
+    """Lifetime-value leaders, RFM table, and RFM by CLV tag and loyalty.
+
+    Only ``rfm_by_clv`` itself repeats a customer for each day. Means, histograms and
+    tags join the number of such days instead, and weigh with it.
+    """
     rfm = shape.keep_equal(rfm, "restaurant_id", restaurant)
     clv = shape.keep_equal(clv, "restaurant_id", restaurant)
-    tagged = rfm_with_clv(rfm, clv)
-    chosen = shape.keep_equal(tagged, "clv_tag", clv_tag)
+    chosen = shape.keep_equal(clv, "clv_tag", clv_tag)
+    weighted = rfm.join(tag_days(clv), KEYS, "inner")
+    weighed = rfm.join(tag_days(chosen), KEYS, "inner")
     return {
         "restaurants": shape.choices(rfm, "restaurant_id"),
         "top_clv": shape.top_rows(clv, "total_revenue", top, *KEYS, "date_key", "is_loyalty"),
         "rfm_table": rfm.orderBy(F.asc_nulls_last("recency"), *KEYS),
-        "clv_tags": shape.choices(tagged, "clv_tag"),
-        "rfm_by_clv": chosen,
-        "rfm_means": rfm_means(chosen),
-        "recency_histogram": charts.histogram(chosen, "recency", "is_loyalty"),
-        "monetary_histogram": charts.histogram(chosen, "monetary", "is_loyalty"),
+        "clv_tags": shape.choices(weighted, "clv_tag"),
+        "rfm_by_clv": rfm_with_clv(rfm, chosen),
+        "rfm_means": rfm_means(weighed, "days"),
+        "recency_histogram": charts.histogram(weighed, "recency", "is_loyalty", weight="days"),
+        "monetary_histogram": charts.histogram(weighed, "monetary", "is_loyalty", weight="days"),
     }
 
 
@@ -161,7 +180,8 @@ def sales_trend_view(
     """Revenue line of one granularity, narrowed to a year, month, week of month.
 
     ``month`` in the result is a number beside ``month_name``; both, and the week of
-    the month, come from the row's date at every granularity.
+    the month, come from the row's date at every granularity. A selection that begins
+    with a year is one span of dates and reaches the scan as its two bounds.
     """
     label = granularity.lower()
     if label not in trends._fields:
@@ -179,9 +199,7 @@ def sales_trend_view(
     if label == sales.WEEKLY:
         parts["week"] = F.col("week").try_cast("int")
     rows = rows.withColumns(parts)
-    rows = shape.keep_equal(rows, "year", year)
-    rows = shape.keep_equal(rows, "month", None if month is None else dates.month_number(month))
-    rows = shape.keep_equal(rows, "week_of_month", week)
+    rows = _keep_period(rows, label, year, None if month is None else dates.month_number(month), week)
     order = {
         sales.WEEKLY: ["year", "week"],
         sales.MONTHLY: ["month", "year"],
@@ -190,6 +208,29 @@ def sales_trend_view(
     return rows.orderBy(*(F.asc_nulls_last(c) for c in [*order, "restaurant_id", "item_category"]))
 
 
+def _keep_period(
+    rows: DataFrame, label: str, year: int | None, month: int | None, week: int | None
+) -> DataFrame:
+    """Rows of a year, month and week of month: by date bounds as far as these say the same.
+
+    A weekly row's year is its own column, as an ISO week can begin in the year before:
+    bounds then only narrow the scan, by the days on which weeks of that year can begin.
+    """
+    if label == sales.WEEKLY and year is not None:
+        rows = shape.keep_equal(rows, "year", year)
+        start, end = dt.date(year - 1, 12, 29), dt.date(year + 1, 1, 1)
+        rows = rows.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
+        year = None
+    if year is not None:
+        within = (month, week) if month is not None else (None, None)
+        start, end = dates.date_range(year, *within)
+        rows = rows.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
+        if month is not None:
+            return rows
+    rows = shape.keep_equal(rows, "month", month)
+    return shape.keep_equal(rows, "week_of_month", week)
+
+
 def trend_choices(feed: DataFrame) -> dict[str, DataFrame]:
     """Options of the trend page: restaurants, years (latest first), months, weeks."""
     months = feed.select("month", "month_name").filter(F.col("month").isNotNull()).distinct()

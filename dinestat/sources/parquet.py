@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -52,18 +53,33 @@ def output_path(path: str | None, schemes: tuple[str, ...] | None = DEFAULT_SCHE
     return path.rstrip("/") + "/"
 
 
-def write_metric(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+def write_metric(
+    df: DataFrame,
+    path: str,
+    partition_by: str | None = None,
+    sort_by: Sequence[str] = (),
+    only_folders: bool = False,
+) -> None:
     """Overwrite a Parquet dataset, optionally in ``column=value`` folders.
 
     Before a partitioned write, rows are gathered by folder so that each gets few
     files. REBALANCE lets adaptive execution cut a folder that holds much of the
-    data into several tasks, and merge small ones, by the sizes it measured.
+    data into several tasks, and merge small ones, by the sizes it measured. Within a
+    task, rows are put in the order of ``sort_by``.
+
+    ``only_folders`` replaces just those folders that ``df`` has rows for and leaves all
+    others as they are; a folder whose value no longer occurs is one of those others.
     """
     if partition_by is None:
-        df.write.mode("overwrite").parquet(path)
-    else:
-        gathered = df.hint("rebalance", partition_by)
-        gathered.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        rows = df.sortWithinPartitions(*sort_by) if sort_by else df
+        rows.write.mode("overwrite").parquet(path)
+        return
+    gathered = df.hint("rebalance", partition_by)
+    if sort_by:
+        gathered = gathered.sortWithinPartitions(partition_by, *sort_by)
+    mode = "dynamic" if only_folders else "static"
+    writer = gathered.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy(partition_by).parquet(path)
 
 
 def dataset_path(base: str, key: str) -> str:
@@ -71,11 +87,11 @@ def dataset_path(base: str, key: str) -> str:
     return base.rstrip("/") + "/" + DATASETS[key].folder
 
 
-def write_dataset(df: DataFrame, path: str, key: str) -> None:
+def write_dataset(df: DataFrame, path: str, key: str, only_folders: bool = False) -> None:
     """Write one of the known datasets with its declared columns, types and folders."""
     dataset = DATASETS[key]
     typed = df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in dataset.schema))
-    write_metric(typed, path, dataset.partition_by)
+    write_metric(typed, path, dataset.partition_by, dataset.sort_by, only_folders)
 
 
 def read_dataset(
@@ -114,12 +130,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a table that several later steps need and return it as read back.
 
     Cuts the lineage without depending on any executor, and gives the optimizer the
-    true size, by which it decides whether the table may be broadcast.
+    true size, by which it decides whether the table may be broadcast. ``partition_by``
+    keeps a folder for each value of a column, so that a selection reads only its own.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    return read if partition_by is None else read.select(*df.columns)

@@ -189,6 +189,7 @@ _WEEKLY_OUT = f"""CAST(year AS BIGINT) AS year, CAST(week AS BIGINT) AS week, {_
        CAST(date AS DATE) AS date, granularity"""
 _MONTHLY_OUT = f"""CAST(year AS BIGINT) AS year, month, {_R}, revenue,
        CAST(month_num AS BIGINT) AS month_num, date, granularity"""
+_HOURLY_OUT = f"CAST(year AS BIGINT) AS year, hour, day, date, {_R}, revenue, granularity"
 _PARTS = """CAST(month(date) AS BIGINT) AS month, monthname(date) AS month_name,
        CAST(day(date) // 7 + 1 AS BIGINT) AS week_of_month"""
 
@@ -269,19 +270,67 @@ _LOYALTY_SQL = _sql(_IMPACT, f"SELECT {_IMPACT_OUT} FROM impact")
 _WEEKLY_SQL = _sql(_SALES, f"SELECT {_WEEKLY_OUT} FROM weekly")
 _MONTHLY_SQL = _sql(_SALES, f"SELECT {_MONTHLY_OUT} FROM monthly")
 
-ORACLE = {
-    "rearranged_items": _sql(
-        """SELECT CAST(NULL AS VARCHAR) AS order_key, date_key, CAST(NULL AS VARCHAR) AS app_name,
-       CAST(restaurant_id AS VARCHAR) AS restaurant_id, customer_id,
-       CAST(order_id AS VARCHAR) AS order_id, lineitem_id, is_loyalty, item_category, item_name,
-       CAST(NULL AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS option_group_name,
-       CAST(NULL AS VARCHAR) AS option_name, CAST(option_price AS DOUBLE) AS option_price,
-       CAST(option_quantity AS BIGINT) AS option_quantity, CAST(item_price AS DOUBLE) AS item_price,
-       CAST(item_quantity AS BIGINT) AS item_quantity, time, date, month_name, day_of_weeks,
-       CAST(NULL AS BOOLEAN) AS is_weekends, CAST(NULL AS BOOLEAN) AS is_holidays,
-       CAST(NULL AS VARCHAR) AS holiday_name
+_SUMMARY = _sql(
+    _IMPACT,
+    """SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, is_loyalty,
+   round(avg(average_spend), 4) AS avg_spend_per_customer,
+   CAST(sum(repeat_orders) AS DOUBLE) / count(*) AS avg_repeat_orders,
+   CAST(sum(lifetime_value) AS DOUBLE) / count(*) AS avg_lifetime_value
+FROM impact GROUP BY 1, 2""",
+)
+_BOX = _sql(
+    _IMPACT,
+    """SELECT is_loyalty, CAST(min(lifetime_value) AS DOUBLE) AS minimum,
+   CAST(max(lifetime_value) AS DOUBLE) AS maximum,
+   round(quantile_cont(CAST(lifetime_value AS DOUBLE), 0.25), 4) AS q1,
+   round(quantile_cont(CAST(lifetime_value AS DOUBLE), 0.5), 4) AS median,
+   round(quantile_cont(CAST(lifetime_value AS DOUBLE), 0.75), 4) AS q3
+FROM impact WHERE is_loyalty IS NOT NULL GROUP BY is_loyalty""",
+)
+_BARS = _sql(
+    _IMPACT,
+    """SELECT is_loyalty, CAST(sum(repeat_orders) AS BIGINT) AS total_repeat_orders,
+   avg(repeat_orders) AS mean_repeat_orders
+FROM impact WHERE is_loyalty IS NOT NULL GROUP BY is_loyalty""",
+)
+_REARRANGED = _sql(
+    """SELECT CAST(NULL AS VARCHAR) AS order_key, date_key, CAST(NULL AS VARCHAR) AS app_name,
+   CAST(restaurant_id AS VARCHAR) AS restaurant_id, customer_id,
+   CAST(order_id AS VARCHAR) AS order_id, lineitem_id, is_loyalty, item_category, item_name,
+   CAST(NULL AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS option_group_name,
+   CAST(NULL AS VARCHAR) AS option_name, CAST(option_price AS DOUBLE) AS option_price,
+   CAST(option_quantity AS BIGINT) AS option_quantity, CAST(item_price AS DOUBLE) AS item_price,
+   CAST(item_quantity AS BIGINT) AS item_quantity, time, date, month_name, day_of_weeks,
+   CAST(NULL AS BOOLEAN) AS is_weekends, CAST(NULL AS BOOLEAN) AS is_holidays,
+   CAST(NULL AS VARCHAR) AS holiday_name
 FROM items"""
-    ),
+)
+
+
+def _levels(weekly: str) -> str:
+    """All granularities as one table; ``weekly`` gives the year, week and date of a week."""
+    place = "CAST(restaurant_id AS BIGINT) AS restaurant_id, item_category"
+    money = "CAST(sum(revenue) AS DOUBLE) AS revenue"
+    none = "CAST(NULL AS {}) AS {}".format
+    return f"""SELECT 'daily' AS granularity, CAST(year(date) AS BIGINT) AS year, {none("BIGINT", "week")},
+       {none("VARCHAR", "month")}, {none("BIGINT", "month_num")}, date, day_of_weeks AS day,
+       {none("BIGINT", "hour")}, {place}, {money}
+FROM items GROUP BY ALL
+UNION ALL
+SELECT 'hourly', year(date), NULL, NULL, NULL, date, day_of_weeks, CAST(time[1:2] AS BIGINT), {place}, {money}
+FROM items GROUP BY ALL
+UNION ALL
+SELECT 'weekly', {weekly}, NULL, NULL, {place}, {money}
+FROM items GROUP BY ALL
+UNION ALL
+SELECT 'monthly', year(date), NULL, monthname(date), month(date),
+       make_date(year(date), month(date), 1) AS date, NULL, NULL, {place}, {money}
+FROM items GROUP BY ALL"""
+
+
+ORACLE = {
+    "rearranged_items": _REARRANGED,
+    "items_read_back": _REARRANGED,
     "line_revenues": _sql(
         """SELECT lineitem_id, CAST(revenue_per_order AS DOUBLE) AS revenue_per_order,
        CAST(revenue AS DOUBLE) AS revenue, coalesce(option_price < 0, FALSE) AS is_discounted
@@ -319,14 +368,8 @@ FROM clv) WHERE position <= 10""",
     ),
     "loyalty_impact": _LOYALTY_SQL,
     "loyalty_from_days": _LOYALTY_SQL,
-    "loyalty_summary": _sql(
-        _IMPACT,
-        """SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, is_loyalty,
-       round(avg(average_spend), 4) AS avg_spend_per_customer,
-       CAST(sum(repeat_orders) AS DOUBLE) / count(*) AS avg_repeat_orders,
-       CAST(sum(lifetime_value) AS DOUBLE) / count(*) AS avg_lifetime_value
-FROM impact GROUP BY 1, 2""",
-    ),
+    "loyalty_summary": _SUMMARY,
+    "loyalty_page_summary": _SUMMARY,
     "sales_daily": _sql(_SALES, f"SELECT {_DAILY_OUT} FROM daily"),
     "sales_weekly": _WEEKLY_SQL,
     "sales_weekly_from_hourly": _WEEKLY_SQL,
@@ -338,9 +381,21 @@ FROM items GROUP BY ALL"""
     ),
     "sales_monthly": _MONTHLY_SQL,
     "sales_monthly_from_hourly": _MONTHLY_SQL,
-    "sales_hourly": _sql(
-        _SALES,
-        f"SELECT CAST(year AS BIGINT) AS year, hour, day, date, {_R}, revenue, granularity FROM hourly",
+    "sales_hourly": _sql(_SALES, f"SELECT {_HOURLY_OUT} FROM hourly"),
+    "sales_levels": _sql(
+        _levels(
+            """year(date), week(date), NULL, NULL,
+       CAST(make_date(year(date), 1, 1) + CAST((week(date) - 1) * 7 AS INT) AS DATE)"""
+        )
+    ),
+    "sales_levels_iso": _sql(
+        _levels("isoyear(date), week(date), NULL, NULL, CAST(date_trunc('week', date) AS DATE)")
+    ),
+    "location_activity_merged": _sql(
+        """SELECT CAST(location_id AS BIGINT) AS location_id,
+       CAST(sum(revenue_per_order) AS DOUBLE) AS total_revenue, count(revenue_per_order) AS priced_lines,
+       count(DISTINCT date) AS active_days
+FROM items GROUP BY 1"""
     ),
     "top_locations": _sql(_locations("restaurant_id"), "SELECT * FROM ranked"),
     "top_locations_by_nation": _sql(_locations("location_id"), "SELECT * FROM ranked"),
@@ -358,6 +413,7 @@ LIMIT 10""",
     "clv_tag_choices": _sql(_VIEW, "SELECT DISTINCT clv_tag FROM tagged"),
     "rfm_means_by_loyalty": _sql(_VIEW, _means("TRUE")),
     "high_clv_rfm_means": _sql(_VIEW, _means("clv_tag = 'High CLV'")),
+    "rfm_table": _sql(_TUNED, f"SELECT {_RFM_OUT}, segment FROM rfm"),
     "recency_histogram": _sql(_VIEW, _histogram("recency")),
     "monetary_histogram": _sql(_VIEW, _histogram("monetary")),
     "churn_customers": _sql(_CHURN, _churn_rows(45)),
@@ -368,6 +424,7 @@ LIMIT 10""",
             90, "segment IN ('VIP', 'Churn Risk') AND activity_tag = 'at risk' AND is_loyalty"
         ),
     ),
+    "churn_restaurant": _sql(_CHURN, f"SELECT {_CHURN_OUT} FROM churn WHERE restaurant_id = 1"),
     "segment_distribution": _sql(
         _CHURN,
         "SELECT segment, activity_tag, count(*) AS count FROM churn GROUP BY segment, activity_tag",
@@ -388,26 +445,35 @@ LIMIT 10""",
         f"""SELECT {_DAILY_OUT}, {_PARTS} FROM daily
 WHERE year(date) = 1995 AND month(date) = 3 AND day(date) // 7 + 1 = 2""",
     ),
+    "hourly_trend_feed": _sql(_SALES, f"SELECT {_HOURLY_OUT}, {_PARTS} FROM hourly"),
+    "weekly_drilldown": _sql(
+        _SALES,
+        f"""SELECT {_WEEKLY_OUT}, {_PARTS} FROM weekly
+WHERE weekly.year = 1995 AND month(weekly.date) = 3""",
+    ),
+    "daily_drilldown_restaurant": _sql(
+        _SALES,
+        f"""SELECT {_DAILY_OUT}, {_PARTS} FROM daily
+WHERE restaurant_id = 1 AND date >= DATE '1995-03-07' AND date < DATE '1995-03-14'""".replace(
+            "CAST(restaurant_id AS BIGINT)", "CAST(restaurant_id AS VARCHAR)"
+        ),
+    ),
+    "hourly_drilldown_restaurant": _sql(
+        _SALES,
+        f"""SELECT {_HOURLY_OUT}, {_PARTS} FROM hourly
+WHERE restaurant_id = 3 AND year(date) = 1996""".replace(
+            "CAST(restaurant_id AS BIGINT)", "CAST(restaurant_id AS VARCHAR)"
+        ),
+    ),
     "trend_years": _sql("SELECT DISTINCT CAST(year(date) AS BIGINT) AS year FROM items"),
     "trend_months": _sql(
         """SELECT DISTINCT CAST(month(date) AS BIGINT) AS month, monthname(date) AS month_name
 FROM items"""
     ),
-    "loyalty_box": _sql(
-        _IMPACT,
-        """SELECT is_loyalty, CAST(min(lifetime_value) AS DOUBLE) AS minimum,
-       CAST(max(lifetime_value) AS DOUBLE) AS maximum,
-       round(quantile_cont(CAST(lifetime_value AS DOUBLE), 0.25), 4) AS q1,
-       round(quantile_cont(CAST(lifetime_value AS DOUBLE), 0.5), 4) AS median,
-       round(quantile_cont(CAST(lifetime_value AS DOUBLE), 0.75), 4) AS q3
-FROM impact WHERE is_loyalty IS NOT NULL GROUP BY is_loyalty""",
-    ),
-    "repeat_orders_bar": _sql(
-        _IMPACT,
-        """SELECT is_loyalty, CAST(sum(repeat_orders) AS BIGINT) AS total_repeat_orders,
-       avg(repeat_orders) AS mean_repeat_orders
-FROM impact WHERE is_loyalty IS NOT NULL GROUP BY is_loyalty""",
-    ),
+    "loyalty_box": _BOX,
+    "loyalty_page_box": _BOX,
+    "repeat_orders_bar": _BARS,
+    "loyalty_page_bars": _BARS,
     "location_top10": _sql(
         _locations("location_id"),
         "SELECT * FROM ranked ORDER BY total_revenue DESC, location_id LIMIT 10",

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from dinestat.operators import customers, sales, shape
+from dinestat.operators import customers, locations, sales, shape
 from dinestat.plans import views
 from dinestat.sources.parquet import read_dataset, read_order_items, settle, write_dataset
 
@@ -83,6 +83,131 @@ def test_trends_take_one_scan_of_their_columns_and_one_shuffle(stored, level):
     assert "item_name" not in text and "customer_id" not in text
 
 
+def test_location_totals_multiply_no_rows_and_read_each_column_once(stored):
+    text = plan(locations.location_totals(stored))
+    assert "Expand" not in text
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", text)
+    columns = [set(re.sub(r"#\d+", "", scan).split(",")) for scan in scans]
+    assert len(columns) == 2 and columns[0] & columns[1] == {"restaurant_id"}
+
+
+def test_all_levels_come_from_one_scan(stored):
+    text = plan(sales.sales_levels(stored))
+    assert text.count("FileScan") == 1 and text.count("Expand") == 1
+    assert text.index("Expand") < text.rindex("Exchange") < text.index("FileScan")
+
+
+@pytest.mark.parametrize("iso", [False, True])
+def test_levels_taken_together_equal_each_by_itself(stored, iso):
+    alone = sales.sales_trends(stored, iso_weeks=iso)
+    together = sales.sales_trends(stored, iso_weeks=iso, together=True)
+    for level in alone._fields:
+        one, other = getattr(alone, level), getattr(together, level)
+        names = sorted(one.columns)
+        assert names == sorted(other.columns)
+        assert re.search(rf"PartitionFilters: \[[^\]]*granularity[^\]]* = {level}", plan(other))
+        found, wanted = (sorted(map(str, df.select(*names).collect())) for df in (other, one))
+        assert found == wanted
+
+
+def test_segmentation_joins_at_most_three_rows_a_customer(stored):
+    days = settle(customers.customer_days(stored))
+    rfm = settle(customers.rfm_from_days(days))
+    clv = settle(customers.tag_clv(customers.day_revenue(days), exact=True))
+    view = views.segmentation_view(rfm, clv)
+    joined = rfm.join(views.tag_days(clv), views.KEYS)
+    most = joined.groupBy(*views.KEYS).count().agg(F.max("count")).first()[0]
+    assert most <= 3 and joined.count() < view["rfm_by_clv"].count()
+    assert joined.agg(F.sum("days")).first()[0] == view["rfm_by_clv"].count()
+    for name in ("rfm_means", "recency_histogram", "monetary_histogram", "clv_tags"):
+        below = plan(view[name]).split("Join", 1)[1]
+        assert re.search(r"HashAggregate\(keys=\[restaurant_id[^\]]*clv_tag", below)
+
+
+def pushed(df):
+    return re.findall(r"PushedFilters: \[([^\]]*)\]", plan(df))
+
+
+def scanned_rows(df):
+    """Rows that the scans of a plan gave out when it ran."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+PERIODS = [
+    ("Daily", {"year": 1995, "month": "March", "week": 2}, "1995-03-07", "1995-03-14"),
+    ("Daily", {"year": 1995, "month": 12}, "1995-12-01", "1996-01-01"),
+    ("Hourly", {"year": 1995, "month": 1, "week": 1}, "1995-01-01", "1995-01-07"),
+    ("Monthly", {"year": 1996}, "1996-01-01", "1997-01-01"),
+    ("Weekly", {"year": 1996, "month": 2}, "1995-12-29", "1997-01-01"),
+]
+
+
+@pytest.fixture(scope="module")
+def written_trends(sample, spark, tmp_path_factory):
+    base = str(tmp_path_factory.mktemp("trends"))
+    spark.conf.set("parquet.block.size", 4096)
+    spark.conf.set("parquet.page.size", 1024)
+    try:
+        sales.sales_trends(sample, base, schemes=None)
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark.conf.unset("parquet.page.size")
+    levels = ("daily", "weekly", "monthly", "hourly")
+    return sales.SalesTrends(*(read_dataset(spark, f"{base}/{key}", key) for key in levels)), base
+
+
+@pytest.mark.parametrize(("level", "period", "start", "end"), PERIODS)
+def test_periods_reach_the_scan_as_date_bounds(
+    written_trends, settings, level, period, start, end
+):
+    settings({"spark.sql.maxMetadataStringLength": "1000"})
+    trends, _ = written_trends
+    feed = views.sales_trend_view(trends, level, restaurant="1", **period)
+    (filters,) = pushed(feed)
+    assert f"GreaterThanOrEqual(date,{start})" in filters and f"LessThan(date,{end})" in filters
+    assert "PartitionFilters: [isnotnull(restaurant_id" in plan(feed)
+    whole = views.sales_trend_view(trends, level, restaurant="1").collect()
+    month = period.get("month")
+    wanted = [
+        r for r in whole
+        if r.year == period["year"]
+        and (month is None or month in (r.month, r.month_name))
+        and ("week" not in period or r.week_of_month == period["week"])
+    ]
+    assert feed.collect() == wanted
+
+
+def test_a_short_period_skips_row_groups(written_trends, spark):
+    import pyarrow.parquet as pq
+
+    trends, base = written_trends
+    files = sorted(Path(base, "hourly", "restaurant_id=1").glob("*.parquet"))
+    groups = [
+        meta.row_group(i).column(meta.schema.names.index("date")).statistics
+        for meta in (pq.read_metadata(f) for f in files)
+        for i in range(meta.num_row_groups)
+    ]
+    assert len(groups) > 2
+    assert all(a.max <= b.min for a, b in zip(groups, groups[1:]))
+    all_rows = scanned_rows(views.sales_trend_view(trends, "Hourly", restaurant="1"))
+    march = views.sales_trend_view(trends, "Hourly", restaurant="1", year=1995, month=3)
+    assert 0 < scanned_rows(march) < all_rows / 2
+
+
 def test_clv_tagging_starts_no_job(stored, spark):
     spark.sparkContext.setJobGroup("tagging", "")
     try:
