@@ -24,13 +24,24 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from dinestat.functions.dates import latest  # noqa: E402
 from dinestat.functions.money import is_discounted, line_revenue  # noqa: E402
 from dinestat.functions.tags import SegmentThresholds  # noqa: E402
-from dinestat.operators import charts, customers, locations, sales, shape  # noqa: E402
+from dinestat.operators import (  # noqa: E402
+    activity,
+    charts,
+    customers,
+    locations,
+    sales,
+    shape,
+    sketches,
+)
 from dinestat.plans import views  # noqa: E402
-from dinestat.plans.batch import build_metrics  # noqa: E402
+from dinestat.plans.batch import build_metrics, rebuild_restaurants  # noqa: E402
 from dinestat.sources.parquet import (  # noqa: E402
     checkpoint_folder,
     read_order_items,
+    read_runs,
     settle,
+    write_dataset,
+    write_metric,
 )
 from dinestat.sources.star import order_items  # noqa: E402
 from oracle import ORACLE  # noqa: E402
@@ -182,6 +193,45 @@ def customer_profile(spark, folder):
     return plain(profile, avg_pct_change=6)
 
 
+@query
+def profile_appended(spark, folder):
+    """The profile from stored states: two spans of days, then late and corrected ones."""
+    items, path = _written(spark, folder), _folder(spark, "activity")
+    day, late = F.col("date"), F.dayofmonth("date") == 10
+    early = day < "1996-07-01"
+    again = F.col("date").between("1997-01-05", "1997-01-07")
+    # The first batch lacks half the rows of some days, which the last one brings whole.
+    activity.append_activity(items.where(early & ~late), path)
+    activity.append_activity(items.where(~early & ~(again & (F.col("order_id") % 2 == 0))), path)
+    activity.append_activity(items.where((early & late) | again), path)
+    return plain(activity.stored_profile(spark, path), avg_pct_change=6)
+
+
+@query
+def clv_thresholds_by_year(spark, folder):
+    """Limits per restaurant and year merged from stored day sketches, against exact ranks."""
+    revenue = _revenue(spark, folder)
+    stored = settle(sketches.day_sketches(revenue))
+    keys = ["restaurant_id", "year"]
+    limits = settle(sketches.thresholds_of_days(stored, keys[0], F.year("date_key").alias(keys[1])))
+    dated = revenue.withColumn("year", F.year("date_key"))
+    errors = sketches.rank_errors(dated, "total_revenue", limits, keys, sketches.CLV_LIMITS)
+    checked = (
+        (F.col(name) <= 0.01).alias(f"{name}_within_a_hundredth") for name in sketches.CLV_LIMITS
+    )
+    return plain(errors.select(*keys, "rows", *checked))
+
+
+@query
+def rfm_orders(spark, folder):
+    return plain(customers.rfm_with_orders(order_items(spark, folder)))
+
+
+@query
+def loyalty_orders(spark, folder):
+    return plain(customers.loyalty_with_orders(order_items(spark, folder)))
+
+
 @query
 def avg_gap_closed_form(spark, folder):
     return plain(customers.average_gap(order_items(spark, folder)))
@@ -270,7 +320,7 @@ def location_activity_merged(spark, folder):
     """Money and active days of each nation, from states of spans of days that overlap."""
     items = _written(spark, folder)
     day, line = F.col("date"), F.col("order_id") % 2
-    spans = (day < "1994-07-01", (day >= "1994-07-01") & (line == 0), (day >= "1994-07-01") & (line == 1))
+    spans = (day < "1996-07-01", (day >= "1996-07-01") & (line == 0), (day >= "1996-07-01") & (line == 1))
     states = [settle(locations.location_states(items.where(s), "location_id")) for s in spans]
     merged = locations.merge_location_states(*states, location_col="location_id")
     return plain(locations.location_activity(merged, "location_id"))
@@ -380,6 +430,17 @@ def churn_restaurant(spark, folder):
     return plain(_churn(spark, folder, restaurant="1")["profile_table"], avg_pct_change=6)
 
 
+@query
+def churn_unknown_restaurants(spark, folder):
+    """Customers of a restaurant without id match themselves, as in a data-frame merge."""
+    unknown = F.when(F.col("restaurant_id") != 2, F.col("restaurant_id"))
+    items = settle(order_items(spark, folder).withColumn("restaurant_id", unknown))
+    days = settle(customers.customer_days(items))
+    profile = customers.customer_activity_profile(items, as_of=latest(days, "max_date"))
+    found = views.churn_view(_segmented(days), profile, as_of=AS_OF)["profile_table"]
+    return plain(found, avg_pct_change=6)
+
+
 @query
 def segment_distribution(spark, folder):
     return plain(_churn(spark, folder)["segment_distribution"])
@@ -518,7 +579,10 @@ def metric_roundtrip(spark, folder):
     """Rows and money of each dataset after the job wrote it and it was read back."""
     items = shape.rearrange_columns(_written(spark, folder))
     base = _folder(spark, "metrics")
-    metrics = build_metrics(items, base, schemes=None)
+    return _summaries(build_metrics(items, base, schemes=None))
+
+
+def _summaries(metrics: dict[str, DataFrame]) -> DataFrame:
     money = {
         "rfm": "monetary", "loyalty": "lifetime_value", "profile": None, "loyalty_summary": None,
         **dict.fromkeys(("daily", "weekly", "monthly", "hourly"), "revenue"),
@@ -534,6 +598,31 @@ def metric_roundtrip(spark, folder):
     return plain(reduce(DataFrame.unionByName, map(summary, metrics)))
 
 
+@query
+def metrics_rebuilt(spark, folder):
+    """As above, after two restaurants, one of which has closed, were built anew."""
+    items = shape.rearrange_columns(_written(spark, folder))
+    early = (F.col("restaurant_id") == "2") & (F.col("date") < "1996-01-01")
+    before = items.withColumn("restaurant_id", F.when(early, "closed").otherwise(F.col("restaurant_id")))
+    base = _folder(spark, "metrics")
+    as_of = latest(customers.known_customers(items), "date")
+    build_metrics(before, base, as_of, schemes=None)
+    return _summaries(rebuild_restaurants(items, base, ["2", "closed"], as_of, schemes=None))
+
+
+@query
+def sales_of_two_runs(spark, folder):
+    """Daily sales of an older run, without granularity and with other types, and a newer."""
+    daily = settle(_trends(spark, folder).daily)
+    older, newer = (_folder(spark, "daily") for _ in range(2))
+    plainer = daily.where("date < '1996-01-01'").drop("granularity").withColumns(
+        {"year": F.col("year").cast("bigint"), "revenue": F.col("revenue").cast("decimal(20,2)")}
+    )
+    write_metric(plainer, older, "restaurant_id", ("date",))
+    write_dataset(daily.where("date >= '1996-01-01'"), newer, "daily")
+    return plain(read_runs(spark, [older, newer], "daily"))
+
+
 # --- contract --------------------------------------------------------------------
 
 

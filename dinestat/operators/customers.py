@@ -15,7 +15,7 @@ from dinestat.functions import tags
 from dinestat.functions.dates import as_of_date
 from dinestat.functions.money import line_revenue, mean, ratio, relative_change
 from dinestat.operators.quantiles import exact_quantiles
-from dinestat.sources.schema import GUEST
+from dinestat.sources.schema import GUEST, REVENUE
 
 REVENUE_COL = "revenue_per_order"
 BEFORE_ALL_ORDERS = dt.date(1900, 1, 1)
@@ -128,8 +128,10 @@ def _first_known_flag(flag: str, day: Column) -> Column:
     Two minima of dates keep the aggregate in fixed-width hash buffers, where picking
     the value of a least row would sort both sides of the shuffle.
     """
-    yes = F.min(F.when(F.col(flag), day))
-    no = F.min(F.when(~F.col(flag), day))
+    return _earlier_flag(F.min(F.when(F.col(flag), day)), F.min(F.when(~F.col(flag), day)))
+
+
+def _earlier_flag(yes: Column, no: Column) -> Column:
     return F.when(yes.isNotNull() | no.isNotNull(), F.coalesce(yes <= no, yes.isNotNull()))
 
 
@@ -171,6 +173,34 @@ def rfm_from_days(days: DataFrame, as_of: dt.date | str | Column | None = None)
     )
 
 
+def rfm_with_orders(
+    items: DataFrame, as_of: dt.date | str | Column | None = None
+) -> DataFrame:
+    """:func:`rfm` plus ``orders``, the distinct orders beside the rows of ``frequency``.
+
+    Lines are added up to one row per order first, so an order whose lines differ in day
+    or flag counts once. Null order ids count as rows only.
+    """
+    lines = _customer_lines(items, "customer_id", REVENUE_COL)
+    snapshot = as_of_date(as_of, lines, "date")
+    day, flag = _flag_day(F.col("date")), F.col("is_loyalty")
+    orders = lines.groupBy("restaurant_id", "customer_id", "order_id").agg(
+        F.max("date").alias("max_date"),
+        F.count(F.lit(1)).alias("lines"),
+        F.sum(REVENUE_COL).alias("revenue"),
+        F.min(F.when(flag, day)).alias("member_day"),
+        F.min(F.when(~flag, day)).alias("other_day"),
+    )
+    yes, no = F.min("member_day"), F.min("other_day")
+    return orders.groupBy("restaurant_id", "customer_id").agg(
+        F.datediff(snapshot, F.max("max_date")).alias("recency"),
+        F.sum("lines").alias("frequency"),
+        F.sum("revenue").cast(REVENUE).alias("monetary"),
+        _earlier_flag(yes, no).alias("is_loyalty"),
+        F.count("order_id").alias("orders"),
+    )
+
+
 def segment_customers(
     scores: DataFrame, thresholds: tags.SegmentThresholds = tags.SegmentThresholds()
 ) -> DataFrame:
@@ -202,6 +232,11 @@ def _average_gap(first: Column, last: Column, dated_rows: Column) -> Column:
     return ratio(F.datediff(last, first), dated_rows - 1)
 
 
+def average_gap_between(first: str, last: str, dated_rows: str) -> Column:
+    """Average gap of so many dated rows from the first date to the last."""
+    return _average_gap(F.col(first), F.col(last), F.col(dated_rows))
+
+
 def customer_activity_profile(
     items: DataFrame,
     risk_days: int = tags.RISK_DAYS,
@@ -228,7 +263,13 @@ def customer_activity_profile(
         ratio(F.sum("change"), F.sum("changes")).alias("avg_pct_change"),
     )
     days_since = F.datediff(snapshot, F.col("last_order_date"))
-    return profile.withColumn("days_since_last_order", days_since).transform(_tag_activity, risk_days)
+    return profile.withColumn("days_since_last_order", days_since).transform(tag_activity, risk_days)
+
+
+def day_states(items: DataFrame) -> DataFrame:
+    """Per customer and day: summed changes, first and last revenue, dated rows."""
+    lines = _customer_lines(items, "customer_id", REVENUE_COL)
+    return _within_days(lines, ["restaurant_id", "customer_id"], "date", REVENUE_COL)
 
 
 def _within_days(lines: DataFrame, keys: list[str], date_col: str, revenue_col: str) -> DataFrame:
@@ -263,7 +304,7 @@ def _day_to_day(days: DataFrame, keys: list[str], date_col: str) -> DataFrame:
     return stepped.withColumns({"change": change, "changes": changes})
 
 
-def _tag_activity(profile: DataFrame, risk_days: int) -> DataFrame:
+def tag_activity(profile: DataFrame, risk_days: int) -> DataFrame:
     recency = tags.over_limit(
         F.col("days_since_last_order"), risk_days, tags.INACTIVE, tags.ACTIVE
     )
@@ -292,6 +333,28 @@ def loyalty_impact(items: DataFrame) -> DataFrame:
     )
 
 
+def loyalty_with_orders(items: DataFrame) -> DataFrame:
+    """:func:`loyalty_impact` plus ``orders``, distinct per customer and loyalty flag.
+
+    An order with lines under both flags counts once under each of them.
+    """
+    orders = (
+        _customer_lines(items, "customer_id", REVENUE_COL)
+        .groupBy("restaurant_id", "is_loyalty", "customer_id", "order_id")
+        .agg(
+            F.sum(REVENUE_COL).alias("revenue"),
+            F.count(REVENUE_COL).alias("priced_lines"),
+            F.count(F.lit(1)).alias("lines"),
+        )
+    )
+    return orders.groupBy("restaurant_id", "is_loyalty", "customer_id").agg(
+        ratio(F.sum("revenue"), F.sum("priced_lines")).alias("average_spend"),
+        F.sum("lines").alias("repeat_orders"),
+        F.sum("revenue").cast(REVENUE).alias("lifetime_value"),
+        F.count("order_id").alias("orders"),
+    )
+
+
 def loyalty_from_days(days: DataFrame) -> DataFrame:
     """:func:`loyalty_impact` from the rows of :func:`customer_days`."""
     return days.groupBy("restaurant_id", "is_loyalty", "customer_id").agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +72,85 @@ def require_columns(df: DataFrame, needed: Iterable[str]) -> DataFrame:
     return df
 
 
+def join_on(
+    left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner", nulls_match: bool = True
+) -> DataFrame:
+    """Rows of both tables with equal keys; the keys once, then the other columns of each.
+
+    Null keys match null keys, as in a data-frame merge, unless ``nulls_match`` is off. Either
+    way the keys are equalities to the planner, which joins by hash or by sorted shuffle.
+    """
+    keys = list(keys)
+    if not nulls_match:
+        return left.join(right, keys, how)
+    other = {key: f"_right_{key}" for key in keys}
+    renamed = right.withColumnsRenamed(other)
+    condition = reduce(and_, (F.col(key).eqNullSafe(F.col(other[key])) for key in keys))
+    return left.join(renamed, condition, how).drop(*other.values())
+
+
+#: Types that widen into one another, narrowest first.
+_WIDER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _common_type(name: str, kinds: list[T.DataType]) -> T.DataType:
+    """The one type that holds the values of all: ValueError where there is none."""
+    known = [kind for kind in kinds if not isinstance(kind, T.NullType)]
+    if not known:
+        return T.NullType()
+    if all(kind == known[0] for kind in known):
+        return known[0]
+    if all(isinstance(kind, _WIDER) for kind in known):
+        return max(known, key=lambda kind: _WIDER.index(type(kind)))
+    if all(isinstance(kind, (*_WIDER, T.DecimalType)) for kind in known):
+        exact = [
+            (k.precision - k.scale, k.scale) if isinstance(k, T.DecimalType) else (_DIGITS[type(k)], 0)
+            for k in known
+        ]
+        whole, scale = (max(part) for part in zip(*exact))
+        if whole + scale <= 38:
+            return T.DecimalType(whole + scale, scale)
+    elif all(isinstance(kind, (T.FloatType, T.DoubleType, *_WIDER[:3])) for kind in known):
+        return T.DoubleType()
+    elif all(isinstance(kind, (T.DateType, T.TimestampNTZType)) for kind in known):
+        return T.TimestampNTZType()
+    names = ", ".join(dict.fromkeys(kind.simpleString() for kind in known))
+    raise ValueError(f"column {name} has types that do not go together: {names}")
+
+
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def concatenate(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables, with every column that any of them has.
+
+    Columns meet by name, whatever its case, in the order of their first table. A column
+    that a table lacks is null in its rows; types are widened without loss (whole numbers,
+    decimals, dates to timestamps), and types that do not go together are refused.
+    """
+    if not tables:
+        raise ValueError("nothing to concatenate")
+    kinds: dict[str, list[T.DataType]] = {}
+    names: dict[str, str] = {}
+    for table in tables:
+        _refuse_repeats(table.columns)
+        for field in table.schema:
+            names.setdefault(field.name.lower(), field.name)
+            kinds.setdefault(field.name.lower(), []).append(field.dataType)
+    wanted = {key: _common_type(names[key], found) for key, found in kinds.items()}
+
+    def shaped(table: DataFrame) -> DataFrame:
+        present = {name.lower(): name for name in table.columns}
+        return table.select(
+            *(
+                (F.col(f"`{present[key]}`") if key in present else F.lit(None)).cast(kind).alias(names[key])
+                for key, kind in wanted.items()
+            )
+        )
+
+    return reduce(DataFrame.union, map(shaped, tables))
+
+
 def keep_equal(df: DataFrame, column: str, value) -> DataFrame:
     """Rows with one value of a column; every row for None or "All"."""
     return df if value is None or value == ALL else df.filter(F.col(column) == F.lit(value))

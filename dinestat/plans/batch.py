@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from dinestat.functions.dates import as_of_date
 from dinestat.operators import customers, sales
+from dinestat.operators.locations import top_locations
+from dinestat.operators.ranking import number_rows
 from dinestat.sources.parquet import (
     DEFAULT_SCHEMES,
+    checkpoint_folder,
     dataset_path,
+    drop_folders,
     load_metrics,
     output_path,
     read_dataset,
+    scratch_tables,
     settle,
     write_dataset,
 )
+from dinestat.sources.schema import DATASETS
 
 
 def build_metrics(
@@ -30,9 +39,9 @@ def build_metrics(
 ) -> dict[str, DataFrame]:
     """Write every metric of canonical ``items`` below ``base`` and return them as read.
 
-    The items are scanned five times for twelve datasets: for the customer days (then
+    The items are scanned six times for twelve datasets: for the customer days (then
     revenue, CLV, RFM and loyalty), the activity profile, the hourly sales (then daily,
-    weekly and monthly), the locations and the discounts. What several datasets build
+    weekly and monthly), the locations (money and days, then orders) and the discounts. What several datasets build
     on is written first and read back with only the columns each of them needs.
 
     Up to ``at_once`` datasets are written at the same time, so that executors left
@@ -66,10 +75,11 @@ def build_metrics(
     def profile(snapshot: Column) -> None:
         write("profile", customers.customer_activity_profile(items, as_of=snapshot))
 
-    with ThreadPoolExecutor(at_once) as pool:
+    # All datasets are written when the block ends, so what they were made from can go.
+    with scratch_tables(spark), ThreadPoolExecutor(at_once) as pool:
         started = [
             pool.submit(trends),
-            pool.submit(lambda: write("locations", sales.top_locations(items))),
+            pool.submit(lambda: write("locations", top_locations(items))),
             pool.submit(lambda: write("discounts", sales.discount_effectiveness(items))),
         ]
         days = settle(customers.customer_days(items))
@@ -83,3 +93,43 @@ def build_metrics(
         for step in started:
             step.result()
     return load_metrics(spark, base)
+
+
+def rebuild_restaurants(
+    items: DataFrame,
+    base: str,
+    restaurants: Sequence[str],
+    as_of: dt.date | str | Column,
+    schemes: tuple[str, ...] | None = DEFAULT_SCHEMES,
+    exact_clv: bool = False,
+) -> dict[str, DataFrame]:
+    """Every metric below ``base`` anew for some restaurants, all others left as they are.
+
+    ``items`` hold all rows of those restaurants, and may hold others, which are not used.
+    Pass the ``as_of`` of the stored job, so that days since then mean the same in all rows.
+    Datasets with a folder per restaurant have just those folders replaced; flat ones are
+    written again from the rows kept and the new ones, and ranks are given anew over all.
+    A restaurant that is named and has no rows any more vanishes from every dataset; one
+    that is not named never does. Running it again gives the same.
+    """
+    base = output_path(base, schemes)
+    if base is None:
+        raise ValueError("an output path is needed")
+    spark, named = items.sparkSession, list(restaurants)
+    of_named = F.col("restaurant_id").isin(named)
+    scratch = f"{checkpoint_folder(spark)}/rebuilt-{uuid.uuid4().hex}"
+    rebuilt = build_metrics(items.where(of_named), scratch, as_of, None, exact_clv)
+    for key, rows in rebuilt.items():
+        path, folder = dataset_path(base, key), DATASETS[key].partition_by
+        if folder is not None:
+            present = rows.select(folder).distinct()
+            gone = spark.createDataFrame([(r,) for r in named], f"{folder} string").subtract(present)
+            write_dataset(rows, path, key, only_folders=True)
+            drop_folders(spark, path, folder, [row[0] for row in gone.toLocalIterator()])
+            continue
+        kept = read_dataset(spark, path, key).where(~F.coalesce(of_named, F.lit(False)))
+        together = settle(kept.unionByName(rows))
+        if key == "locations":
+            together = number_rows(together.drop("rank"), "total_revenue", "restaurant_id")
+        write_dataset(together, path, key)
+    return load_metrics(spark, base)

@@ -92,10 +92,14 @@ def churn_customers(
     profile: DataFrame,
     inactive_days: int = RISK_DAYS,
     as_of: dt.date | dt.datetime | None = None,
+    nulls_match: bool = True,
+    restaurant: str | None = None,
 ) -> DataFrame:
     """RFM and activity profile of each customer, with an inactivity ``alert``.
 
-    The alert compares with ``as_of``, by default the current time.
+    The alert compares with ``as_of``, by default the current time. Null restaurants and
+    customers match null ones unless ``nulls_match`` is off. A chosen restaurant is
+    selected on both sides, as null-safe keys do not carry it from one to the other.
     """
     rfm, profile = (
         shape.require_columns(shape.normalise_names(df), KEYS) for df in (rfm, profile)
@@ -108,7 +112,9 @@ def churn_customers(
     rfm, profile = (
         df.withColumns({key: F.col(key).cast("string") for key in KEYS}) for df in (rfm, profile)
     )
-    joined = rfm.join(profile.withColumn("last_order_date", last_order), KEYS, "inner")
+    rfm, profile = (shape.keep_equal(df, "restaurant_id", restaurant) for df in (rfm, profile))
+    dated = profile.withColumn("last_order_date", last_order)
+    joined = shape.join_on(rfm, dated, KEYS, nulls_match=nulls_match)
     return joined.withColumn("alert", alert)
 
 
@@ -126,10 +132,10 @@ def churn_view(
     loyalty_only: bool = False,
     inactive_days: int = RISK_DAYS,
     as_of: dt.date | dt.datetime | None = None,
+    nulls_match: bool = True,
 ) -> dict[str, DataFrame]:
     """Churn table, its chart feeds and the segment distribution."""
-    everyone = churn_customers(rfm, profile, inactive_days, as_of)
-    everyone = shape.keep_equal(everyone, "restaurant_id", restaurant)
+    everyone = churn_customers(rfm, profile, inactive_days, as_of, nulls_match, restaurant)
     chosen = shape.keep_any_of(everyone, "segment", segments)
     chosen = shape.keep_any_of(chosen, "activity_tag", activity_tags)
     if loyalty_only:

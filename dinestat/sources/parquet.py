@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import types as T
 
-from dinestat.operators.shape import rearrange_columns
+from dinestat.operators.shape import concatenate, rearrange_columns
 from dinestat.sources.schema import DATASETS, ORDER_ITEMS
 
 #: Storage schemes a job may write to unless the caller names others.
@@ -106,6 +107,32 @@ def read_dataset(
     return _existing(spark.read.schema(wanted), path, f"dataset {key!r}").select(*wanted.names)
 
 
+def read_runs(spark: SparkSession, paths: Sequence[str], key: str) -> DataFrame:
+    """One dataset of several job runs, whose columns and types may differ, as one table.
+
+    Each run is read as it was written, but for folder values, which have the declared
+    types; :func:`concatenate` says how columns meet.
+    """
+    declared = DATASETS[key].schema
+    folder = DATASETS[key].partition_by
+
+    def run(path: str) -> DataFrame:
+        found = _existing(spark.read, path, f"dataset {key!r}").schema
+        kinds = [declared[f.name] if f.name == folder else f for f in found]
+        return spark.read.schema(T.StructType(kinds)).parquet(path)
+
+    return concatenate(*map(run, paths))
+
+
+def drop_folders(spark: SparkSession, path: str, partition_by: str, values: Sequence[str]) -> None:
+    """Remove the folders of some values of a partitioned dataset, where they exist."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    settings = spark._jsc.hadoopConfiguration()
+    for value in values:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_by}={escape(value)}")
+        folder.getFileSystem(settings).delete(folder, True)
+
+
 def load_metrics(spark: SparkSession, base: str, views: bool = False) -> dict[str, DataFrame]:
     """All datasets of a job run by key, lazily; ``views`` also registers temp views."""
     metrics = {key: read_dataset(spark, dataset_path(base, key), key) for key in DATASETS}
@@ -130,6 +157,29 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Tables settled within the scopes that are open, one list a scope.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end of a ``with`` block, every table that was settled inside it.
+
+    Use or write what depends on them before the block ends. Outside of any block, settled
+    tables stay in the checkpoint folder. Blocks nest: a table goes with the innermost one.
+    Threads that a block starts count as inside.
+    """
+    _SCOPES.append(made := [])
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        settings = spark._jsc.hadoopConfiguration()
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(settings).delete(folder, True)
+
+
 def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a table that several later steps need and return it as read back.
 
@@ -138,6 +188,8 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     keeps a folder for each value of a column, so that a selection reads only its own.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -270,6 +270,10 @@ _LOYALTY_SQL = _sql(_IMPACT, f"SELECT {_IMPACT_OUT} FROM impact")
 _WEEKLY_SQL = _sql(_SALES, f"SELECT {_WEEKLY_OUT} FROM weekly")
 _MONTHLY_SQL = _sql(_SALES, f"SELECT {_MONTHLY_OUT} FROM monthly")
 
+_METRICS = _sql(
+    _CLV, _segmented(50, 500, 200, 1000), _PROFILE, _SALES, _IMPACT,
+    _locations("restaurant_id"), _DISCOUNTS, _ROUNDTRIP,
+)
 _SUMMARY = _sql(
     _IMPACT,
     """SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, is_loyalty,
@@ -362,6 +366,29 @@ FROM clv) WHERE position <= 10""",
         f"""SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, customer_id, {_PROFILE_OUT},
        recency_tag, gap_tag, activity_tag FROM profile""",
     ),
+    "profile_appended": _sql(
+        _PROFILE,
+        f"""SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, customer_id, {_PROFILE_OUT},
+       recency_tag, gap_tag, activity_tag FROM profile""",
+    ),
+    "clv_thresholds_by_year": _sql(
+        _REVENUE,
+        """SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, year(date_key) AS year, count(*) AS rows,
+       TRUE AS low_threshold_within_a_hundredth, TRUE AS high_threshold_within_a_hundredth
+FROM day_revenue GROUP BY 1, 2""",
+    ),
+    "rfm_orders": _sql(
+        _RFM,
+        f"""SELECT {_RFM_OUT}, (SELECT count(DISTINCT order_id) FROM known k
+       WHERE k.restaurant_id = scores.restaurant_id AND k.customer_id = scores.customer_id) AS orders
+FROM scores""",
+    ),
+    "loyalty_orders": _sql(
+        """SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, is_loyalty, customer_id,
+       CAST(sum(revenue_per_order) AS DOUBLE) / count(*) AS average_spend, count(customer_id) AS repeat_orders,
+       CAST(sum(revenue_per_order) AS DOUBLE) AS lifetime_value, count(DISTINCT order_id) AS orders
+FROM known GROUP BY 1, 2, 3"""
+    ),
     "avg_gap_closed_form": _sql(
         _PROFILE,
         "SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, customer_id, avg_gap_days FROM gaps",
@@ -424,6 +451,16 @@ LIMIT 10""",
             90, "segment IN ('VIP', 'Churn Risk') AND activity_tag = 'at risk' AND is_loyalty"
         ),
     ),
+    "churn_unknown_restaurants": _sql(
+        _CHURN.replace(
+            "p.restaurant_id AND r.customer_id = p.customer_id",
+            "p.restaurant_id AND r.customer_id IS NOT DISTINCT FROM p.customer_id",
+        ).replace("r.restaurant_id = p", "r.restaurant_id IS NOT DISTINCT FROM p"),
+        f"SELECT {_CHURN_OUT} FROM churn",
+    ).replace(
+        "SELECT n.n_regionkey AS restaurant_id",
+        "SELECT CASE WHEN n.n_regionkey <> 2 THEN n.n_regionkey END AS restaurant_id",
+    ),
     "churn_restaurant": _sql(_CHURN, f"SELECT {_CHURN_OUT} FROM churn WHERE restaurant_id = 1"),
     "segment_distribution": _sql(
         _CHURN,
@@ -488,8 +525,13 @@ FROM items"""
         _DISCOUNTS,
         "SELECT restaurant_id, is_discounted AS discount_flag, total_revenue FROM discounts",
     ),
-    "metric_roundtrip": _sql(
-        _CLV, _segmented(50, 500, 200, 1000), _PROFILE, _SALES, _IMPACT,
-        _locations("restaurant_id"), _DISCOUNTS, _ROUNDTRIP,
+    "metric_roundtrip": _METRICS,
+    "metrics_rebuilt": _METRICS,
+    "sales_of_two_runs": _sql(
+        _SALES,
+        f"""SELECT {_DAILY_OUT} FROM daily""".replace(
+            "CAST(restaurant_id AS BIGINT)", "CAST(restaurant_id AS VARCHAR)"
+        ).replace("revenue, granularity", """revenue,
+       CASE WHEN date >= DATE '1996-01-01' THEN granularity END AS granularity"""),
     ),
 }
