@@ -10,10 +10,12 @@ the home of a value within the threshold, which are those within covering radius
 threshold that matter. Per anchor, those at home are compared with all that came. Every
 link is found, whatever the data.
 
-Copies share a fingerprint, so only distinct fingerprints travel. Anchors where many are
-at home are cut into a grid of cells. What a task finds leaves it as a forest of links,
-so a group of copies never becomes all of its pairs, and components of the links are
-found by rounds of joins.
+Copies share a fingerprint, so only distinct fingerprints travel. Where many are at home
+at one anchor, those that link to its pivot, the one nearest to the majority of their bits,
+are one component already: only pairs with one that does not are compared, in a grid of
+cells. What a task finds leaves it as a forest of links, so a group of copies never becomes
+all of its pairs, and components of the links are found by rounds of joins, in which a
+value of very many rows is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SHINGLE, SEED, BITS = 4, 42, 4
 BLOCKS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
 #: Fingerprints at home at one anchor that are compared in one cell; pairs at once.
 CELL, PAIRS = 2048, 1_000_000
+#: Rows of one key that one task joins, or one in so many of all rows if these are more.
+HUB, SHARE = 512, 100_000
 
 # --- fingerprints ------------------------------------------------------------------
 
@@ -191,31 +195,110 @@ def links(nodes: DataFrame) -> DataFrame:
     # Each row becomes some thirty, so that more tasks make them than the small table fills.
     tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // 1_000_000))
     nodes = nodes.repartition(tasks, "fp")
-    # Anchors with many at home become a grid of cells: those at home by row, all by column.
+    visits = at_anchors(nodes)
     crowded = settle(
         at_anchors(nodes, home_only=True)
         .groupBy("block", "anchor")
-        .count()
-        .where(F.col("count") > CELL)
-        .select("block", "anchor", F.ceil(F.col("count") / CELL).cast("int").alias("cells"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > CELL)
     )
-    rows = at_anchors(nodes).join(crowded, ["block", "anchor"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
-    every = F.sequence(F.lit(0), F.col("cells") - 1)
+    if crowded.isEmpty():
+        return _compared(visits.select(*ANCHOR, F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home"))
+    few = visits.join(crowded, ANCHOR, "left_anti")
+    # What visits crowded anchors: at most the 32 visits of each fingerprint.
+    by_anchor = settle(visits.join(crowded.drop("n"), ANCHOR, "left_semi"))
+    found, dealt = _around_pivots(by_anchor)
+    alone = few.select(*ANCHOR, F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home")
+    return found.unionByName(_compared(alone.unionByName(dealt)))
 
-    def cell(i, j, home):
-        return F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
 
-    as_home = F.transform(every, lambda j: cell(own, j, F.lit(True)))
-    as_visitor = F.transform(every, lambda i: cell(i, own, F.lit(False)))
-    alone = F.array(cell(F.lit(0), F.lit(0), F.col("home")))
-    cells = F.when(F.col("cells").isNull(), alone).otherwise(
-        F.when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
+ANCHOR = ["block", "anchor"]
+
+
+def _around_pivots(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links to the pivots of crowded anchors, and the cells of what else is to compare.
+
+    A pair of which both link to the pivot needs no comparison. The others have one that
+    is free of it: those free and at home meet all that visit, and those held and at home
+    meet the visitors that are free.
+    """
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return settle(rows.withColumn("n", F.col("all")).drop("all"))
+
+    every = F.count(F.lit(1)).alias("all")
+    bits = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    sums = visits.where("home").groupBy(*ANCHOR).agg(F.count(F.lit(1)).alias("homes"), *bits)
+    centre = reduce(
+        lambda a, b: a.bitwiseOR(b),
+        (
+            F.when(2 * F.col(f"b{b}") > F.col("homes"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0))
+            for b in range(64)
+        ),
+    )
+    sizes = visits.groupBy(*ANCHOR).agg(every)
+    centres = counted(sums.select(*ANCHOR, centre.cast("bigint").alias("centre")).join(sizes, ANCHOR))
+
+    def differing(other: str):
+        return F.bit_count(F.col("fp").bitwiseXOR(F.col(other)))
+
+    nearest = F.min(F.struct(differing("centre"), "fp"))
+    pivots = (
+        spread_join(visits, centres, ANCHOR, "fp")
+        .where("home")
+        .groupBy(*ANCHOR)
+        .agg(nearest["fp"].alias("pivot"))
     )
-    dealt = (
-        rows.select("block", "anchor", "fp", F.inline(cells))
-        .repartition("block", "anchor", "i", "j")
-        .sortWithinPartitions("block", "anchor", "i", "j", F.desc("home"))
+    placed = settle(
+        spread_join(visits, counted(pivots.join(sizes, ANCHOR)), ANCHOR, "fp").withColumn(
+            "free", differing("pivot") > BITS
+        )
+    )
+    found = placed.where("NOT free AND fp <> pivot").select(
+        F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")
+    )
+    # Cells of rows: as many as those at home of the kind fill; only anchors with a free one.
+    free_homes, held_homes = F.count_if(F.col("free") & F.col("home")), F.count_if(~F.col("free") & F.col("home"))
+    cells = counted(
+        placed.groupBy(*ANCHOR)
+        .agg(every, F.count_if("free").alias("free_rows"), free_homes.alias("u"), held_homes.alias("h"))
+        .where("free_rows > 0")
+        .select(*ANCHOR, "all", *(F.ceil(F.col(c) / CELL).cast("int").alias(c) for c in "uh"))
+    )
+    rows = spread_join(placed, cells, ANCHOR, "fp")
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("fp"), F.greatest(F.col(n), F.lit(1))).cast("int")
+
+    def span(n: str):
+        some = F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+        return F.when(F.col(n) > 0, some).otherwise(F.array().cast("array<int>"))
+
+    def cell(i, j, home):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), home.alias("home"))
+
+    yes, no = F.lit(True), F.lit(False)
+    column_of = F.pmod(F.xxhash64("fp"), F.greatest(F.col("u") + F.col("h"), F.lit(1))).cast("int")
+    columns = F.sequence(F.lit(0), F.greatest(F.col("u") + F.col("h"), F.lit(1)) - 1)
+    # Free ones at home in row i of the grid, all others in one column of every row.
+    at_home = F.when(F.col("free") & F.col("home"), F.transform(columns, lambda j: cell(own("u"), j, yes)))
+    met = F.transform(span("u"), lambda i: cell(i, column_of, no))
+    # A second grid, of rows below zero: held ones at home, and free visitors.
+    held_home = F.when(~F.col("free") & F.col("home"), F.transform(columns, lambda j: cell(-1 - own("h"), j, yes)))
+    free_visit = F.when(
+        F.col("free") & ~F.col("home"), F.transform(span("h"), lambda i: cell(-1 - i, column_of, no))
+    )
+    none = F.array().cast("array<struct<i:int,j:int,home:boolean>>")
+    all_cells = F.concat(*(F.coalesce(part, none) for part in (at_home, met, held_home, free_visit)))
+    return found, rows.select("block", "anchor", "fp", F.inline(all_cells)).select(
+        *ANCHOR, "i", "j", "fp", "home"
+    )
+
+
+def _compared(cells: DataFrame) -> DataFrame:
+    """Links between those at home and all others of each cell."""
+    dealt = cells.repartition("block", "anchor", "i", "j").sortWithinPartitions(
+        "block", "anchor", "i", "j", F.desc("home")
     )
 
     def run(batches):
@@ -226,7 +309,7 @@ def links(nodes: DataFrame) -> DataFrame:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if carried is not None:
                 new = [np.concatenate(pair) for pair in zip(carried, new, strict=True)]
-            block, anchor, fp, i, j, home = new
+            block, anchor, i, j, fp, home = new
             change = np.zeros(len(fp), bool)
             for key in (block, anchor, i, j):
                 change[1:] |= key[1:] != key[:-1]
@@ -239,6 +322,29 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` joined with the one row that ``found``, a written table, has for their keys.
+
+    ``found.n`` says how many rows have these keys. Those of many are dealt to several
+    tasks by the column ``by``, and what was found for them goes to each. The table of such
+    keys has no more than SHARE / 2 rows, as each has at least 2 / SHARE of all rows.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    most = max(HUB, 2 * total // SHARE)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hubs = found.where(F.col("n") > most).select(*keys, parts.alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hubs), keys, "left").withColumn("part", part).drop("parts")
+    each = found.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(each, [*keys, "part"]).drop("part")
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` with ``m``, the least ``b`` of the same ``a``."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return spread_join(edges, settle(least), ["a"], "b")
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """The least member, ``root``, of each linked ``fp``'s component.
 
@@ -249,14 +355,11 @@ def roots(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).where("a <> b").distinct()
-        large = settle(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = with_least(both).where("b > a")
+        large = large.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b")
+        large = settle(large.distinct())
         hung = F.array(*(F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in "ab"))
-        small = large.join(down, "a").select(F.inline(hung)).where("a <> b").distinct()
+        small = with_least(large).select(F.inline(hung)).where("a <> b").distinct()
         edges = settle(small)
         mark = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
         state = edges.agg(F.count(F.lit(1)), mark).first()
@@ -273,8 +376,10 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     # Linked fingerprints and their roots; all others are components of their own.
     named = hung.unionByName(hung.select(F.col("root").alias("fp"), "root").distinct())
     ids = named.join(nodes, "fp")
-    first = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked_ids = named.join(first, "root")
+    first = ids.groupBy("root").agg(
+        F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")
+    )
+    linked_ids = spread_join(named, settle(first), ["root"], "fp")
     components = nodes.join(linked_ids, "fp", "left").select(
         "fp",
         F.coalesce("root", "fp").alias("root"),

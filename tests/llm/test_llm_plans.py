@@ -25,8 +25,8 @@ TAKEN = {
     ("whitening", 'added.where(F.col("size") == size).orderBy("place").select("s").collect()'): "dimensions",
     ("whitening", 'summed.orderBy("place").collect()'): "rows of a matrix of dimensions",
 }
-#: Tables sent to every task: bounded samples, written first.
-SENT = {("common", "sample"), ("language", "named")}
+#: Tables sent to every task: bounded samples, written first, and keys of many rows.
+SENT = {("common", "sample"), ("language", "named"), ("neardup", "hubs")}
 FORBIDDEN = (
     ".toPandas", ".rdd", "localCheckpoint", "crossJoin", ".persist(", ".cache(", ".coalesce(1)",
     "toLocalIterator", "tempfile",

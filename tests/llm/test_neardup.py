@@ -104,6 +104,53 @@ def test_chains_of_links_are_one_component(spark):
     assert {r["fp"]: r["root"] for r in found} == {**dict.fromkeys(range(1, 41), 0), 101: 100, 102: 100}
 
 
+def test_a_star_larger_than_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB", 16)
+    edges = [(i, 5000) for i in range(3000)] + [(i, i + 1) for i in range(6000, 6100)] + [(5000, 6000)]
+    found = neardup.roots(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r["fp"] for r in found} == {*range(1, 3000), 5000, *range(6000, 6101)}
+    assert {r["root"] for r in found} == {0}
+
+
+def ball(seed, most, size, span=64):
+    """Values within ``most`` bits of one value, itself among them."""
+    rng = random.Random(seed)
+    centre = rng.getrandbits(64)
+    values = {centre}
+    while len(values) < size:
+        masks = rng.sample(range(span), rng.randrange(most + 1))
+        values.add(centre ^ sum(1 << b for b in masks))
+    return list(values)
+
+
+def signed(values):
+    return [(v - (1 << 64) if v >> 63 else v,) for v in values]
+
+
+@pytest.mark.parametrize("most", [2, 4, 7])
+def test_crowded_anchors_lose_no_link(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "CELL", 20)
+    values = ball(most, most, 400) + ball(most + 50, most, 150, 30) + [random.Random(i).getrandbits(64) for i in range(200)]
+    nodes = spark.createDataFrame(signed(values), "fp bigint")
+    found = {r["fp"]: r["root"] for r in neardup.roots(neardup.links(nodes)).collect()}
+    prints = np.array([v for (v,) in signed(values)])
+    near = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64)) <= neardup.BITS
+    a, b = np.nonzero(near & (prints[:, None] != prints[None, :]))
+    wanted = dict(zip(*(x.tolist() for x in neardup.forest(prints[a], prints[b])), strict=True))
+    assert found == wanted
+
+
+def test_a_large_group_costs_rows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 64)
+    made = {}
+    for size in (1000, 4000):
+        visits = neardup.at_anchors(spark.createDataFrame(signed(ball(3, 4, size)), "fp bigint"))
+        found, cells = neardup._around_pivots(neardup.settle(visits))
+        made[size] = (found.count(), cells.count())
+    assert made[4000][0] < 6 * made[1000][0]
+    assert made[1000][1] == made[4000][1] == 0
+
+
 def test_forest_joins_all_that_links_reach():
     a, b = np.array([5, 9, 7, 1, 30]), np.array([9, 7, 1, 2, 20])
     names, roots = neardup.forest(a, b)
