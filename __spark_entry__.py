@@ -102,9 +102,18 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _written(spark, folder) -> DataFrame:
+PRICES = ("option_price", "option_quantity", "item_price", "item_quantity")
+
+
+def _written(spark, folder, *columns: str) -> DataFrame:
     """Order items as a written table, for queries that read them more than once."""
-    return settle(order_items(spark, folder))
+    items = order_items(spark, folder)
+    return settle(items.select(*columns) if columns else items)
+
+
+def _by_location(spark, folder, location: str) -> DataFrame:
+    """The items' columns that location metrics use."""
+    return _written(spark, folder, location, "order_id", "date", *PRICES)
 
 
 @query
@@ -307,18 +316,18 @@ def sales_levels_iso(spark, folder):
 
 @query
 def top_locations(spark, folder):
-    return plain(locations.top_locations(_written(spark, folder)))
+    return plain(locations.top_locations(_by_location(spark, folder, "restaurant_id")))
 
 
 @query
 def top_locations_by_nation(spark, folder):
-    return plain(locations.top_locations(_written(spark, folder), location_col="location_id"))
+    return plain(locations.top_locations(_by_location(spark, folder, "location_id"), "location_id"))
 
 
 @query
 def location_activity_merged(spark, folder):
     """Money and active days of each nation, from states of spans of days that overlap."""
-    items = _written(spark, folder)
+    items = _by_location(spark, folder, "location_id")
     day, line = F.col("date"), F.col("order_id") % 2
     spans = (day < "1996-07-01", (day >= "1996-07-01") & (line == 0), (day >= "1996-07-01") & (line == 1))
     states = [settle(locations.location_states(items.where(s), "location_id")) for s in spans]
@@ -549,13 +558,13 @@ def repeat_orders_bar(spark, folder):
 
 @query
 def location_top10(spark, folder):
-    ranked = locations.top_locations(_written(spark, folder), location_col="location_id")
+    ranked = locations.top_locations(_by_location(spark, folder, "location_id"), "location_id")
     return plain(views.location_view(ranked, location_col="location_id")["top"])
 
 
 @query
 def location_bars(spark, folder):
-    ranked = locations.top_locations(_written(spark, folder))
+    ranked = locations.top_locations(_by_location(spark, folder, "restaurant_id"))
     return plain(views.location_view(ranked)["revenue_bars"])
 
 
