@@ -17,7 +17,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,7 +233,9 @@ def contaminated_spans(
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     spark = docs.sparkSession
 
-    def search(rows: DataFrame, kept: tuple[str, ...], block: DataFrame | None) -> DataFrame:
+    def search(
+        rows: DataFrame, kept: tuple[str, ...], block: DataFrame | None, text: str
+    ) -> DataFrame:
         found = [] if block is None else [(r["item"], r["part"]) for r in block.collect()]
         sent = shared(spark, index_of(found))
 
@@ -250,29 +252,29 @@ def contaminated_spans(
 
             return kernel
 
-        return per_text(rows, kept, text_col, start, fields)
+        return per_text(rows, kept, text, start, fields)
 
     if len(blocks) <= 1:
-        return search(docs, keep, blocks[0] if blocks else None)
-    # Further passes: the text goes along, with what earlier blocks found.
-    names = [f"kept_{i}" for i in range(len(keep))]
+        return search(docs, keep, blocks[0] if blocks else None, text_col)
+    # Further passes: the text goes along, with what earlier blocks found. All columns on
+    # the way have names of their own, whatever the caller's are called.
+    names = [f"own_{i}" for i in range(len(keep))]
     state = docs.select(
         *(column(docs, c).alias(n) for c, n in zip(keep, names, strict=True)),
-        column(docs, text_col).alias(text_col),
+        column(docs, text_col).cast("string").alias("body"),
         F.array().cast(ranges).alias("hits_before"),
         F.array().cast("array<string>").alias("items_before"),
     )
-    carried = (*names, text_col, "hits_before", "items_before")
-    for block in blocks:
-        both = search(state, carried, block).select(
+    carried = (*names, "body", "hits_before", "items_before")
+    for place, block in enumerate(blocks):
+        both = search(state, carried, block, "body").select(
             *names,
-            F.col(text_col),
+            *(["body"] if place < len(blocks) - 1 else []),
             "n_words",
             F.concat("hits_before", "hits").alias("hits_before"),
             F.array_union("items_before", "items").alias("items_before"),
         )
         state = settle(both)
-    united = F.udf(lambda x: merged([tuple(y) for y in x]), ranges)
     return state.select(
         *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)),
         "n_words",
@@ -281,6 +283,20 @@ def contaminated_spans(
     )
 
 
+def united(hits: str) -> Column:
+    """Disjoint ranges that cover those of the array, as :func:`merged` gives them."""
+
+    def taken(out: Column, one: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        meets = F.coalesce(one[0] <= last[1], F.lit(False))
+        longer = F.array(last[0], F.greatest(last[1], one[1]))
+        return F.when(meets, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(
+            F.concat(out, F.array(one))
+        )
+
+    return F.aggregate(F.array_sort(hits), F.array().cast("array<array<bigint>>"), taken)
+
+
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the spans, and a hash of the items' ids."""
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, x: n + x[1] - x[0])

@@ -97,3 +97,31 @@ def test_a_long_item_is_cut_without_losing_windows(spark):
     rows = [(i, " ".join(body.split()[i : i + 10]), "en", "a") for i in range(0, 191, 5)]
     found = dc.contaminated_spans(messy.documents(spark, rows), items, block_words=40)
     assert [r["items"] for r in found.collect()] == [["7"]] * len(rows)
+
+
+@pytest.mark.parametrize("name", ["hits_before", "kept_0", "body", "own_0", "n_words", "items_before"])
+def test_any_name_of_the_text_column_in_any_number_of_blocks(spark, name):
+    rows = [(i, f"{' '.join(f'w{j}' for j in range(i, i + 40))}", "en", "a") for i in range(0, 60, 7)]
+    docs = messy.documents(spark, rows).select("doc_id", "source", "text").withColumnRenamed("text", name)
+    passages = [(k, " ".join(f"w{j}" for j in range(k, k + 14))) for k in (3, 9, 30, 55, 200)]
+    items = messy.benchmark(spark, passages)
+    one, many = (
+        dc.contaminated_spans(docs, items, text_col=name, keep=("doc_id", name), block_words=words).toDF(
+            "doc", "given", "n", "hits", "items"
+        )
+        for words in (250_000, 14)
+    )
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    clean = [dc.decontaminated(docs, items, text_col=name, block_words=words) for words in (250_000, 14)]
+    assert all(df.columns == docs.columns for df in clean)
+    assert sorted(clean[0].collect()) == sorted(clean[1].collect())
+
+
+def test_ranges_unite_in_tables_as_in_tasks(spark):
+    import random
+
+    rng = random.Random(2)
+    lists = [[[a, a + rng.randrange(1, 9)] for a in rng.choices(range(60), k=n)] for n in (0, 1, 2, 5, 20, 40)]
+    df = spark.createDataFrame([(x,) for x in lists], "hits array<array<bigint>>")
+    found = [r[0] for r in df.select(dc.united("hits")).collect()]
+    assert found == [dc.merged(map(tuple, x)) for x in lists]
