@@ -25,6 +25,8 @@ AT_ONCE = 500_000
 UNDETERMINED = "und"
 #: Spread of cosines in the score; share of learned texts that rejection leaves out.
 SPREAD, REJECTED = 0.05, 0.01
+#: Texts that a language may be learned from, however many languages there are.
+FEW = 20
 
 
 def letter_table() -> np.ndarray:
@@ -103,18 +105,23 @@ def fit_centroids(
     per_language: int = 600,
     sample: int = 4000,
 ) -> Centroids | None:
-    """Centroids from about ``per_language`` texts of each language, ``sample`` at most.
+    """Centroids from about ``per_language`` texts of each language, or its share of ``sample``.
 
-    Only rows with a language that are not held out are learned from; None without any.
+    The bound is dealt evenly among the languages, with FEW texts each at the least, so
+    that a rare one keeps all it has. Only rows with a language that are not held out are
+    learned from; None without any.
     """
     own = docs.select(
         column(docs, id_col).alias("id"), column(docs, lang_col).cast("string").alias("lang"),
         column(docs, text_col).alias("text"),
     ).where(F.col("lang").isNotNull() & learnable(F.col("id")))
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = settle(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    languages = max(1, sizes.count())
+    share = max(FEW, min(per_language, sample // languages))
+    most = 2 * share * languages  # chance chooses about half of it
     chance = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_003)) / 1_000_003
-    chosen = own.select("id", "lang").join(sizes, "lang").where(chance < per_language / F.col("n"))
-    named = settle(bounded_sample(chosen.select("id", "lang"), sample, "id", "lang"))
+    chosen = own.select("id", "lang").join(sizes, "lang").where(chance < share / F.col("n"))
+    named = settle(bounded_sample(chosen.select("id", "lang"), most, "id", "lang"))
 
     def start():
         letters = letter_table()
@@ -130,7 +137,7 @@ def fit_centroids(
         per_text(own.join(F.broadcast(named), ["id", "lang"]), ["id", "lang"], "text", start, [field])
         .where("counts is not null")
         .orderBy(F.xxhash64(F.col("id").cast("string")), "id", "lang", "counts")
-        .limit(sample)
+        .limit(most)
         .toArrow()
     )
     if not rows.num_rows:

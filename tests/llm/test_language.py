@@ -68,3 +68,23 @@ def test_messy_rows(spark):
     untold = docs.drop("lang").selectExpr("*", "cast(null AS string) AS lang")
     assert {r["lang_pred"] for r in lg.identify_language(untold).collect()} == {lg.UNDETERMINED}
     assert lg.identify_language(docs.limit(0)).count() == 0
+
+
+def test_a_rare_language_among_a_hundred_is_learned(spark):
+    import random
+
+    rng = random.Random(8)
+    sounds = [a + b for a in "bcdfghklmnprstvz" for b in "aeiouy"]
+
+    def text(lang):
+        own = random.Random(lang).sample(sounds, 9)
+        return " ".join("".join(rng.choices(own, k=3)) for _ in range(60))
+
+    rows = [(100 * n + i, text(n), f"l{n:02}") for n in range(100) for i in range(3 if n == 42 else 45)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = lg.fit_centroids(docs, sample=500)
+    learned = {f"l{n:02}" for n in range(100)}
+    assert set(model.names) == learned
+    extra = spark.createDataFrame([(-i, text(42), None) for i in range(1, 9)], docs.schema)
+    found = lg.identify_language(docs.unionByName(extra)).where("doc_id < 0").collect()
+    assert sum(r["lang_pred"] == "l42" for r in found) >= 7
