@@ -99,7 +99,7 @@ def test_messy_rows_pass_every_stage(spark, tmp_path, monkeypatch):
 
 def test_registered_names():
     names = [n for n in registry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None
 
 
