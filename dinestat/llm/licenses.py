@@ -261,7 +261,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and ``last_word`` they start at (null without any), ``base_labels``, ``labels`` (all,
     sorted, comma-joined), ``score`` and ``expressions`` in reverse Polish form. The score
     is the freedom of the strictest licence named, UNKNOWN where none is. A null or empty
-    text has no words. Repeated rows each get the same result.
+    text has no words. Repeated rows each get the same result. What stands behind an
+    identifier tag is read as an expression even where its first word names no licence
+    ("see LICENSE" gives the label "see").
     """
 
     def start():
