@@ -1,12 +1,13 @@
 """Document quality by hierarchical empirical Bayes over hosts and paths.
 
 A logistic classifier over rule statistics gives each document's own evidence. Sites say
-more: the expected number of good documents of a host is combined with a beta prior
+more: the expected number of good documents of a host is combined with a prior
 around the rate of all documents, that of a path with one around its host's posterior.
-How strongly a site is drawn towards the rate above it comes from the data, as the prior
-weights that explain the spread of well-filled sites, so that sparse sites take the
-rate above them and full ones their own. A document's posterior is its own odds times
-those of its path against all documents.
+How strongly a site is drawn towards the rate above it comes from the data: the prior
+weighs as many documents as make their scatter within a site equal to the spread of
+well-filled sites, so that sparse sites take the rate above them and full ones their own.
+A document's posterior is its own odds times those of its path against all documents,
+both of which leave out the document itself.
 
 Sites are added up per task before anything moves, so a host with a third of all
 documents is a few rows.
@@ -24,6 +25,9 @@ from pyspark.sql import types as T
 from dinestat.llm.common import column, labelled_texts, per_text, settle, shared
 from dinestat.llm.textstats import RATES, counts_of
 
+#: Sums over a site's documents: shares, probabilities by share, their squares by share,
+#: squared shares.
+SUMS = ("n", "good", "squares", "shares")
 #: Least documents of a site whose rate tells of the spread between sites.
 FILLED = 5
 #: Bounds of a prior's weight in documents.
@@ -96,19 +100,70 @@ def fit_classifier(
     return fit_logistic(np.array([r["x"] for r in rows]), good)
 
 
-def prior_weight(sites: DataFrame, rate: Column) -> DataFrame:
-    """One row with ``weight``, the beta prior's, by moments over the filled sites.
+def added_up(sites: DataFrame, *key: str) -> DataFrame:
+    """Sums of ``sites`` by ``key``, and ``sizes``: that of the squared ``n`` below."""
+    return sites.groupBy(*key).agg(
+        *(F.sum(c).alias(c) for c in SUMS), F.sum(F.col("n") ** 2).alias("sizes")
+    )
+
 
-    ``sites`` has ``n`` and ``good`` (sum of probabilities); ``rate`` is the mean that each
-    is drawn to. The spread of rates beyond what n documents scatter by chance is the
-    spread between sites; the prior weighs as many documents as give it.
+def prior_weight(sites: DataFrame) -> DataFrame:
+    """One row with ``weight``, the prior's in documents, by moments over the filled sites.
+
+    ``sites`` has SUMS and, as ``up_`` columns, those of the site above with its ``sizes``.
+    The weight is the variance of documents within a site over that between sites of one
+    parent. Both come without bias: a mean of n documents scatters by the first over n, and
+    a site takes part in the mean that it is compared with, so that the only site below
+    its parent tells nothing of the spread.
     """
-    scatter = rate * (1 - rate) / F.col("n")
-    excess = F.avg((F.col("good") / F.col("n") - rate) ** 2 - scatter)
-    spread = F.avg(rate * (1 - rate))
-    weight = spread / F.when(excess > 0, excess) - 1
+    n, mean = F.col("n"), F.col("good") / F.col("n")
+    up, up_mean = F.col("up_n"), F.col("up_good") / F.col("up_n")
+    within = F.sum(F.col("squares") - F.col("good") * mean) / F.sum(n - F.col("shares") / n)
+    chance = F.col("shares") / n**2 - 2 * F.col("shares") / (n * up) + F.col("up_shares") / up**2
+    sums = sites.where("n >= " + str(FILLED)).agg(
+        within.alias("within"),
+        F.sum((mean - up_mean) ** 2).alias("apart"),
+        F.sum(chance).alias("chance"),
+        F.sum(1 - 2 * n / up + F.col("up_sizes") / up**2).alias("free"),
+    )
+    between = (F.col("apart") - F.col("within") * F.col("chance")) / F.when(F.col("free") > 1e-9, F.col("free"))
+    weight = F.col("within") / F.when(between > 0, between)
     bounded = F.least(F.greatest(F.coalesce(weight, F.lit(HEAVIEST)), F.lit(LIGHTEST)), F.lit(HEAVIEST))
-    return sites.where(F.col("n") >= FILLED).agg(bounded.alias("weight"))
+    return sums.select(bounded.alias("weight"))
+
+
+@dataclass
+class Priors:
+    """The rate of all documents, and the prior weights of hosts and of paths."""
+
+    rate: float
+    host: float
+    path: float
+
+    def posterior(self, mine: Column | None = None, weight: Column | None = None) -> tuple[Column, Column]:
+        """Of host and path, from their sums; without a document's own part if it is given."""
+        part = F.lit(0.0) if weight is None else weight
+        good = F.lit(0.0) if mine is None else mine * weight
+        of_host = (F.col("host_good") - good + self.host * self.rate) / (F.col("host_n") - part + self.host)
+        return of_host, (F.col("good") - good + self.path * of_host) / (F.col("n") - part + self.path)
+
+
+def site_sums(paths: DataFrame) -> tuple[DataFrame, Priors]:
+    """Sums of each path and its host, and the priors, from ``host``, ``path`` and SUMS."""
+
+    def above(totals: DataFrame) -> DataFrame:
+        return totals.toDF(*(c if c == "host" else f"up_{c}" for c in totals.columns))
+
+    hosts = settle(added_up(paths, "host"))
+    whole = settle(added_up(hosts))
+    total = whole.first()
+    rate = total["good"] / total["n"] if total["n"] else 0.5
+    everything = {f"up_{c}": F.lit(total[c]).cast("double") for c in (*SUMS, "sizes")}
+    of_hosts = prior_weight(hosts.select(*SUMS).withColumns(everything)).first()["weight"]
+    under = settle(paths.join(above(hosts), "host"))
+    priors = Priors(rate, of_hosts, prior_weight(under).first()["weight"])
+    named = {"up_n": "host_n", "up_good": "host_good"}
+    return under.select("host", "path", "n", "good", *named).withColumnsRenamed(named), priors
 
 
 def bounded_log_odds(p: Column) -> Column:
@@ -134,7 +189,8 @@ def site_quality(
     is null or not given they share one host without name. A document of several sites
     counts at each of them in equal shares. Columns: the id, ``host``, ``path`` (the least
     site of several), ``doc_score`` (the classifier's), ``host_score``, ``path_score``
-    (posteriors, means over all sites), ``score`` (from the mean log-odds of all) and ``good`` (score from ``good_from`` on). A null or empty text is judged by
+    (posteriors, means over all sites), ``score`` (from the mean log-odds of its sites as
+    their other documents give them) and ``good`` (score from ``good_from`` on). A null or empty text is judged by
     its statistics, which are zero. Repeated rows each get the same result. Without both
     labels the classifier gives one half to all.
     """
@@ -167,36 +223,28 @@ def site_quality(
         )
     )
     # A document counts at all its sites, in equal shares that add up to one.
-    shares = rows.where("sites > 1").groupBy("id").agg(
-        (F.count(F.lit(1)) / F.first("sites")).alias("n"), (F.sum("doc_score") / F.first("sites")).alias("good")
-    )
-    several = places.join(shares, F.col("id") == F.col("doc_id")).select("host", "path", "n", "good")
-    one = rows.where("sites is null or sites = 1").select(
-        "host", "path", F.lit(1.0).alias("n"), F.col("doc_score").alias("good")
-    )
-    n, good = F.sum("n").alias("n"), F.sum("good").alias("good")
-    paths = settle(one.unionByName(several).groupBy("host", "path").agg(n, good))
-    hosts = settle(paths.groupBy("host").agg(n, good))
-    rate = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first()["rate"]
-    rate = 0.5 if rate is None else rate
-    overall = F.lit(rate)
-    host_weight = F.lit(prior_weight(hosts, overall).first()["weight"])
-    drawn = lambda weight, prior: (F.col("good") + weight * prior) / (F.col("n") + weight)
-    hosts = settle(hosts.select("host", drawn(host_weight, overall).alias("host_score")))
-    under = settle(paths.join(hosts, "host"))
-    path_weight = F.lit(prior_weight(under, F.col("host_score")).first()["weight"])
-    path_score = drawn(path_weight, F.col("host_score")).alias("path_score")
-    posts = settle(under.select("host", "path", "host_score", path_score))
-    odds_here = bounded_log_odds(F.col("path_score")) - bounded_log_odds(overall)
-    posts = posts.withColumn("site_odds", odds_here)
-    means = [F.avg(c).alias(c) for c in ("host_score", "path_score", "site_odds")]
-    many = per_doc.where("sites > 1").select(F.col("doc_id").alias("id"))
-    pooled = places.withColumnRenamed("doc_id", "id").join(many, "id", "left_semi")
-    pooled = pooled.join(posts, ["host", "path"]).groupBy("id").agg(*means)
-    judged = rows.where("sites is null or sites = 1").join(posts, ["host", "path"]).unionByName(
-        rows.where("sites > 1").join(pooled, "id")
+    several = settle(rows.where("sites > 1").join(places.withColumnRenamed("doc_id", "id"), "id").select(
+        "id", "doc_score", (1 / F.col("sites")).alias("part"), places["host"], places["path"]
+    ))
+    one = rows.where("sites is null or sites = 1").withColumn("part", F.lit(1.0))
+    part, p = F.col("part"), F.col("doc_score")
+    weighted = zip(SUMS, (part, part * p, part * p * p, part * part), strict=True)
+    sums = [F.sum(c).alias(name) for name, c in weighted]
+    names = ["host", "path", "part", "doc_score"]
+    paths = settle(one.select(names).unionByName(several.select(names)).groupBy("host", "path").agg(*sums))
+    posts, priors = site_sums(paths)
+    posts = settle(posts)
+    host_score, path_score = priors.posterior()
+    without_it = priors.posterior(p, part)[1]
+    site_odds = bounded_log_odds(without_it) - bounded_log_odds(F.lit(priors.rate))
+    found = {"host_score": host_score, "path_score": path_score, "site_odds": site_odds}
+    means = [F.avg(c).alias(c) for c in found]
+    pooled = several.join(posts, ["host", "path"]).withColumns(found).groupBy("id", "doc_score").agg(*means)
+    columns = ["id", "host", "path", "doc_score", *found]
+    judged = one.join(posts, ["host", "path"]).withColumns(found).select(columns).unionByName(
+        rows.where("sites > 1").join(pooled, ["id", "doc_score"]).select(columns)
     )
-    odds = bounded_log_odds(F.col("doc_score")) + SITE_SHARE * F.col("site_odds")
+    odds = bounded_log_odds(p) + SITE_SHARE * F.col("site_odds")
     final = 1 / (1 + F.exp(-odds))
     return judged.select(
         F.col("id").alias(id_col), "host", "path", "doc_score", "host_score", "path_score",
