@@ -148,26 +148,6 @@ def bounded_sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
     return rows.orderBy(order, *(column(rows, k) for k in key)).limit(n)
 
 
-def most_frequent(counts: DataFrame, n: int) -> DataFrame:
-    """About the ``n`` rows of ``key`` and ``n`` that have the largest counts, never more.
-
-    Counts fall into sixteen classes an octave. Whole classes are taken from the top, and
-    of the class that does not fit as many rows by hash as there is room for.
-    """
-    level = F.floor(F.log2("n") * 16).cast("int")
-    classes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size"))
-    room, least, share = n, None, 0.0
-    for place, size in sorted(map(tuple, classes.collect()), reverse=True):
-        if size > room:
-            least, share = place, 0.9 * room / size
-            break
-        room -= size
-    if least is None:
-        return counts
-    low = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)
-    return counts.where((level > least) | (level == least) & low).limit(n)
-
-
 def learnable(doc_id: Column) -> Column:
     """Rows a model may learn from; the others, a quarter, are held out."""
     return ~held_out(doc_id)
@@ -195,7 +175,6 @@ __all__ = [
     "labelled_texts",
     "learnable",
     "mixed",
-    "most_frequent",
     "per_text",
     "settle",
     "shared",

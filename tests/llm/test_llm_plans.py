@@ -11,7 +11,6 @@ FOLDER = Path(dinestat.llm.__file__).parent
 
 #: Every result that a driver takes up: (module, call, what bounds it).
 TAKEN = {
-    ("common", "classes.collect()"): "classes of counts, sixteen an octave",
     ("decontaminate", "block.collect()"): "a block of benchmark items, by words",
     ("katz", "added.collect()"): "two rows of totals",
     ("language", ".toArrow()"): "the bounded sample of texts",
@@ -20,8 +19,6 @@ TAKEN = {
     ("sitequality", ".collect()"): "the bounded sample of labelled rows",
     ("toxicity", ".collect()"): "the lexicon of the bounded sample",
     ("toxicity", "ordered.collect()"): "the bounded sample's calibration rows",
-    ("urls", "most_frequent(settle(word_counts(pages, html_col, url_col)), lexicon).collect()"): "the lexicon",
-    ("urls", 'token_counts(pages, url_col, segmenter, rules).orderBy("token", "verdict").collect()'): "its tokens",
     ("whitening", 'added.where(F.col("size") == size).orderBy("place").select("s").collect()'): "dimensions",
     ("whitening", 'summed.orderBy("place").collect()'): "rows of a matrix of dimensions",
 }

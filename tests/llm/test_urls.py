@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -58,15 +60,6 @@ def test_splits_are_the_likeliest_of_all():
     assert own.split("freebets") == ("free", "bets") and own.split("") == ()
 
 
-def test_bayes():
-    model = urls.Bayes([("", "block", 3), ("", "allow", 5), ("x", "block", 4), ("y", "allow", 6), ("x", "allow", 1)])
-    words, block, allow = 2, 4 + 3, 7 + 3
-    assert words == len(model.odds)
-    expected = math.log(4 / 6) + math.log((5 / block) / (2 / allow)) + math.log((1 / block) / (7 / allow))
-    chance = model.block_probability(["x", "y", "never seen"])
-    assert math.log(chance / (1 - chance)) == pytest.approx(expected)
-
-
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, verdict string")
 
@@ -96,6 +89,67 @@ def test_a_host_that_its_pages_name_is_still_split(spark):
     assert found[30]["words"].startswith("farm free ")
 
 
+def plainly(rows, counts, rules=urls.RULES):
+    """Words and chance to be blocked of each url, by one lexicon and plain loops."""
+    own = urls.Segmenter(counts)
+    examples, tokens = [], {}
+    for url in rows:
+        host, path = urls.parts_of(url)
+        *front, last = host.split(".")
+        words = [w for run in re.findall("[a-z]+", host) for w in own.split(run)]
+        bag = [f"end:{last if last in counts or re.fullmatch('[a-z]{2,3}', last) else '?'}"] if host else []
+        for side, text in (("host", ".".join(front)), ("path", path.lower())):
+            for run in re.findall("[a-z]+|[0-9]+", text):
+                bag += [f"{side}:#"] if run.isdigit() else [f"{side}:{w if w in counts else '?'}" for w in own.split(run)]
+        tokens[url] = words, bag
+        rule = urls.fitting_rule(host, path, rules)
+        if urls.WARNINGS & {*words, *re.findall("[a-z]+", host)}:
+            examples.append((1, bag))
+        elif rules.get(rule) != "block":
+            examples.append((0, bag))
+    held = [Counter(t for side, bag in examples if side == s for t in bag) for s in (0, 1)]
+    known = set(held[0]) | set(held[1])
+    urls_of = [sum(side == s for side, _ in examples) for s in (0, 1)]
+    out = {}
+    for url, (words, bag) in tokens.items():
+        odds = math.log((urls_of[1] + 1) / (urls_of[0] + 1))
+        for t in bag:
+            if t in known:
+                odds += math.log((held[1][t] + 1) / (sum(held[1].values()) + len(known) + 1))
+                odds -= math.log((held[0][t] + 1) / (sum(held[0].values()) + len(known) + 1))
+        out[url] = " ".join(words), 1 / (1 + math.exp(-max(-50, min(50, odds))))
+    return out
+
+
+def test_verdicts_are_those_of_a_plain_model(spark):
+    text = "free bets casino win cheap pills garden flowers books read tea music market street " * 4
+    names = ["cheappills.net", "free-bets.org", "gardenbooks.net:80", "www.teamusic.net", "u@marketstreet.info", "123.45.org", "zzqqx.books", "adultx.example.net", "x.com", "É.fr"]
+    paths = ["", "/", "/en/12.html", "/es/3", "/casinowin/Read?x=1", "/fr/gardenflowers-9#top", "/" + "tea" * 40]
+    rows = [(i, f"http://{h}{p}", text, "x", "x") for i, (h, p) in enumerate((h, p) for h in names for p in paths)]
+    rows += [(900, None, text, "x", "x"), (901, "no scheme", text, "x", "x"), (901, "no scheme", text, "x", "x")]
+    given = pages(spark, rows)
+    words, total = urls.lexicon_of(given, "html", "url", urls.WARNINGS)
+    counts = {r["key"]: r["n"] for r in words.collect()}
+    assert total == sum(counts.values()) and counts["escort"] == 1
+    plain = plainly([u or "" for _, u, *_ in rows], counts)
+    found = urls.url_filter(given).collect()
+    assert len(found) == len(rows)
+    of_id = {i: u or "" for i, u, *_ in rows}
+    for r in found:
+        words, chance = plain[of_id[r["page_id"]]]
+        assert r["words"] == words and r["block_probability"] == pytest.approx(chance, abs=1e-9)
+        assert r["verdict"] == (urls.RULES[r["rule"]] if r["rule"] else "block" if chance > 0.5 else "allow")
+    assert {r["verdict"] for r in found if r["rule"] is None} == {"allow", "block"}
+
+
+def test_long_and_rare_words_split_names(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    text = f"garden {long} " * 30 + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" * 2 for i in range(600))
+    rows = [(1, f"http://{long}garden.net/x", text, "x", "x"), (2, "http://gardenwaabwab.net/", text, "x", "x")]
+    found = {r["page_id"]: r["words"] for r in urls.url_filter(pages(spark, rows)).collect()}
+    assert found[1] == f"{long} garden net"
+
+
 def test_messy_rows(spark):
     rows = [(1, None, None, "x", "x"), (None, "http://a.com/x", "<p", "x", "x"), (1, None, None, "x", "x"), (2, "http://" + "ab" * 5000 + ".com/", "w " * 100_000, "x", "x"), (3, "", "", "x", "x")]
     found = urls.url_filter(pages(spark, rows)).collect()
