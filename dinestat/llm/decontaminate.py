@@ -6,15 +6,19 @@ with the sizes here every shared window of WINDOW words is found. Fingerprints o
 documents are joined with those of the items, and each hit is extended to the whole
 windows around it, word by word, so that no hash collision counts.
 
-Items are a stated query set. They are indexed in blocks of at most ``block_words``
-words, each small enough to send to every task; further blocks are further passes over
-the documents, with what was found so far carried along in the rows.
+Items are a stated query set. Up to ``block_words`` words of them are an index that goes to
+every task, and no text moves. More are tables: tasks hold a filter of fixed size over all
+fingerprints, documents give the windows around those that pass, and a join with the items'
+windows keeps the true ones. That is two passes over the documents however many items
+there are.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,6 +34,8 @@ W = WINDOW - K + 1
 LONG_WORD = 48
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bits of the filter, as a power of two (8 MB), and of each of the bitmaps it is made of.
+FILTER, BITMAP = 26, 15
 
 
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -117,41 +123,66 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
+@dataclass
+class Words:
+    """Words of several texts, each by its place among all of them."""
+
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray  # text of each word
+    bounds: np.ndarray  # first word of each text, then the end
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        coded = [text.encode() for text in texts]
+        data = b" ".join(coded).translate(WORD_BYTES)
+        starts, ends = spans_of_words(data)
+        firsts = np.cumsum([0] + [len(c) + 1 for c in coded])
+        owner = np.searchsorted(firsts, starts, side="right") - 1
+        return cls(data, starts, ends, owner, np.searchsorted(owner, np.arange(len(texts) + 1)))
+
+    def window(self, first: int, n: int) -> bytes:
+        return b" ".join(self.data[self.starts[j] : self.ends[j]] for j in range(first, first + n))
+
+    def suspects(
+        self,
+        is_print: Callable[[np.ndarray], np.ndarray],
+        is_short: dict[int, Callable[[np.ndarray], np.ndarray]],
+    ) -> list[tuple[int, int]]:
+        """Places and lengths of all windows that may be an item's, by their fingerprints."""
+        hashes = word_hashes(self.data, self.starts, self.ends)
+        grams = gram_hashes(hashes, self.owner, K)
+        kept = winnowed(grams)
+        out = []
+        # Extend: the windows that hold a hit start at most W - 1 words before it.
+        tried = -1
+        for hit in kept[is_print(grams[kept])].tolist():
+            text = self.owner[hit]
+            low = max(hit - W + 1, int(self.bounds[text]), tried + 1)
+            for first in range(low, min(hit, int(self.bounds[text + 1]) - WINDOW) + 1):
+                out.append((first, WINDOW))
+                tried = first
+        for n, test in is_short.items():
+            short = gram_hashes(hashes, self.owner, n)
+            out += [(first, n) for first in np.flatnonzero(test(short) & (short != NONE)).tolist()]
+        return out
+
+
 def find_windows(texts: list[str], index: Index) -> list[tuple[int, dict[int, int], set]]:
     """Of each text: its words, window starts with their lengths, and items that occur."""
-    coded = [text.encode() for text in texts]
-    data = b" ".join(coded).translate(WORD_BYTES)
-    starts, ends = spans_of_words(data)
-    firsts = np.cumsum([0] + [len(c) + 1 for c in coded])
-    owner = np.searchsorted(firsts, starts, side="right") - 1
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    hashes = word_hashes(data, starts, ends)
-    grams = gram_hashes(hashes, owner, K)
-    kept = winnowed(grams)
-    hits = kept[among(grams[kept], index.prints)]
+    words = Words.of(texts)
+    bounds = words.bounds
     found = [(int(bounds[i + 1] - bounds[i]), {}, set()) for i in range(len(texts))]
-
-    def take(first: int, n: int) -> None:
-        """Counts the n words from ``first`` on if they are a window of an item."""
-        text = owner[first]
+    tests = {n: lambda grams, whole=whole: among(grams, whole) for n, whole in index.short.items()}
+    for first, n in words.suspects(lambda grams: among(grams, index.prints), tests):
+        text = words.owner[first]
         _, places, items = found[text]
-        words = b" ".join(data[starts[j] : ends[j]] for j in range(first, first + n))
-        if words in index.windows:
+        window = words.window(first, n)
+        if window in index.windows:
             own = int(first - bounds[text])
             places[own] = max(n, places.get(own, 0))
-            items.update(index.windows[words])
-
-    # Extend: the windows that hold a hit start at most W - 1 words before it.
-    tried = -1
-    for hit in hits.tolist():
-        text = owner[hit]
-        low = max(hit - W + 1, int(bounds[text]), tried + 1)
-        for first in range(low, min(hit, int(bounds[text + 1]) - WINDOW) + 1):
-            take(first, WINDOW)
-            tried = first
-    for n, whole in index.short.items():
-        for first in np.flatnonzero(among(gram_hashes(hashes, owner, n), whole)).tolist():
-            take(first, n)
+            items.update(index.windows[window])
     return found
 
 
@@ -166,10 +197,10 @@ def merged(places) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """Items in blocks of about ``block_words`` words, each fetched when its turn comes.
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> DataFrame:
+    """Words of the items, blank-joined, with the items' ids; items without words give none.
 
-    An item longer than a block is cut into parts that overlap by WINDOW - 1 words.
+    A long item is cut into parts that overlap by WINDOW - 1 words.
     """
     part_words = max(WINDOW, block_words // 4)
 
@@ -191,18 +222,135 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
         return kernel
 
     field = T.StructField("parts", T.ArrayType(T.StringType()))
-    parts = settle(
+    return settle(
         per_text(benchmark, [item_col], text_col, start, [field]).select(
             F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
             F.explode("parts").alias("part"),
         )
     )
-    words = parts.agg(F.sum(F.size(F.split("part", " ")))).first()[0] or 0
-    count = -(-words // block_words)
-    if count <= 1:
-        return [parts] if count else []
-    mine = F.pmod(F.xxhash64("item", "part"), F.lit(count))
-    return [parts.where(mine == i) for i in range(count)]
+
+
+def named(data: bytes) -> bytes:
+    """A window or a text by 128 bits of a cryptographic hash."""
+    return blake2b(data, digest_size=16).digest()
+
+
+def passing(bits: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether the filter has the leading bits of each fingerprint."""
+
+    def test(grams: np.ndarray) -> np.ndarray:
+        place = grams >> np.uint64(64 - FILTER)
+        return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    return test
+
+
+def _item_tables(parts: DataFrame) -> tuple[np.ndarray, list[int], DataFrame]:
+    """Of the items: the filter, lengths of short ones, and their windows with the ids."""
+
+    def start():
+        def kernel(texts):
+            grams, windows, lengths = [], [], []
+            for text in texts:
+                words = Words.of([text])
+                total = len(words.starts)
+                n = min(WINDOW, total)
+                hashes = word_hashes(words.data, words.starts, words.ends)
+                own = gram_hashes(hashes, words.owner, K if n == WINDOW else n)
+                own = own[winnowed(own)] if n == WINDOW else own[:1]
+                grams.append(np.unique(own).view(np.int64))
+                windows.append(list({named(words.window(i, n)) for i in range(total - n + 1)}))
+                lengths.append(n)
+            return [grams, windows, lengths]
+
+        return kernel
+
+    fields = [
+        T.StructField("grams", T.ArrayType(T.LongType())),
+        T.StructField("windows", T.ArrayType(T.BinaryType())),
+        T.StructField("n", T.IntegerType()),
+    ]
+    coded = settle(per_text(parts, ["item"], "part", start, fields))
+    place = F.shiftrightunsigned("gram", 64 - FILTER)
+    bitmaps = (
+        coded.select(F.explode("grams").alias("gram"))
+        .groupBy(F.shiftright(place, BITMAP).alias("bitmap"))
+        .agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << BITMAP))).alias("bits"))
+    )
+    bits = np.zeros((1 << (FILTER - BITMAP), 1 << (BITMAP - 3)), np.uint8)
+    for row in bitmaps.collect():
+        bits[row["bitmap"]] = np.frombuffer(row["bits"], np.uint8)
+    lengths = coded.where(F.col("n") < WINDOW).agg(F.sort_array(F.collect_set("n"))).first()[0]
+    windows = coded.select("item", F.explode("windows").alias("window"))
+    listed = windows.groupBy("window").agg(F.collect_set("item").alias("found"))
+    return bits.ravel(), lengths, settle(listed)
+
+
+def _spans_by_join(
+    docs: DataFrame, parts: DataFrame, text_col: str, keep: tuple[str, ...]
+) -> DataFrame:
+    """What :func:`contaminated_spans` gives, for any number of items."""
+    bits, lengths, listed = _item_tables(parts)
+    sent = shared(docs.sparkSession, bits)
+
+    def start():
+        test = passing(sent())
+
+        def kernel(texts):
+            words = Words.of(texts)
+            places: list[list[tuple]] = [[] for _ in texts]
+            for first, n in words.suspects(test, dict.fromkeys(lengths, test)):
+                text = words.owner[first]
+                own = int(first - words.bounds[text])
+                places[text].append((own, own + n, named(words.window(first, n))))
+            return [[named(t.encode()) for t in texts], places]
+
+        return kernel
+
+    spot = T.StructType(
+        [
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+            T.StructField("window", T.BinaryType()),
+        ]
+    )
+    key = T.StructField("body", T.BinaryType())
+    # Copies of a text become one before anything is joined.
+    suspects = (
+        per_text(docs, [], text_col, start, [key, T.StructField("places", T.ArrayType(spot))])
+        .select("body", F.explode("places").alias("place"))
+        .select("body", "place.*")
+        .distinct()
+    )
+    hits = settle(
+        suspects.join(listed, "window")
+        .groupBy("body")
+        .agg(
+            F.collect_list(F.array("start", "end")).alias("hits"),
+            F.array_distinct(F.flatten(F.collect_set("found"))).alias("items"),
+        )
+        .select("body", united("hits").alias("hits"), F.sort_array("items").alias("items"))
+    )
+
+    def count():
+        def kernel(texts):
+            return [np.diff(Words.of(texts).bounds), [named(t.encode()) for t in texts]]
+
+        return kernel
+
+    # All columns on the way have names of their own, whatever the caller's are called.
+    names = [f"own_{i}" for i in range(len(keep))]
+    rows = per_text(docs, keep, text_col, count, [T.StructField("n_words", T.LongType()), key])
+    return (
+        rows.toDF(*names, "n_words", "body")
+        .join(hits, "body", "left")
+        .select(
+            *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)),
+            "n_words",
+            F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        )
+    )
 
 
 def contaminated_spans(
@@ -230,57 +378,26 @@ def contaminated_spans(
         T.StructField("hits", ranges),
         T.StructField("items", T.ArrayType(T.StringType())),
     ]
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    spark = docs.sparkSession
-
-    def search(
-        rows: DataFrame, kept: tuple[str, ...], block: DataFrame | None, text: str
-    ) -> DataFrame:
-        found = [] if block is None else [(r["item"], r["part"]) for r in block.collect()]
-        sent = shared(spark, index_of(found))
-
-        def start():
-            index = sent()
-
-            def kernel(texts):
-                out = find_windows(texts, index)
-                return [
-                    [n for n, _, _ in out],
-                    [merged((s, s + n) for s, n in places.items()) for _, places, _ in out],
-                    [sorted(items) for _, _, items in out],
-                ]
-
-            return kernel
-
-        return per_text(rows, kept, text, start, fields)
-
-    if len(blocks) <= 1:
-        return search(docs, keep, blocks[0] if blocks else None, text_col)
-    # Further passes: the text goes along, with what earlier blocks found. All columns on
-    # the way have names of their own, whatever the caller's are called.
-    names = [f"own_{i}" for i in range(len(keep))]
-    state = docs.select(
-        *(column(docs, c).alias(n) for c, n in zip(keep, names, strict=True)),
-        column(docs, text_col).cast("string").alias("body"),
-        F.array().cast(ranges).alias("hits_before"),
-        F.array().cast("array<string>").alias("items_before"),
-    )
-    carried = (*names, "body", "hits_before", "items_before")
-    for place, block in enumerate(blocks):
-        both = search(state, carried, block, "body").select(
-            *names,
-            *(["body"] if place < len(blocks) - 1 else []),
-            "n_words",
-            F.concat("hits_before", "hits").alias("hits_before"),
-            F.array_union("items_before", "items").alias("items_before"),
-        )
-        state = settle(both)
-    return state.select(
-        *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)),
-        "n_words",
-        united("hits_before").alias("hits"),
-        F.sort_array("items_before").alias("items"),
-    )
+    parts = _parts(benchmark, item_col, item_text_col, block_words)
+    words = parts.agg(F.sum(F.size(F.split("part", " ")))).first()[0] or 0
+    if words > block_words:
+        return _spans_by_join(docs, parts, text_col, keep)
+    sent = shared(docs.sparkSession, index_of([(r["item"], r["part"]) for r in parts.collect()]))
+
+    def start():
+        index = sent()
+
+        def kernel(texts):
+            out = find_windows(texts, index)
+            return [
+                [n for n, _, _ in out],
+                [merged((s, s + n) for s, n in places.items()) for _, places, _ in out],
+                [sorted(items) for _, _, items in out],
+            ]
+
+        return kernel
+
+    return per_text(docs, keep, text_col, start, fields)
 
 
 def united(hits: str) -> Column:

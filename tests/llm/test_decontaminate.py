@@ -125,3 +125,40 @@ def test_ranges_unite_in_tables_as_in_tasks(spark):
     df = spark.createDataFrame([(x,) for x in lists], "hits array<array<bigint>>")
     found = [r[0] for r in df.select(dc.united("hits")).collect()]
     assert found == [dc.merged(map(tuple, x)) for x in lists]
+
+
+def test_passes_over_the_documents_do_not_grow_with_the_benchmark(spark, monkeypatch):
+    passes = []
+    plain = dc.per_text
+    monkeypatch.setattr(dc, "per_text", lambda df, *a: passes.append(df.columns) or plain(df, *a))
+    docs = messy.documents(spark)
+    seen = []
+    for n in (3, 60):
+        passes.clear()
+        passages = [(k, " ".join(f"w{j}" for j in range(k, k + 14))) for k in range(n)]
+        dc.contaminated_spans(docs, messy.benchmark(spark, passages), block_words=14)
+        seen.append(sum(columns == docs.columns for columns in passes))
+    assert seen == [2, 2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_items_as_tables_give_the_rows_of_an_index(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["a", "b", "dé"] if seed == 0 else [f"w{i}" for i in range(30)]
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    items = [(i, text(rng.choice([0, 1, 3, 5, 9, 10, 11, 25]))) for i in range(40)]
+    rows = [(i, f"{text(rng.randrange(30))} {rng.choice(items)[1]} {text(5)}", "en", "a") for i in range(80)]
+    rows += [(200 + i, rows[0][1], "en", "a") for i in range(30)]
+    docs, table = messy.documents(spark, rows), messy.benchmark(spark, items)
+    one, many = (
+        dc.digest(dc.contaminated_spans(docs, table, block_words=words)).collect() for words in (250_000, 20)
+    )
+    assert sorted(one) == sorted(many)
+    named = [(str(i), t) for i, t in items]
+    hit = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in many}
+    for doc, body, *_ in rows:
+        n, covered, own = brute(body, named)
+        assert hit[doc] == (n, covered, len(own))

@@ -11,7 +11,8 @@ FOLDER = Path(dinestat.llm.__file__).parent
 
 #: Every result that a driver takes up: (module, call, what bounds it).
 TAKEN = {
-    ("decontaminate", "block.collect()"): "a block of benchmark items, by words",
+    ("decontaminate", "parts.collect()"): "block_words words of benchmark items",
+    ("decontaminate", "bitmaps.collect()"): "a filter of fixed size",
     ("katz", "added.collect()"): "two rows of totals",
     ("language", ".toArrow()"): "the bounded sample of texts",
     ("pii", 'rows.select("slices").mapInArrow(run, "model binary").collect()'): "one trained model",
