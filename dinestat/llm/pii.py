@@ -3,8 +3,9 @@
 Every whole text is searched by the base patterns. A character BiLSTM with a CRF then
 reads overlapping windows; each window is decoded for itself and the spans of all windows
 of a text are reconciled at once: of those that overlap, the set with most votes stays.
-Only windows that hold a digit, an at sign or a bracketed "at" are read, since a span
-without one is admitted by no kind; all other windows decode to nothing by that rule.
+Only windows that hold a digit, an at sign, a bracketed "at" or a "dot" by itself are read,
+since a span without one is admitted by no kind; all other windows decode to nothing by
+that rule.
 
 The tagger is trained from labelled spans on a bounded sample of the documents: what the
 base patterns find there, and spelt-out or regrouped forms put into that text, among
@@ -111,8 +112,10 @@ def _spelt(rng: np.random.Generator, kind: int) -> str:
         end = either("com", "org", "net", "de", "info")
         at, dot = either(
             ("@", "."), ("@", "."), (" (at) ", "."),
-            ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "),
+            ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "),
         )
+        if at == " at ":
+            name = name.replace(".", dot)
         return name + at + host.replace(".", dot) + dot + end
     if kind == 1:
         parts = [str(x) for x in rng.integers(0, 256, 4)]
@@ -129,6 +132,7 @@ def _spelt(rng: np.random.Generator, kind: int) -> str:
     return either(
         f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"+{rng.integers(1, 99)} {digits(2)} {digits(7)}",
         f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {digits(7)}", f"{a}.{b}.{c}", f"00{rng.integers(1, 99)} {a} {digits(6)}",
+        f"{a} {b} {c}",
     )
 
 
@@ -140,6 +144,7 @@ def _other(rng: np.random.Generator) -> str:
         f"{rng.integers(0, 24)}:{rng.integers(10, 60)}", f"{n[0]}.{n[1][:1]}", f"version {n[0][:1]}.{n[1][:1]}.{n[2][:1]}",
         f"{n[0]},{n[1][:3]}.{n[2][:2]}", f"({n[0][:2]})", f"#{n[0]}", f"{n[0]}{n[1]}", f"page {n[0][:3]}", f"@{n[0]}",
         'token = "' + "".join(rng.choice(list("0123456789abcdef"), 40)) + '"', f"{n[0]}%", f"({n[0]}) {n[1]}/{n[2]}",
+        f"at {n[0][:2]}", "the dot at the end", "a dot",
     )
     return forms[rng.integers(len(forms))]
 
@@ -212,12 +217,14 @@ def fit_tagger(
 
 # --- search ------------------------------------------------------------------------
 
-ANCHOR = re.compile(r"[0-9]+|@|[(\[] ?at ?[)\]]", re.IGNORECASE)
+ANCHOR = re.compile(r"[0-9]+|@|[(\[] ?at ?[)\]]|\bdot\b", re.IGNORECASE)
 DATE = re.compile(
     r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}"
     r"|[0-9]{1,2}[-. ][0-9]{1,2}[-. ](?:19|20)[0-9]{2})(?![0-9])"
 )
 MARK = re.compile(r"@|[(\[] ?at ?[)\]]", re.IGNORECASE)
+#: An address in words only, which needs its dots spelt out as well.
+IN_WORDS = re.compile(r"[\w+-]+(?: dot [\w+-]+)* at [\w-]+(?: dot [\w-]+)+", re.IGNORECASE)
 
 
 def admitted(kind: int, text: str, start: int, end: int) -> bool:
@@ -229,6 +236,8 @@ def admitted(kind: int, text: str, start: int, end: int) -> bool:
     if kind == 0:
         parts = MARK.split(item)
         dotted = re.search(r"\w ?(\.|[(\[]dot[)\]]) ?\w", parts[-1])
+        if len(parts) == 1:
+            return bool(IN_WORDS.fullmatch(item))
         return len(parts) == 2 and bool(parts[0].strip()) and bool(dotted)
     if kind == 1:
         parts = re.split(r" ?\[?\.\]? ?", item)

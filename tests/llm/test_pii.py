@@ -117,6 +117,20 @@ def test_spelt_out_forms_are_added_and_plain_numbers_are_not(tagger):
     assert added[3:] == [[], [], []]
 
 
+def test_addresses_in_words_are_added_and_dots_in_prose_are_not(tagger):
+    fill = "the quick brown fox jumps over a lazy dog "
+    texts = [
+        fill * 3 + "write to jane dot doe at example dot org, please " + fill * 3,
+        fill * 2 + "ask smith at lanewood dot net. " + fill * 2,
+        fill + "there is a dot at the end of it and a dot at example " + fill * 2,
+        fill + "connect the dot with the line, meet at noon. " + fill * 2,
+    ]
+    added = [[(pii.KINDS[k], t[a:b]) for k, a, b in new] for t, (_, new) in zip(texts, pii.find_pii(texts, tagger), strict=True)]
+    assert added[0] == [("email", "jane dot doe at example dot org")]
+    assert added[1] == [("email", "smith at lanewood dot net")]
+    assert added[2:] == [[], []]
+
+
 def test_overlaps_are_settled_by_votes_over_the_whole_text():
     votes = {(3, 0, 10): 1, (3, 0, 6): 2, (2, 6, 12): 2, (0, 30, 40): 1}
     assert pii.reconciled(votes, []) == [(3, 0, 6), (2, 6, 12), (0, 30, 40)]
