@@ -223,6 +223,10 @@ DATE = re.compile(
     r"|[0-9]{1,2}[-. ][0-9]{1,2}[-. ](?:19|20)[0-9]{2})(?![0-9])"
 )
 MARK = re.compile(r"@|[(\[] ?at ?[)\]]", re.IGNORECASE)
+SIGN = re.compile(MARK.pattern + r"|\bdot\b", re.IGNORECASE)
+NUMBER = re.compile(r"[-+0-9 ().]+")
+#: Characters of the longest address, 64 and 255 around the mark, with room for marks in words.
+LONGEST_ADDRESS = 512
 #: An address in words only, which needs its dots spelt out as well.
 IN_WORDS = re.compile(r"[\w+-]+(?: dot [\w+-]+)* at [\w-]+(?: dot [\w-]+)+", re.IGNORECASE)
 
@@ -242,7 +246,7 @@ def admitted(kind: int, text: str, start: int, end: int) -> bool:
     if kind == 1:
         parts = re.split(r" ?\[?\.\]? ?", item)
         return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
-    if not re.fullmatch(r"[-+0-9 ().]+", item):
+    if not NUMBER.fullmatch(item):
         return False
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -287,13 +291,17 @@ def whole_spans(text: str, parts: list[Span], model: Tagger) -> dict[Span, int]:
     """Admitted spans of more than STEP characters by the number of cut parts they hold.
 
     A window that is wide enough is read around all parts of a kind that overlap or meet,
-    and a wider one for as long as its edge cuts the span in turn. Parts with more marks
-    or digits than any span may have are left out.
+    and a wider one for as long as its edge cuts the span in turn. Parts that no admitted
+    span can hold are left out: of an address, those far from any mark.
     """
 
     def possible(kind: int, start: int, end: int) -> bool:
         item = text[start:end]
-        return len(MARK.findall(item)) < 2 if kind == 0 else kind > 1 and len(digits_of(item)) < 20
+        if kind == 0:
+            if end - start > LONGEST_ADDRESS or len(MARK.findall(item)) > 1:
+                return False
+            return bool(SIGN.search(text, max(0, end - LONGEST_ADDRESS), start + LONGEST_ADDRESS))
+        return kind > 1 and len(digits_of(item)) < 20 and bool(NUMBER.fullmatch(item))
 
     regions: list[list] = []  # kind, start, end, parts
     for kind, start, end in sorted(parts):
