@@ -41,36 +41,36 @@ class Forest:
         return 2.0 ** (-total / (len(self.feature) * self.scale))
 
 
+def depth_of(size: int) -> int:
+    """Splits after which a tree on ``size`` points stops."""
+    return max(1, int(np.ceil(np.log2(max(size, 2)))))
+
+
+def grow_tree(points: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """Features, cuts and path lengths of one tree's nodes, on all the points given."""
+    nodes = 2 ** (depth + 1) - 1
+    feature, cut, length = np.full(nodes, -1, np.int64), np.zeros(nodes), np.zeros(nodes)
+    todo = [(0, 0, points)]
+    while todo:
+        node, level, own = todo.pop()
+        low, high = own.min(axis=0), own.max(axis=0)
+        varied = np.flatnonzero(high > low)
+        if level == depth or len(own) < 2 or not len(varied):
+            length[node] = level + float(expected_path(len(own)))
+            continue
+        f = rng.choice(varied)
+        feature[node], cut[node] = f, rng.uniform(low[f], high[f])
+        right = own[:, f] >= cut[node]
+        todo += [(2 * node + 1, level + 1, own[~right]), (2 * node + 2, level + 1, own[right])]
+    return feature, cut, length
+
+
 def grow(points: np.ndarray, trees: int, sample: int, seed: int = 7) -> Forest:
     """A forest on ``points``, each tree on ``sample`` of them without replacement."""
     rng = np.random.default_rng(seed)
     size = min(sample, len(points))
-    depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    nodes = 2 ** (depth + 1) - 1
-    feature = np.full((trees, nodes), -1, np.int64)
-    cut, length = np.zeros((trees, nodes)), np.zeros((trees, nodes))
-    for tree in range(trees):
-        todo = [(0, 0, points[rng.choice(len(points), size, replace=False)])]
-        while todo:
-            node, level, own = todo.pop()
-            low, high = own.min(axis=0), own.max(axis=0)
-            varied = np.flatnonzero(high > low)
-            if level == depth or len(own) < 2 or not len(varied):
-                length[tree, node] = level + float(expected_path(len(own)))
-                continue
-            f = rng.choice(varied)
-            feature[tree, node], cut[tree, node] = f, rng.uniform(low[f], high[f])
-            right = own[:, f] >= cut[tree, node]
-            todo += [(2 * node + 1, level + 1, own[~right]), (2 * node + 2, level + 1, own[right])]
-    return Forest(feature, cut, length, float(expected_path(size)))
-
-
-def calibrate(scores: np.ndarray, good: np.ndarray, kept: float) -> float:
-    """The least threshold at or below which at least ``kept`` of the good rows score.
-
-    Raised from there while it costs no bad row: halfway to the next bad row's score.
-    """
-    own = np.sort(scores[good])
-    base = own[min(len(own) - 1, int(np.ceil(kept * len(own))) - 1)]
-    above = scores[~good & (scores > base)]
-    return float((base + above.min()) / 2) if len(above) else float(base)
+    grown = [
+        grow_tree(points[rng.choice(len(points), size, replace=False)], depth_of(size), rng)
+        for _ in range(trees)
+    ]
+    return Forest(*map(np.array, zip(*grown, strict=True)), float(expected_path(size)))

@@ -77,3 +77,43 @@ def test_messy_rows_and_empty_tables(spark):
             r["doc_id"] for r in rows if r["kept"]
         ]
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_the_model_is_of_all_labelled_rows(spark):
+    """More rows than the former 6000: threshold and forest see every one of them."""
+    rng = np.random.default_rng(1)
+    rates = rng.uniform(0.1, 0.3, (9000, len(quality_rules.PLACES)))
+    rates[::40] += 0.5  # 225 bad rows
+    rows = [(i, 100, 0, [float(x) for x in point]) for i, point in enumerate(rates)]
+    schema = "c0 bigint, n_words bigint, n_repeat_words bigint, point array<double>"
+    stats = spark.createDataFrame(rows, schema)
+    labels = spark.range(9000).selectExpr("id AS doc_id", "int(id % 40 <> 0) AS quality")
+    fitted, limit = quality_rules.fit_points(stats, labels, kept_share=0.9, trees=40)
+    again, same = quality_rules.fit_points(stats.repartition(5, "n_words", "c0"), labels, kept_share=0.9, trees=40)
+    assert same == limit and all(
+        (getattr(fitted, part) == getattr(again, part)).all() for part in ("feature", "cut", "length")
+    )
+    scores, good = fitted.score(rates), np.arange(9000) % 40 != 0
+    own = np.sort(scores[good])
+    base = own[int(np.ceil(0.9 * len(own))) - 1]
+    above = scores[~good & (scores > base)]
+    assert limit == pytest.approx((base + above.min()) / 2, abs=1e-12)
+
+
+def test_trees_draw_alike_from_all_copies(spark):
+    """A row that comes many times counts as often, and a tree has its full number."""
+    rows = [(i, True, [0.0] * 6) for i in range(500)] + [(7, True, [1.0] * 6)] * 500
+    table = spark.createDataFrame(rows, "c0 bigint, good boolean, point array<double>")
+    grown = quality_rules._grown(table, 1000, 0, 50, 64, 0.01)
+    # Each tree splits the two kinds of points at its root; a leaf of m adds expected_path(m).
+    of_ones = grown.score(np.ones((1, 6)))[0]
+    of_zeros = grown.score(np.zeros((1, 6)))[0]
+    assert abs(of_ones - of_zeros) < 0.02 and (grown.feature[:, 0] >= 0).all()
+
+
+def test_bad_rows_are_drawn_rarely(spark):
+    rows = [(i, i % 2 == 0, [float(i % 2)] * 6) for i in range(8000)]
+    table = spark.createDataFrame(rows, "c0 bigint, good boolean, point array<double>")
+    grown = quality_rules._grown(table, 4000, 4000, 60, 256, 0.01)
+    assert (grown.feature[:, 0] >= 0).mean() > 0.7  # some bad row in most trees
+    assert grown.score(np.ones((1, 6)))[0] > grown.score(np.zeros((1, 6)))[0] + 0.2
