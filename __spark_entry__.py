@@ -166,7 +166,9 @@ def clv_tagged_exact(spark, folder):
 
 @query
 def clv_tagged_approx(spark, folder):
-    return plain(customers.tag_clv(_revenue(spark, folder)))
+    revenue = _revenue(spark, folder)
+    limits = settle(customers.clv_thresholds(revenue))
+    return plain(customers.tag_clv(revenue, thresholds=limits))
 
 
 @query

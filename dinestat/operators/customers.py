@@ -15,6 +15,7 @@ from dinestat.functions import tags
 from dinestat.functions.dates import as_of_date
 from dinestat.functions.money import line_revenue, mean, ratio, relative_change
 from dinestat.operators.quantiles import exact_quantiles
+from dinestat.sources.parquet import settle
 from dinestat.sources.schema import GUEST, REVENUE
 
 REVENUE_COL = "revenue_per_order"
@@ -106,9 +107,14 @@ def tag_clv(
     Thresholds hold one row per restaurant. The join carries no hint: Spark broadcasts
     them when their known size is below its limit and otherwise joins by shuffle, with
     adaptive execution splitting a restaurant that holds much of the rows. Pass a
-    written table of thresholds to have that size known before the job starts.
+    written table of thresholds to have that size known before the job starts, as those
+    of ``exact`` are: of a size unknown, a few restaurants' limits would have every row
+    shuffled and each restaurant sorted by one task.
     """
-    limits = clv_thresholds(df, value_col, key, exact) if thresholds is None else thresholds
+    limits = thresholds
+    if limits is None:
+        limits = clv_thresholds(df, value_col, key, exact)
+        limits = settle(limits) if exact else limits
     tag = tags.clv_tag(F.col(value_col), F.col("low_threshold"), F.col("high_threshold"))
     joined = df.join(limits, key, "left")
     return joined.select(*df.columns, tag.alias("clv_tag"))

@@ -230,6 +230,15 @@ def test_small_written_thresholds_are_broadcast_by_size(stored, settings):
     assert sorted(map(str, shuffled.collect())) == sorted(map(str, tagged.collect()))
 
 
+def test_exact_tags_do_not_gather_a_restaurant(stored):
+    """Their limits are written first, so that the rows meet them where they are."""
+    tagged = customers.tag_clv(settle(customers.revenue_per_order(stored)), exact=True)
+    tagged.collect()
+    text = plan(tagged)
+    assert "BroadcastHashJoin" in text
+    assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+
+
 def test_a_hot_restaurant_is_split_when_thresholds_are_not_broadcast(spark, settings):
     settings(
         {
