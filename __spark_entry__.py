@@ -207,7 +207,8 @@ def customer_profile(spark, folder):
 @query
 def profile_appended(spark, folder):
     """The profile from stored states: two spans of days, then late and corrected ones."""
-    items, path = _written(spark, folder), _folder(spark, "activity")
+    columns = ("restaurant_id", "customer_id", "order_id", "lineitem_id", "date", *PRICES)
+    items, path = _written(spark, folder, *columns), _folder(spark, "activity")
     day, late = F.col("date"), F.dayofmonth("date") == 10
     early = day < "1996-07-01"
     again = F.col("date").between("1997-01-05", "1997-01-07")

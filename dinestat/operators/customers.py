@@ -261,9 +261,10 @@ def customer_activity_profile(
     """
     lines = _customer_lines(items, customer_col, revenue_col)
     snapshot = as_of_date(as_of, lines, date_col)
-    keys = [restaurant_col, customer_col]
+    # The key of more values first: sorting then seldom compares beyond its first bytes.
+    keys = [customer_col, restaurant_col]
     changes = _day_to_day(_within_days(lines, keys, date_col, revenue_col), keys, date_col)
-    profile = changes.groupBy(*keys).agg(
+    profile = changes.groupBy(restaurant_col, customer_col).agg(
         F.max(date_col).alias("last_order_date"),
         _average_gap(F.min(date_col), F.max(date_col), F.sum("dated_rows")).alias("avg_gap_days"),
         ratio(F.sum("change"), F.sum("changes")).alias("avg_pct_change"),
@@ -275,7 +276,7 @@ def customer_activity_profile(
 def day_states(items: DataFrame) -> DataFrame:
     """Per customer and day: summed changes, first and last revenue, dated rows."""
     lines = _customer_lines(items, "customer_id", REVENUE_COL)
-    return _within_days(lines, ["restaurant_id", "customer_id"], "date", REVENUE_COL)
+    return _within_days(lines, ["customer_id", "restaurant_id"], "date", REVENUE_COL)
 
 
 def _within_days(lines: DataFrame, keys: list[str], date_col: str, revenue_col: str) -> DataFrame:

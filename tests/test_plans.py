@@ -230,6 +230,13 @@ def test_small_written_thresholds_are_broadcast_by_size(stored, settings):
     assert sorted(map(str, shuffled.collect())) == sorted(map(str, tagged.collect()))
 
 
+def test_consecutive_rows_are_sorted_by_customer_first(stored):
+    """A restaurant's name is alike in most rows of a task, so sorting by it first is slow."""
+    for df in (customers.day_states(stored), customers.customer_activity_profile(stored)):
+        sorts = re.findall(r"Sort \[(\w+)#", plan(df))
+        assert sorts and set(sorts) == {"customer_id"}
+
+
 def test_exact_tags_do_not_gather_a_restaurant(stored):
     """Their limits are written first, so that the rows meet them where they are."""
     tagged = customers.tag_clv(settle(customers.revenue_per_order(stored)), exact=True)
