@@ -102,6 +102,7 @@ def rebuild_restaurants(
     as_of: dt.date | str | Column,
     schemes: tuple[str, ...] | None = DEFAULT_SCHEMES,
     exact_clv: bool = False,
+    at_once: int = 4,
 ) -> dict[str, DataFrame]:
     """Every metric below ``base`` anew for some restaurants, all others left as they are.
 
@@ -111,6 +112,9 @@ def rebuild_restaurants(
     written again from the rows kept and the new ones, and ranks are given anew over all.
     A restaurant that is named and has no rows any more vanishes from every dataset; one
     that is not named never does. Running it again gives the same.
+
+    The items are scanned once for the rows of the named restaurants, which are written for
+    the steps of the job. Up to ``at_once`` datasets are replaced at the same time.
     """
     base = output_path(base, schemes)
     if base is None:
@@ -118,18 +122,25 @@ def rebuild_restaurants(
     spark, named = items.sparkSession, list(restaurants)
     of_named = F.col("restaurant_id").isin(named)
     scratch = f"{checkpoint_folder(spark)}/rebuilt-{uuid.uuid4().hex}"
-    rebuilt = build_metrics(items.where(of_named), scratch, as_of, None, exact_clv)
-    for key, rows in rebuilt.items():
+    with scratch_tables(spark):
+        own = settle(items.where(of_named))
+        rebuilt = build_metrics(own, scratch, as_of, None, exact_clv, at_once)
+
+    def replace(key: str, rows: DataFrame) -> None:
         path, folder = dataset_path(base, key), DATASETS[key].partition_by
         if folder is not None:
             present = rows.select(folder).distinct()
             gone = spark.createDataFrame([(r,) for r in named], f"{folder} string").subtract(present)
             write_dataset(rows, path, key, only_folders=True)
             drop_folders(spark, path, folder, [row[0] for row in gone.toLocalIterator()])
-            continue
+            return
         kept = read_dataset(spark, path, key).where(~F.coalesce(of_named, F.lit(False)))
         together = settle(kept.unionByName(rows))
         if key == "locations":
             together = number_rows(together.drop("rank"), "total_revenue", "restaurant_id")
         write_dataset(together, path, key)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        for step in [pool.submit(replace, *dataset) for dataset in rebuilt.items()]:
+            step.result()
     return load_metrics(spark, base)

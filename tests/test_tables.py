@@ -220,3 +220,22 @@ def test_rank_error_of_sketches_merged_from_many_days(spark):
     wanted = df.where("date_key BETWEEN '2024-02-01' AND '2024-02-29'").groupBy("restaurant_id").count()
     assert {r.restaurant_id: r["rows"] for r in some.collect()} == {r.restaurant_id: r["count"] for r in wanted.collect()}
     assert "GreaterThanOrEqual(date_key,2024-02-01)" in plan(some)
+
+
+def test_a_rebuild_writes_the_named_rows_before_its_steps(make_items, tmp_path, monkeypatch):
+    """Its six scans then read the rows of the named restaurants, not all items."""
+    from dinestat.plans import batch
+
+    items = make_items(*({"restaurant_id": r, "customer_id": c} for r in ("a", "b") for c in ("x", "y")))
+    base, as_of, given = str(tmp_path / "m"), "2024-02-01", []
+    build_metrics(items, base, as_of, schemes=None)
+
+    def spied(own, *rest):
+        given.append((own.inputFiles(), own.count()))
+        return build_metrics(own, *rest)
+
+    monkeypatch.setattr(batch, "build_metrics", spied)
+    found = rebuild_restaurants(items, base, ["a"], as_of, schemes=None)
+    ((files, rows),) = given
+    assert files and all("/settled-" in f for f in files) and rows == 2
+    assert found["rfm"].count() == 4 and found["profile"].count() == 4
