@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
@@ -39,13 +39,17 @@ def build_metrics(
 ) -> dict[str, DataFrame]:
     """Write every metric of canonical ``items`` below ``base`` and return them as read.
 
-    The items are scanned six times for twelve datasets: for the customer days (then
+    The items are scanned seven times for twelve datasets: for the customer days (then
     revenue, CLV, RFM and loyalty), the activity profile, the hourly sales (then daily,
-    weekly and monthly), the locations (money and days, then orders) and the discounts. What several datasets build
-    on is written first and read back with only the columns each of them needs.
+    weekly and monthly), the locations (money and days, then orders) and the discounts
+    (money, then orders). What several datasets build on is written first and read back
+    with only the columns each of them needs.
 
     Up to ``at_once`` datasets are written at the same time, so that executors left
-    idle by the last tasks of one job take up the next.
+    idle by the last tasks of one job take up the next. The shuffles of all steps together
+    would take several times the disk of the items, so the largest have their own time: the
+    customer days come after the sales, then the profile, in slices of customers if the
+    items are large, and the two copies of the revenue come last.
     """
     base = output_path(base, schemes)
     if base is None:
@@ -73,25 +77,26 @@ def build_metrics(
         write("rfm", customers.segment_customers(customers.rfm_from_days(days, snapshot)))
 
     def profile(snapshot: Column) -> None:
-        write("profile", customers.customer_activity_profile(items, as_of=snapshot))
+        activity = customers.customer_activity_profile(items, as_of=snapshot)
+        write("profile", settle(activity, slices_of="customer_id"))
 
     # All datasets are written when the block ends, so what they were made from can go.
     with scratch_tables(spark), ThreadPoolExecutor(at_once) as pool:
-        started = [
-            pool.submit(trends),
-            pool.submit(lambda: write("locations", top_locations(items))),
-            pool.submit(lambda: write("discounts", sales.discount_effectiveness(items))),
-        ]
+
+        def together(*steps: Callable[[], object]) -> None:
+            for step in [pool.submit(step) for step in steps]:
+                step.result()
+
+        together(
+            trends,
+            lambda: write("locations", top_locations(items)),
+            lambda: write("discounts", sales.discount_effectiveness(items)),
+        )
         days = settle(customers.customer_days(items))
         snapshot = as_of_date(as_of, days, "max_date")
-        started += [
-            pool.submit(profile, snapshot),
-            pool.submit(scores, days, snapshot),
-            pool.submit(lifetime_value, days),
-            pool.submit(loyalty, days),
-        ]
-        for step in started:
-            step.result()
+        profile(snapshot)
+        together(lambda: scores(days, snapshot), lambda: loyalty(days))
+        lifetime_value(days)
     return load_metrics(spark, base)
 
 

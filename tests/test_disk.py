@@ -1,0 +1,127 @@
+"""What jobs leave on disk: shuffles, slices of large steps, tables written on the way."""
+
+import datetime as dt
+import re
+import time
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from dinestat.operators import sales, shape
+from dinestat.plans.batch import build_metrics, rebuild_restaurants
+from dinestat.sources import parquet
+from dinestat.sources.parquet import checkpoint_folder, settle, write_metric
+from dinestat.sources.schema import DATASETS
+from dinestat.sources.star import order_items
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def as_sets(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = (Path(folder.getPath()) for folder in disk.localDirs())
+    return {file.name for folder in folders for file in folder.glob("*/shuffle_*")}
+
+
+@pytest.fixture
+def sliced(monkeypatch):
+    monkeypatch.setattr(parquet, "SLICE_BYTES", 1000)
+
+
+@pytest.mark.parametrize("write", ["settle", "flat", "folders"])
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path, write):
+    before = shuffle_files(spark)
+    df = spark.range(1000).groupBy((F.col("id") % 7).cast("string").alias("k")).agg(F.count("id").alias("v"))
+    if write == "settle":
+        settle(df)
+    else:
+        write_metric(df, str(tmp_path / "t"), "k" if write == "folders" else None)
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
+@pytest.mark.parametrize("former", [None, "false"])
+def test_the_setting_is_put_back_when_the_last_write_ends(spark, settings, former):
+    key = parquet._CLEANUP
+    if former is not None:
+        settings({key: former})
+    with parquet._shuffles_end_with_steps(spark):
+        with parquet._shuffles_end_with_steps(spark):
+            assert spark.conf.get(key) == "true"
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == former and not parquet._STEPS
+
+
+def test_slices_hold_every_row_once(spark, sliced):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 5 > 0, F.col("id") % 40).alias("k"), F.col("id").alias("v")
+    )
+    table = settle(rows)
+    parts = parquet._slices(table, "k")
+    counts = [part.count() for part in parts]
+    assert len(parts) == parquet.MOST_SLICES and sum(counts) == 3000 and all(counts)
+    assert as_sets(settle(table, slices_of="k")) == as_sets(rows)
+    sums = table.groupBy("k").agg(F.sum("v").alias("v"))
+    assert as_sets(settle(sums, slices_of="k")) == as_sets(sums)
+
+
+def test_small_tables_are_not_sliced(spark):
+    table = settle(spark.range(10))
+    assert parquet._slices(table, "id") == [table]
+
+
+def test_slices_of_orders_reach_both_large_tables(spark, sliced):
+    """So that each step shuffles its own lines and orders only."""
+    part, *_ = parquet._slices(order_items(spark, FOLDER), "order_id")
+    filters = re.findall(r"(?m)Filter .*xxhash64\((\w+)#", plan(part))
+    assert sorted(filters) == ["l_orderkey", "o_orderkey"]
+
+
+def test_orders_are_joined_last(spark):
+    """Their columns are then in one shuffle only, and an order's lines are written together."""
+    items = order_items(spark, FOLDER)
+    joins = re.findall(r"Join \[(\w+)#", plan(items))
+    assert joins[0] == "l_orderkey"
+
+
+def test_sliced_steps_give_the_same_datasets(spark, sample, tmp_path, monkeypatch):
+    items = settle(shape.rearrange_columns(sample))
+    whole = build_metrics(items, str(tmp_path / "whole"), schemes=None, exact_clv=True)
+    monkeypatch.setattr(parquet, "SLICE_BYTES", 1000)
+    parts = build_metrics(items, str(tmp_path / "parts"), schemes=None, exact_clv=True)
+    for key in DATASETS:
+        assert as_sets(parts[key]) == as_sets(whole[key]), key
+
+
+def test_distinct_orders_of_discounts_shuffle_without_sums(sample):
+    text = plan(sales.discount_effectiveness(sample))
+    assert text.count("FileScan") == 2 and "Expand" not in text
+    inner = re.findall(r"HashAggregate\(keys=\[[^\]]*total_orders[^\]]*\], functions=\[([^\]]*)\]", text)
+    assert inner and not any(inner)
+
+
+def test_discounts_of_unknown_restaurants_and_orders(make_items):
+    items = make_items(
+        {"restaurant_id": None, "order_id": "a", "option_price": -1, "option_quantity": 1},
+        {"restaurant_id": None, "order_id": "a"},
+        {"restaurant_id": None, "order_id": None, "option_price": -2, "option_quantity": 1},
+        {"restaurant_id": "r", "order_id": None},
+    )
+    found = {(r.restaurant_id, r.is_discounted): r for r in sales.discount_effectiveness(items).collect()}
+    assert {k: (r.total_orders, float(r.total_revenue), r.avg_order_value) for k, r in found.items()} == {
+        (None, True): (1, 17.0, 8.5), (None, False): (1, 10.0, 10.0), ("r", False): (0, 10.0, 10.0),
+    }
+    assert sales.discount_effectiveness(items).columns == [
+        "restaurant_id", "is_discounted", "total_revenue", "total_orders", "avg_order_value",
+    ]
