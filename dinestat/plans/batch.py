@@ -22,6 +22,7 @@ from dinestat.sources.parquet import (
     load_metrics,
     output_path,
     read_dataset,
+    remove_folder,
     scratch_tables,
     settle,
     write_dataset,
@@ -119,7 +120,9 @@ def rebuild_restaurants(
     that is not named never does. Running it again gives the same.
 
     The items are scanned once for the rows of the named restaurants, which are written for
-    the steps of the job. Up to ``at_once`` datasets are replaced at the same time.
+    the steps of the job. Folders of up to ``at_once`` datasets are replaced at the same time,
+    flat datasets one after another, as each is written twice. What is written on the way
+    is removed as soon as it has been used.
     """
     base = output_path(base, schemes)
     if base is None:
@@ -131,21 +134,28 @@ def rebuild_restaurants(
         own = settle(items.where(of_named))
         rebuilt = build_metrics(own, scratch, as_of, None, exact_clv, at_once)
 
-    def replace(key: str, rows: DataFrame) -> None:
-        path, folder = dataset_path(base, key), DATASETS[key].partition_by
-        if folder is not None:
-            present = rows.select(folder).distinct()
-            gone = spark.createDataFrame([(r,) for r in named], f"{folder} string").subtract(present)
-            write_dataset(rows, path, key, only_folders=True)
-            drop_folders(spark, path, folder, [row[0] for row in gone.toLocalIterator()])
-            return
+    def replace_folders(key: str, folder: str) -> None:
+        path, rows = dataset_path(base, key), rebuilt[key]
+        present = rows.select(folder).distinct()
+        gone = spark.createDataFrame([(r,) for r in named], f"{folder} string").subtract(present)
+        write_dataset(rows, path, key, only_folders=True)
+        drop_folders(spark, path, folder, [row[0] for row in gone.toLocalIterator()])
+
+    def replace_rows(key: str) -> None:
+        path, rows = dataset_path(base, key), rebuilt[key]
         kept = read_dataset(spark, path, key).where(~F.coalesce(of_named, F.lit(False)))
         together = settle(kept.unionByName(rows))
         if key == "locations":
             together = number_rows(together.drop("rank"), "total_revenue", "restaurant_id")
         write_dataset(together, path, key)
 
+    folders = {key: DATASETS[key].partition_by for key in rebuilt}
     with ThreadPoolExecutor(at_once) as pool:
-        for step in [pool.submit(replace, *dataset) for dataset in rebuilt.items()]:
+        started = [pool.submit(replace_folders, *item) for item in folders.items() if item[1]]
+        for key in (key for key, folder in folders.items() if not folder):
+            with scratch_tables(spark):
+                replace_rows(key)
+        for step in started:
             step.result()
+    remove_folder(spark, scratch)
     return load_metrics(spark, base)

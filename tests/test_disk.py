@@ -125,3 +125,31 @@ def test_discounts_of_unknown_restaurants_and_orders(make_items):
     assert sales.discount_effectiveness(items).columns == [
         "restaurant_id", "is_discounted", "total_revenue", "total_orders", "avg_order_value",
     ]
+
+
+def test_a_rebuild_leaves_nothing_but_its_datasets(spark, make_items, tmp_path):
+    items = make_items(*({"restaurant_id": r, "date": dt.date(2024, 1, d)} for r in "ab" for d in (1, 2)))
+    base = str(tmp_path / "m")
+    build_metrics(items, base, "2024-02-01", schemes=None)
+    before = set(Path(checkpoint_folder(spark)).iterdir())
+    found = rebuild_restaurants(items, base, ["a"], "2024-02-01", schemes=None)
+    assert set(Path(checkpoint_folder(spark)).iterdir()) == before
+    assert found["rfm"].count() == 2 and found["clv"].count() == 4
+
+
+def test_the_flat_datasets_of_a_rebuild_are_copied_one_at_a_time(spark, make_items, tmp_path, monkeypatch):
+    from dinestat.plans import batch
+
+    items = make_items(*({"restaurant_id": r} for r in "ab"))
+    base, held = str(tmp_path / "m"), []
+    build_metrics(items, base, "2024-02-01", schemes=None)
+    before = set(Path(checkpoint_folder(spark)).glob("settled-*"))
+
+    def spied(df, path, key, *rest, **more):
+        if path.startswith(base) and DATASETS[key].partition_by is None:
+            held.append(len(set(Path(checkpoint_folder(spark)).glob("settled-*")) - before))
+        return parquet.write_dataset(df, path, key, *rest, **more)
+
+    monkeypatch.setattr(batch, "write_dataset", spied)
+    rebuild_restaurants(items, base, ["a"], "2024-02-01", schemes=None)
+    assert held == [1] * sum(d.partition_by is None for d in DATASETS.values())
