@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
@@ -46,11 +46,11 @@ def build_metrics(
     (money, then orders). What several datasets build on is written first and read back
     with only the columns each of them needs.
 
-    Up to ``at_once`` datasets are written at the same time, so that executors left
-    idle by the last tasks of one job take up the next. The shuffles of all steps together
-    would take several times the disk of the items, so the largest have their own time: the
-    customer days come after the sales, then the profile, in slices of customers if the
-    items are large, and the two copies of the revenue come last.
+    Up to ``at_once`` datasets of sales and locations are written at the same time, so that
+    executors left idle by the last tasks of one job take up the next. The shuffles of all
+    steps together would take several times the disk of the items, so the larger ones of
+    customers follow one after another: first the profile, in slices of customers if the
+    items are large, and last the two copies of the revenue.
     """
     base = output_path(base, schemes)
     if base is None:
@@ -83,20 +83,18 @@ def build_metrics(
 
     # All datasets are written when the block ends, so what they were made from can go.
     with scratch_tables(spark), ThreadPoolExecutor(at_once) as pool:
-
-        def together(*steps: Callable[[], object]) -> None:
-            for step in [pool.submit(step) for step in steps]:
-                step.result()
-
-        together(
-            trends,
-            lambda: write("locations", top_locations(items)),
-            lambda: write("discounts", sales.discount_effectiveness(items)),
-        )
+        started = [
+            pool.submit(trends),
+            pool.submit(lambda: write("locations", top_locations(items))),
+            pool.submit(lambda: write("discounts", sales.discount_effectiveness(items))),
+        ]
+        for step in started:
+            step.result()
         days = settle(customers.customer_days(items))
         snapshot = as_of_date(as_of, days, "max_date")
         profile(snapshot)
-        together(lambda: scores(days, snapshot), lambda: loyalty(days))
+        scores(days, snapshot)
+        loyalty(days)
         lifetime_value(days)
     return load_metrics(spark, base)
 
